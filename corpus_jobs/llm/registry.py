@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, packing, quality, simhash, token_counts, token_files
+from . import ctw, decontamination, langid, line_dedup, packing, pii, quality, simhash, token_counts, token_files
 
 QUERIES = {
     f.__name__: f
     for f in (
         simhash.op1_simhash_near_dedup,
         quality.op2_host_quality_rules,
+        pii.op3_pii_crf,
         decontamination.op4_benchmark_decontamination,
+        ctw.op5_ctw_scores,
+        langid.op6_language_id,
         packing.op7_nnls_packing,
         token_files.op8_orc_token_ids,
         token_counts.op9_token_counts,
