@@ -2,36 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes that separate words: space and \t \n \v \f \r, which is what bytes.split() and bytes.strip() take.
-BLANKS = b" \t\n\r\x0b\x0c"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one where the setting is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="corpus-jobs-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
+from ..storage import materialize, new_path, shared_dir
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["BLANKS", "as_bytes", "documents", "fresh", "materialize", "new_path", "release", "shared_dir", "shuffle_partitions", "sliced"]
 
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: later jobs neither repeat its work nor need its executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Bytes that separate words: space and \t \n \v \f \r, which is what bytes.split() and bytes.strip() take.
+BLANKS = b" \t\n\r\x0b\x0c"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,5 +36,17 @@ def as_bytes(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
-def long_array(values) -> pa.Array:
-    return pa.array(values, type=pa.int64())
+def sliced(batches, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of fewer rows, so that Python values are made for a few texts at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
+def release() -> None:
+    """Gives freed memory back to the system at the end of a task; Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

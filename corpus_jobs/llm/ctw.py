@@ -22,11 +22,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, documents, materialize, shuffle_partitions
+from .common import as_bytes, documents, materialize, release, shuffle_partitions, sliced
 
 DEPTH = 5
 BLOCK_BYTES = 32 << 20
@@ -70,69 +71,54 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 class Gathered:
-    """Distinct grams and words of a block with their counts in training documents."""
+    """Distinct grams and words of a block with their counts in training documents, as sorted arrays."""
 
     def __init__(self, depth: int):
-        self.depth, self.parts, self.words, self.asked = depth, [], Counter(), set()
+        self.depth = depth
+        self.parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {GRAM: [], WORD: []}
+
+    def put(self, kind: int, keys: np.ndarray, n: np.ndarray, train: bool) -> None:
+        self.parts[kind].append((keys, n if train else np.zeros(len(n), np.int64)))
+        if len(self.parts[kind]) > 24:
+            self.parts[kind] = [merged(self.parts[kind])]
 
     def add(self, texts: list[bytes], train: bool) -> None:
-        if not texts:
-            return
         g = np.sort(grams(texts, self.depth))
         first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        n = np.diff(np.append(first, len(g)))
-        self.parts.append((g[first], n if train else np.zeros(len(n), np.int64)))
-        if len(self.parts) > 24:
-            self.parts = [merged(self.parts)]
+        self.put(GRAM, g[first], np.diff(np.append(first, len(g))), train)
+        words = Counter()
         for t in texts:
-            (self.words if train else self.asked).update(t.split())
-        if train:
-            self.words[END] += len(texts)
+            words.update(t.split())
+        words[END] = len(texts)
+        self.put(WORD, np.array([xxhash.xxh64_intdigest(w, 42) for w in words], dtype=np.uint64), np.fromiter(words.values(), np.int64, len(words)), train)
 
-    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        keys, n = merged(self.parts)
-        for w in self.asked | {END}:
-            self.words.setdefault(w, 0)
-        hashed = np.array([xxhash.xxh64_intdigest(w, 42) for w in self.words], dtype=np.uint64)
-        counts = np.fromiter(self.words.values(), np.int64, len(self.words))
-        kinds = np.repeat(np.array([GRAM, WORD], dtype=np.int8), [len(keys), len(hashed)])
-        return kinds, np.concatenate([keys, hashed]).view(np.int64), np.concatenate([n, counts])
+    def rows(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        return merged(self.parts[kind])
 
 
 def lowered(text: str | None) -> bytes:
     return as_bytes(text).lower()
 
 
-def chunked(texts: list, size: int = 1 << 21):
-    """Slices of a list of byte strings of about so many bytes each."""
-    begin, total = 0, 0
-    for i, t in enumerate(texts):
-        total += len(t)
-        if total >= size:
-            yield slice(begin, i + 1)
-            begin, total = i + 1, 0
-    if begin < len(texts):
-        yield slice(begin, len(texts))
-
-
 def gather(docs: DataFrame, depth: int) -> DataFrame:
-    """docs(block, held_out, text) -> (block, kind, key, n); a block's rows may come in several parts."""
+    """docs(block, held_out, text) -> (block, kind, key, n), a row per key of a block and partition."""
 
     def run(batches):
         blocks: dict[int, Gathered] = defaultdict(lambda: Gathered(depth))
-        for b in batches:
-            texts = [lowered(t) for t in b.column(2).to_pylist()]
+        for b in sliced(batches):
             split = defaultdict(list)
-            for block, held, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts):
-                split[block, held].append(t)
-            for (block, held), mine in split.items():
-                for s in chunked(mine):
-                    blocks[block].add(mine[s], not held)
-        for block, g in blocks.items():
-            kinds, keys, n = g.rows()
-            for i in range(0, len(keys), 200_000):
-                k = keys[i : i + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block, np.int32)), pa.array(kinds[i : i + 200_000]), pa.array(k), pa.array(n[i : i + 200_000])], names=["block", "kind", "key", "n"])
+            for block, held, t in zip(*(b.column(i).to_pylist() for i in range(3))):
+                split[block, held].append(lowered(t))
+            for (block, held), texts in split.items():
+                blocks[block].add(texts, not held)
+        for block in list(blocks):
+            mine = blocks.pop(block)
+            for kind in (GRAM, WORD):
+                keys, n = mine.rows(kind)
+                for i in range(0, len(keys), 200_000):
+                    k = keys[i : i + 200_000].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block, np.int32)), pa.array(np.full(len(k), kind, np.int8)), pa.array(k), pa.array(n[i : i + 200_000])], names=["block", "kind", "key", "n"])
+        release()
 
     return docs.select("block", "held_out", "text").mapInArrow(run, "block int, kind tinyint, key long, n long")
 
@@ -297,19 +283,19 @@ def look_up(codes: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarr
     return out
 
 
-def score_block(ids: list, held: list, texts: list[bytes], kinds: np.ndarray, keys: np.ndarray, values: np.ndarray, depth: int, tokens: int, distinct: int) -> pa.Table:
+def score_block(docs: pa.Table, asked: pa.Table, depth: int, tokens: int, distinct: int) -> pa.Table:
     """The result rows of a block's documents, given the answers to its grams and words."""
 
     def answers(kind):
-        mine = kinds == kind
-        k, v = keys[mine].view(np.uint64), values[mine]
+        mine = asked.filter(pc.equal(asked["kind"], kind))
+        k, v = mine["key"].to_numpy().view(np.uint64), mine["value"].to_numpy()
         order = np.argsort(k)
         return k[order], v[order]
 
     (word_keys, word_counts), (gram_keys, gram_logs) = answers(WORD), answers(GRAM)
-    columns = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
-    for s in chunked(texts):
-        part = texts[s]
+    columns: dict[str, list[np.ndarray]] = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
+    for b in sliced(docs.select(["text"]).to_batches()):
+        part = [lowered(t) for t in b.column(0).to_pylist()]
         begins = np.cumsum([0] + [len(t) + 1 for t in part[:-1]])
         columns["score"].append(np.add.reduceat(look_up(grams(part, depth), gram_keys, gram_logs), begins))
         number: dict[bytes, int] = {}
@@ -323,8 +309,8 @@ def score_block(ids: list, held: list, texts: list[bytes], kinds: np.ndarray, ke
         columns["n_tokens"].append(n)
         columns["n_known"].append(np.add.reduceat((c > 0).astype(np.int64)[at], begins))
         columns["base_score"].append(np.add.reduceat(logs[at], begins))
-    got = {k: pa.array(np.concatenate(v)) for k, v in columns.items()}
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held, pa.bool_()), "n_tokens": got["n_tokens"], "n_known": got["n_known"], "train_tokens": pa.array([tokens] * len(ids), pa.int64()), "base_score": got["base_score"], "score": got["score"]})
+    out = {k: pa.array(np.concatenate(v)) for k, v in columns.items()}
+    return pa.table({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": out["n_tokens"], "n_known": out["n_known"], "train_tokens": pa.array([tokens] * docs.num_rows, pa.int64()), "base_score": out["base_score"], "score": out["score"]})
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -355,10 +341,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     answers = asked.select("block", "kind", "key").join(values, ["kind", "key"])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts = [lowered(t) for t in left.column("text").to_pylist()]
-        if not texts:
-            return pa.table({c.split()[0]: pa.array([], {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[c.split()[1]]) for c in RESULT.split(", ")})
-        return score_block(left.column("doc_id").to_pylist(), left.column("held_out").to_pylist(), texts, *(right.column(c).to_numpy() for c in ("kind", "key", "value")), depth, tokens, distinct)
+        if not left.num_rows:
+            kinds = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+            return pa.table({name: pa.array([], kinds[kind]) for name, kind in (c.split() for c in RESULT.split(", "))})
+        out = score_block(left, right, depth, tokens, distinct)
+        release()
+        return out
 
     return keyed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, RESULT)
 
