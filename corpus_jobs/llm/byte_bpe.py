@@ -1,22 +1,24 @@
 """Whole-text encoding with a byte-level BPE of the tokenizers library, a unit of text at a time.
 
-The pre-tokenizer starts a new piece at a space that stands before a letter or digit, and merges never cross a piece.
-So a text is cut before such spaces, and the library encodes each distinct unit once in a batch; a text's ids are its
-units' ids in a row. Texts with other spaces (runs, before punctuation or line ends) are cut by a pattern instead.
+The pre-tokenizer starts a new piece at a space that stands before a letter or digit, at the end of a run of letters,
+and at a letter after a single line feed; merges never cross a piece. So a text is cut at such spaces, a unit that is
+not known is cut after its word and line, and the library encodes each distinct part once. A text's ids are its units'
+ids in a row.
 """
 
 from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 DEFAULT = "byte_bpe_50k.json"
-#: Units held by a worker; when full, it starts anew.
-MAX_UNITS = 400_000
+#: Units of a generation. A full generation becomes the older one, from which units still in use come back.
+MAX_UNITS = 150_000
 
 _CUT = re.compile(r" (?=[^\W_])")
+_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+")
+_LINE = re.compile(r"[^\w\s]{0,3}\n(?=[A-Za-z])")
 
 
 def default_path(name: str = DEFAULT) -> str:
@@ -25,6 +27,40 @@ def default_path(name: str = DEFAULT) -> str:
     return public_tokenizers.path(name)
 
 
+class NotAUnit(Exception):
+    pass
+
+
+class Units(dict):
+    """Ids of units by their text, computed when first asked for; lead stands before every unit."""
+
+    def __init__(self, encoder: Encoder, lead: str):
+        super().__init__()
+        self.word, self.raw, self.tail = encoder.word, encoder.raw, encoder.tail
+        self.lead, self.older = lead, {}
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.older.get(unit)
+        if ids is None:
+            if self.lead and not unit[:1].isalnum():
+                raise NotAUnit
+            word = _WORD.match(unit)
+            end = word.end() if word else 0
+            if end == len(unit) and end:
+                ids = self.word(self.lead + unit)
+            elif end and not unit[end].isalpha():
+                ids = self[unit[:end]] + self.tail(unit[end:])
+                if len(unit) > end + 2:
+                    return ids  # two words over a line end seldom come again
+            else:
+                ids = self.raw(self.lead + unit)
+        if len(self) >= MAX_UNITS:
+            self.older = dict(self)
+            self.clear()
+        self[unit] = ids
+        return ids
+
+
 class Encoder:
     """Encodes texts to the bytes of little-endian unsigned 32-bit ids."""
 
@@ -36,33 +72,45 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.units: dict[str, bytes] = {}
-
-    def raw(self, texts: list[str]) -> list[bytes]:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in encode(texts, add_special_tokens=False)]
-
-    @staticmethod
-    def cut(text: str) -> list[str]:
-        """Units; all but the first begin with the space before them, which is left off here."""
+        self.spaced, self.bare = Units(self, " "), Units(self, "")
+        self.marks: dict[str, bytes] = {}
+        # byte-level vocabularies write visible Latin-1 bytes as themselves and the others, in order, from code 256 on
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        hidden = [b for b in range(256) if b not in shown]
+        self.letters = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+
+    def raw(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def word(self, text: str) -> bytes:
+        """Ids of a run of letters with or without a space before it, which the pre-tokenizer leaves whole."""
+        pieces = self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.letters))
+        return array("I", [p.id for p in pieces]).tobytes()
+
+    def tail(self, text: str) -> bytes:
+        """Ids of what follows a word: marks, or marks, a line feed and more."""
+        line = _LINE.match(text)
+        if line:
+            return self.mark(line[0]) + self.bare[text[line.end() :]]
+        return self.mark(text) if len(text) < 3 else self.raw(text)
+
+    def mark(self, text: str) -> bytes:
+        ids = self.marks.get(text)
+        if ids is None:
+            ids = self.raw(text)
+            if len(self.marks) < 10_000:
+                self.marks[text] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
         parts = text.split(" ")
-        if all(p[:1].isalnum() for p in parts[1:]):
-            return parts
-        return _CUT.split(text)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.cut(t) for t in texts]
-        units = self.units
-        if len(units) > MAX_UNITS:
-            units.clear()
-        new = {p for parts in cut for p in parts[1:] if p not in units}
-        if new:
-            new = list(new)
-            for i in range(0, len(new), 20_000):
-                units.update(zip(new[i : i + 20_000], self.raw([" " + p for p in new[i : i + 20_000]])))
-        first = self.raw([parts[0] for parts in cut])
-        get = units.__getitem__
-        return [f + b"".join(map(get, parts[1:])) for f, parts in zip(first, cut)]
+        get = self.spaced.__getitem__
+        try:
+            first, parts[0] = self.raw(parts[0]), b""
+            return first + b"".join(map(get, parts[1:]))
+        except NotAUnit:  # runs of spaces, or spaces before marks
+            parts = _CUT.split(text)
+            return self.raw(parts[0]) + b"".join(map(get, parts[1:]))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -75,14 +123,8 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encoded(texts: list[str | None], path: str, chars: int = 8_000_000):
-    """Yields the ids of each text (null: empty) as bytes, working on about so many characters at a time."""
-    enc, block, size = encoder(path), [], 0
+def encoded(texts, path: str):
+    """Yields the ids of each text (null: empty) as bytes."""
+    encode = encoder(path).encode
     for t in texts:
-        block.append((t or "").encode("utf-8", "replace").decode() if t else "")
-        size += len(block[-1])
-        if size >= chars:
-            yield from enc.encode(block)
-            block, size = [], 0
-    if block:
-        yield from enc.encode(block)
+        yield encode(t.encode("utf-8", "replace").decode()) if t else b""

@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import default_path, encoded
-from .common import documents
+from .common import documents, release, sliced
 
 WINDOW = 2048
 END_ID = 1
 #: Tokens in one block of a task.
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 2_000_000
 #: Lengths that triples are made of: the most frequent ones.
 TRIPLE_LENGTHS = 96
 
@@ -174,7 +174,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     def run(batches):
         packer = Packer(TaskContext.get().partitionId() << 36, window)
         held, tokens = [], 0
-        for b in batches:
+        for b in sliced(batches):
             for doc, ids in zip(b.column(0).to_pylist(), encoded(b.column(1).to_pylist(), path)):
                 ids += end
                 held.append((doc, ids))
@@ -184,6 +184,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                     held, tokens = [], 0
         rows = packer.block(held)
         yield _batch(rows + packer.close())
+        release()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, PIECES)
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .byte_bpe import default_path, encoded
-from .common import documents, new_path, shuffle_partitions
+from .common import documents, new_path, release, shuffle_partitions, sliced
 
 END_ID = 2
 OPTIONS = {
@@ -40,16 +40,15 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
 
     def encode(batches):
         at = 0
-        for b in batches:
+        for b in sliced(batches):
             done = [x + end for x in encoded(b.column(1).to_pylist(), tokens)]
             n = np.array([len(x) // 4 for x in done], dtype=np.int64)
             starts = at + np.cumsum(n) - n
             at += int(n.sum())
-            for i in range(0, len(done), 2000):
-                part = done[i : i + 2000]
-                offsets = np.concatenate([[0], np.cumsum(n[i : i + 2000])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(part), dtype="<i4")))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 2000), pa.array(starts[i : i + 2000]), pa.array(n[i : i + 2000]), ids], names=["doc_id", "file_start", "n_tokens", "ids"])
+            offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(done), dtype="<i4")))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(starts), pa.array(n), ids], names=["doc_id", "file_start", "n_tokens", "ids"])
+        release()
 
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     dealt = keyed.repartitionByRange(partitions or shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
