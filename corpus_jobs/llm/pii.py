@@ -106,8 +106,12 @@ def stretches(text: str | None):
     never be part of an accepted span."""
     if not text or not HINT.search(text):
         return
-    for line in re.finditer(r"[^\n]*[0-9@][^\n]*", text):
-        words = [(line.start() + m.start(), line.start() + m.end(), m[0]) for m in WORD.finditer(line[0])]
+    end = -1
+    for line in text.split("\n"):
+        begin, end = end + 1, end + 1 + len(line)
+        if not HINT.search(line):
+            continue
+        words = [(begin + m.start(), begin + m.end(), m[0]) for m in WORD.finditer(line)]
         now, last = [], -1
         for i in (i for i, w in enumerate(words) if HINT.search(w[2])):
             first = max(0, i - AROUND)
@@ -237,7 +241,7 @@ def labelled_table(docs: DataFrame, text_col: str = "text", most: int = MAX_LABE
 
     @F.arrow_udf(LABELLED)
     def of(text: pa.Array) -> pa.Array:
-        rows = [[{"words": w, "labels": lab} for w, lab in labelled(t) if len(w) <= TRAIN_WORDS] for t in text.to_pylist()]
+        rows = [[{"words": w, "labels": lab} for w, lab in labelled(t) if len(w) <= TRAIN_WORDS] for t in (x.as_py() for x in text)]
         return pa.array(rows, type=pa.list_(pa.struct([("words", pa.list_(pa.string())), ("labels", pa.list_(pa.int32()))])))
 
     hinted = docs.filter(F.col(text_col).rlike("[0-9@]"))
