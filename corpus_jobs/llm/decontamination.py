@@ -143,7 +143,7 @@ def _finder(items: list[tuple[int, str]], rate: float, least: int, token: str):
         if token not in _matchers:  # once in each Python worker; only the latest block is held
             _matchers.clear()
             _matchers[token] = Matcher(items, rate, least)
-        rows = [[{"item_id": k, "distance": d, "end": e} for k, d, e in _matchers[token].find(t)] for t in text.to_pylist()]
+        rows = [[{"item_id": k, "distance": d, "end": e} for k, d, e in _matchers[token].find(t)] for t in (x.as_py() for x in text)]
         return pa.array(rows, type=pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int64()), ("end", pa.int64())])))
 
     return find

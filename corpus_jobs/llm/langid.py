@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .byte_bpe import default_path
-from .common import documents
+from .common import documents, release, sliced
 
 VOCABULARY = "piece_bpe_32k.model"
 PIECE_CHARS = 8
@@ -194,13 +194,14 @@ def expected_counts(docs: DataFrame, path: str, text_col: str = "text", lang_col
                     sums[lang] = sums.get(lang, 0) + got[:, c]
             words.clear(), counts.clear()
 
-        for b in batches:
+        for b in sliced(batches):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 langs[lang]
                 counts.setdefault(lang, []).append(np.array([words[t] for t in text.lower().split()], dtype=np.int64))
                 if len(words) > MAX_WORDS:
                     flush()
         flush()
+        release()
         for lang, s in sums.items():
             at = np.flatnonzero(s)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(s[at])], names=["lang", "piece", "n"])
@@ -235,8 +236,7 @@ def _predictor(langs: list[str], probs: np.ndarray, path: str):
             _scored.clear()
             _scored[token] = Numbered(), np.zeros((0, len(langs) + 1))
         words, table = _scored[token]
-        texts = text.to_pylist()
-        at = [np.array([words[t] for t in x.lower().split()], dtype=np.int64) if x else None for x in texts]
+        at = [np.array([words[t] for t in x.lower().split()], dtype=np.int64) if x else None for x in (x.as_py() for x in text)]
         if len(words) > len(table):
             new = list(words)[len(table) :]
             flat, owner = [], []

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANKS, as_bytes, documents, materialize, shuffle_partitions
+from .common import BLANKS, as_bytes, documents, materialize, release, shuffle_partitions, sliced
 
 MIN_CHARS = 10
 SHARD_KEYS = 200_000
@@ -119,13 +119,14 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
     """(doc_id, version, line, h1, h2) of every line whose key is long enough; version tells texts of one id apart."""
 
     def emit(batches):
-        for b in batches:
+        for b in sliced(batches):
             ids, versions, lines, digests = [], [], [], []
             for i, v, t in zip(*(b.column(k).to_pylist() for k in range(3))):
                 for n, d in hashes(t, least):
                     ids.append(i), versions.append(v), lines.append(n), digests.append(d)
             h = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(versions, pa.int64()), pa.array(lines, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["doc_id", "version", "line", "h1", "h2"])
+        release()
 
     return docs.select("doc_id", "version", "text").mapInArrow(emit, "doc_id long, version long, line int, h1 long, h2 long")
 
@@ -169,7 +170,7 @@ def _kept(with_text: bool):
     @F.arrow_udf(KEPT)
     def of(text: pa.Array, dropped: pa.Array) -> pa.Array:
         out = []
-        for t, d in zip(text.to_pylist(), dropped.to_pylist()):
+        for t, d in ((x.as_py(), y.as_py()) for x, y in zip(text, dropped)):
             lines = (t or "").split("\n")
             drop = set(d or ())
             kept = "\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else (t or "")

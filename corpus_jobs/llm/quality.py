@@ -62,7 +62,7 @@ def measure(text: str | None) -> tuple[int, ...]:
 
 @F.arrow_udf(MEASURES)
 def measures(text: pa.Array) -> pa.Array:
-    rows = [measure(t) for t in text.to_pylist()]
+    rows = [measure(t) for t in (x.as_py() for x in text)]
     columns = zip(*rows) if rows else [[] for _ in MEASURES]
     return pa.StructArray.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=MEASURES.names)
 

@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     @F.arrow_udf(T.LongType())
     def of(text: pa.Array) -> pa.Array:
-        return pa.array([fingerprint(t, words_per_shingle) for t in text.to_pylist()], type=pa.int64())
+        return pa.array([fingerprint(t, words_per_shingle) for t in (x.as_py() for x in text)], type=pa.int64())
 
     return docs.select(F.col(id_col).alias("doc_id"), of(F.col(text_col)).alias("fp"))
 
