@@ -1,9 +1,9 @@
 """Whole-text encoding with a byte-level BPE of the tokenizers library, a unit of text at a time.
 
-The pre-tokenizer starts a new piece at a space that stands before a letter or digit, at the end of a run of letters,
-and at a letter after a single line feed; merges never cross a piece. So a text is cut at such spaces, a unit that is
-not known is cut after its word and line, and the library encodes each distinct part once. A text's ids are its units'
-ids in a row.
+Merges never cross the pieces that the pre-tokenizer makes, so a text is cut at places that are piece boundaries
+whatever stands around them: before a run of Latin letters with its space, after it, and between a line feed and a
+letter. The library encodes each distinct unit once, and a text's ids are its units' ids in a row. A text with a unit
+that could join its neighbours (letters of other scripts, a lone quote before a letter) is encoded whole.
 """
 
 from __future__ import annotations
@@ -16,9 +16,13 @@ DEFAULT = "byte_bpe_50k.json"
 #: Units of a generation. A full generation becomes the older one, from which units still in use come back.
 MAX_UNITS = 150_000
 
-_CUT = re.compile(r" (?=[^\W_])")
-_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+")
-_LINE = re.compile(r"[^\w\s]{0,3}\n(?=[A-Za-z])")
+_LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+#: Words (with inner quotes), a line feed or tab before a letter, and everything between.
+_UNIT = re.compile(rf" ?[{_LATIN}]+(?:'[{_LATIN}]+)*|[^\S ](?=[{_LATIN}])|(?:[^{_LATIN}\s]| (?![{_LATIN}])|[^\S ](?![{_LATIN}]))+")
+_WORD = re.compile(rf" ?[{_LATIN}]+\Z")
+_LETTER = re.compile(rf"[{_LATIN}]\Z")
+#: Control characters that count as blanks in some pattern languages only.
+_UNSURE = set("\x1c\x1d\x1e\x1f")
 
 
 def default_path(name: str = DEFAULT) -> str:
@@ -32,34 +36,35 @@ class NotAUnit(Exception):
 
 
 class Units(dict):
-    """Ids of units by their text, computed when first asked for; lead stands before every unit."""
+    """Ids of units by their text, computed when first asked for."""
 
-    def __init__(self, encoder: Encoder, lead: str):
+    def __init__(self, encoder: Encoder):
         super().__init__()
-        self.word, self.raw, self.tail = encoder.word, encoder.raw, encoder.tail
-        self.lead, self.older = lead, {}
+        self.encoder, self.older = encoder, {}
 
     def __missing__(self, unit: str) -> bytes:
         ids = self.older.get(unit)
         if ids is None:
-            if self.lead and not unit[:1].isalnum():
-                raise NotAUnit
-            word = _WORD.match(unit)
-            end = word.end() if word else 0
-            if end == len(unit) and end:
-                ids = self.word(self.lead + unit)
-            elif end and not unit[end].isalpha():
-                ids = self[unit[:end]] + self.tail(unit[end:])
-                if len(unit) > end + 2:
-                    return ids  # two words over a line end seldom come again
+            if _WORD.match(unit):
+                ids = self.encoder.word(unit)
+            elif _LETTER.search(unit) or self.alone(unit):
+                ids = self.encoder.raw(unit)
             else:
-                ids = self.raw(self.lead + unit)
+                raise NotAUnit
         if len(self) >= MAX_UNITS:
             self.older = dict(self)
             self.clear()
         self[unit] = ids
         return ids
 
+    @staticmethod
+    def alone(marks: str) -> bool:
+        """Whether marks, digits and blanks between words are pieces of their own: no letters, and no quote at the end
+        that would begin a piece and so a contraction."""
+        if any(c.isalpha() or c in _UNSURE for c in marks):
+            return False
+        return marks[-1] != "'" or (len(marks) > 1 and (marks[-2] == " " or not (marks[-2].isspace() or marks[-2].isnumeric())))
+
 
 class Encoder:
     """Encodes texts to the bytes of little-endian unsigned 32-bit ids."""
@@ -72,8 +77,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.spaced, self.bare = Units(self, " "), Units(self, "")
-        self.marks: dict[str, bytes] = {}
+        self.units = Units(self)
         # byte-level vocabularies write visible Latin-1 bytes as themselves and the others, in order, from code 256 on
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in shown]
@@ -84,33 +88,18 @@ class Encoder:
 
     def word(self, text: str) -> bytes:
         """Ids of a run of letters with or without a space before it, which the pre-tokenizer leaves whole."""
-        pieces = self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.letters))
+        if text.isascii():
+            text = "\u0120" + text[1:] if text[0] == " " else text
+        else:
+            text = text.encode().decode("latin-1").translate(self.letters)
+        pieces = self.tokenizer.model.tokenize(text)
         return array("I", [p.id for p in pieces]).tobytes()
 
-    def tail(self, text: str) -> bytes:
-        """Ids of what follows a word: marks, or marks, a line feed and more."""
-        line = _LINE.match(text)
-        if line:
-            return self.mark(line[0]) + self.bare[text[line.end() :]]
-        return self.mark(text) if len(text) < 3 else self.raw(text)
-
-    def mark(self, text: str) -> bytes:
-        ids = self.marks.get(text)
-        if ids is None:
-            ids = self.raw(text)
-            if len(self.marks) < 10_000:
-                self.marks[text] = ids
-        return ids
-
     def encode(self, text: str) -> bytes:
-        parts = text.split(" ")
-        get = self.spaced.__getitem__
         try:
-            first, parts[0] = self.raw(parts[0]), b""
-            return first + b"".join(map(get, parts[1:]))
-        except NotAUnit:  # runs of spaces, or spaces before marks
-            parts = _CUT.split(text)
-            return self.raw(parts[0]) + b"".join(map(get, parts[1:]))
+            return b"".join(map(self.units.__getitem__, _UNIT.findall(text)))
+        except NotAUnit:
+            return self.raw(text)
 
 
 _encoders: dict[str, Encoder] = {}
