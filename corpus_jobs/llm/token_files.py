@@ -25,7 +25,7 @@ OPTIONS = {
     "orc.create.index": "true",
     "orc.row.index.stride": "1000",
     "orc.stripe.size": str(16 << 20),
-    "compression": "zstd",
+    "compression": "lz4",
 }
 
 
