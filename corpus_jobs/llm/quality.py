@@ -32,6 +32,8 @@ SOFT_RULES = {
 }
 #: A rule is enforced on hosts whose shrunk failure rate is above this.
 HOST_LIMIT = 0.5
+#: Documents that the prior counts for, at least and at most.
+MIN_STRENGTH, MAX_STRENGTH = 10.0, 1e6
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -78,18 +80,23 @@ def fails(rule: str, m: str = "m") -> Column:
 def host_verdicts(measured: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     """measured(host, m) -> one row per host: n, and for each soft rule rate_<rule> (shrunk) and strict_<rule>.
 
-    Beta prior by the method of moments over hosts: with mean p and variance v of the hosts' rates, a + b =
-    p (1 - p) / v - 1, held between 1 and 1,000,000; so one document never condemns a host where hosts agree. A null
-    host is one host of its own.
+    The beta prior of a rule has the corpus rate p as its mean. Its strength a + b follows from how far the hosts' rates
+    lie apart beyond what chance would do (method of moments for unequal sizes): with S = sum n (rate - p)^2 over k
+    hosts and N documents, rho = (S / (p (1 - p)) - (k - 1)) / (N - sum n^2 / N - (k - 1)) and a + b = (1 - rho) / rho,
+    held between MIN_STRENGTH and MAX_STRENGTH; so a few documents never condemn a host. A null host is one of its own.
     """
     counts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(fails(r)).alias(f"f_{r}") for r in SOFT_RULES])
     counts = materialize(counts, "hosts")
-    moments = counts.agg(*[x for r in SOFT_RULES for x in ((F.sum(f"f_{r}") / F.sum("n")).alias(f"p_{r}"), F.var_pop(F.col(f"f_{r}") / F.col("n")).alias(f"v_{r}"))])
+    n = F.sum("n")
+    totals = [n.alias("all_n"), (n - F.sum(F.col("n") * F.col("n")) / n - F.count(F.lit(1)) + 1).alias("spare"), F.count(F.lit(1)).alias("k")]
+    moments = counts.agg(*totals, *[x for r in SOFT_RULES for x in ((F.sum(f"f_{r}") / n).alias(f"p_{r}"), F.sum(F.col(f"f_{r}") * F.col(f"f_{r}") / F.col("n")).alias(f"q_{r}"))])
     both = counts.join(F.broadcast(moments))  # one row
     out = ["host", "n"]
     for r in SOFT_RULES:
-        p, v = F.col(f"p_{r}"), F.col(f"v_{r}")
-        strength = F.least(F.lit(1e6), F.greatest(F.lit(1.0), F.when(v > 0, p * (1 - p) / v - 1).otherwise(F.lit(1e6))))
+        p = F.col(f"p_{r}")
+        apart = F.try_divide(F.col(f"q_{r}") - F.col("all_n") * p * p, p * (1 - p)) - F.col("k") + 1
+        rho = F.try_divide(apart, F.col("spare"))
+        strength = F.when(rho > 0, F.least(F.lit(MAX_STRENGTH), F.greatest(F.lit(MIN_STRENGTH), (1 - rho) / rho))).otherwise(MAX_STRENGTH)
         rate = (F.col(f"f_{r}") + strength * p) / (F.col("n") + strength)
         out += [rate.alias(f"rate_{r}"), (rate > limit).alias(f"strict_{r}")]
     return materialize(both.select(*out), "verdicts")

@@ -75,6 +75,13 @@ def test_host_verdicts_by_hand(spark):
     assert kept[2000] and kept[2001] and all(kept[i] for i in range(400))
 
 
+def test_one_failure_does_not_condemn_a_small_host(spark):
+    bad = lambda i: " ".join(f"#{i}w{j} $" for j in range(20))
+    data = [(i, bad(i), f"single{i}") for i in range(30)] + [(100 + i, " ".join(f"w{i}x{j}" for j in range(20)), f"host{i}") for i in range(200)] + [(1000 + i, bad(i), "bad") for i in range(80)]
+    kept = {r["doc_id"]: r["kept"] for r in quality.score(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()}
+    assert all(kept[i] for i in range(30)) and not any(kept[1000 + i] for i in range(80))
+
+
 def test_keep_good_is_score(spark, odd_docs):
     kept = quality.keep_good(odd_docs)
     assert kept.columns == odd_docs.columns
