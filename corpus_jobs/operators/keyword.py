@@ -115,7 +115,10 @@ def analysed(text: Column, stemmed: bool) -> Column:
 
 
 def index(chunks: DataFrame, stemmed: bool = True, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
-    """chunks -> (chunk_id, col, toks): the terms of every indexed column, in order."""
+    """chunks -> (chunk_id, col, toks): the terms of every indexed column, in order.
+
+    A search reads the index several times; write it once (storage.materialize, or a table) rather than tokenise again.
+    """
     each = F.array(*[F.struct(F.lit(i).alias("col"), F.coalesce(F.col(c), F.lit("")).alias("value")) for i, c in enumerate(columns)])
     rows = chunks.select("chunk_id", F.explode(each).alias("x")).select("chunk_id", "x.col", "x.value")
     return rows.select("chunk_id", "col", analysed(F.col("value"), stemmed).alias("toks"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import answers, chunking, dense, keyword, ranking, retrieval
 from ..functions import routing
+from ..storage import materialize
 from .inputs import frame, table
 from .registry import query
 
@@ -19,7 +20,7 @@ def _phrases(spark, sf):
 
 def _document_index(spark, sf, stemmed=False):
     chunks = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.lit("").alias("document_id"), "text", F.col("source").alias("file_name"))
-    return keyword.index(chunks, stemmed)
+    return materialize(keyword.index(chunks, stemmed), "index")  # tokenised once for all uses
 
 
 _INDEXED = f"""d AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, {_TOKENS.format("text")} AS toks, {_TOKENS.format("source")} AS src FROM documents),
@@ -93,7 +94,7 @@ def j2_identifier_metadata(spark, sf):
 def _phrase_hits(spark, sf):
     asked = retrieval.variants(frame(spark, sf, "asked"))
     keyed = asked.withColumn("pair", F.concat_ws("|", F.col("query_id").cast("string"), "ident", F.col("variant").cast("string")))
-    index = keyword.index(frame(spark, sf, "chunks"), stemmed=False)
+    index = materialize(keyword.index(frame(spark, sf, "chunks"), stemmed=False), "index")
     found = keyword.phrase_search(keyed.select(F.col("pair").alias("query_id"), "question"), index, stemmed=False)
     return keyed.join(found.withColumnRenamed("query_id", "pair"), "pair").select("query_id", "ident", "variant", "chunk_id", "position")
 
@@ -294,8 +295,8 @@ def x3_pair_scorer(spark, sf):
 def minimum_slice(spark, sf):
     """Documents -> chunks -> stemmed postings -> phrase search with spans of the benchmark -> source cards."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.lit(0).alias("section_index"), "text", F.col("source").alias("file_name"))
-    chunks = chunking.chunk_sections(docs)
-    found = keyword.phrase_search(_phrases(spark, sf), keyword.index(chunks))
+    chunks = materialize(chunking.chunk_sections(docs), "chunks")
+    found = keyword.phrase_search(_phrases(spark, sf), materialize(keyword.index(chunks), "index"))
     rows = found.join(chunks, "chunk_id").select("query_id", F.col("position").alias("rank"), "document_id", "chunk_id", "score", "text", "file_name", F.lit("txt").alias("file_type"), F.lit(None).cast("int").alias("page_number"), F.lit(None).cast("int").alias("slide_number"), F.lit("").alias("section"))
     return answers.source_cards(rows)
 
