@@ -113,20 +113,31 @@ def identifier_search(records: DataFrame, by_meta: DataFrame, by_phrase: DataFra
 # --- fusion, boosts and filters ------------------------------------------------------------------------------------------
 
 
-def fuse(candidates: DataFrame, k: int = RRF_K) -> DataFrame:
-    """(query_id, chunk_id, score, best): reciprocal-rank sums over the lists, and the copy with most metadata, the
-    earlier list's on a tie. Texts need not take part: join them to the few rows that remain."""
+def _fused(candidates: DataFrame, k: int) -> DataFrame:
     rows = candidates.filter("chunk_id is not null and chunk_id <> ''")
     copy = F.struct(*[c for c in candidates.columns if c not in ("query_id", "chunk_id", "score")])
-    return rows.groupBy("query_id", "chunk_id").agg(F.sum(1 / (k + F.col("rank"))).alias("score"), F.max_by(copy, F.struct("meta_keys", -F.col("list_no"), -F.col("rank"))).alias("best"), F.min(F.struct("list_no", "rank")).alias("seen"))
+    return rows.groupBy("query_id", "chunk_id").agg(
+        F.sum(1 / (k + F.col("rank"))).alias("score"),
+        F.max_by(copy, F.struct("meta_keys", -F.col("list_no"), -F.col("rank"))).alias("best"),
+        F.min(F.struct("list_no", "rank")).alias("seen"),
+        F.min_by("score", "rank").alias("own"),
+        F.max("list_no").alias("last"),
+    )
+
+
+def fuse(candidates: DataFrame, k: int = RRF_K) -> DataFrame:
+    """(query_id, chunk_id, score, best, seen): reciprocal-rank sums over the lists, and the copy with most metadata,
+    the earlier list's on a tie. Texts need not take part: join them to the few rows that remain."""
+    return _fused(candidates, k).drop("own", "last")
 
 
 def fuse_or_keep(candidates: DataFrame, k: int = RRF_K) -> DataFrame:
-    """Fused scores for questions with several lists; questions with a single list keep its own scores."""
-    n = candidates.groupBy("query_id").agg((F.max("list_no") == F.min("list_no")).alias("single"))
-    own = candidates.groupBy("query_id", "chunk_id").agg(F.max_by("score", F.struct(-F.col("rank"))).alias("own"))
-    both = fuse(candidates, k).join(own, ["query_id", "chunk_id"]).join(n, "query_id")
-    return both.withColumn("score", F.when(F.col("single"), F.col("own")).otherwise(F.col("score"))).drop("own", "single")
+    """Fused scores for questions with several lists; questions with a single list keep its own scores. One shuffle by
+    question and chunk, one by question."""
+    w = W.partitionBy("query_id")
+    single = F.max("last").over(w) == F.min("seen.list_no").over(w)
+    both = _fused(candidates, k).withColumn("single", single)
+    return both.withColumn("score", F.when(F.col("single"), F.col("own")).otherwise(F.col("score"))).drop("own", "last", "single")
 
 
 def lists_for(plans: DataFrame, identifier: DataFrame, page: DataFrame, keyword: DataFrame, dense: DataFrame) -> DataFrame:
