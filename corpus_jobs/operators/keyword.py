@@ -144,7 +144,7 @@ def _bm25(hits: DataFrame, lens: DataFrame, group: list[str]) -> DataFrame:
 
 
 def _top(ranked: DataFrame, k: int) -> DataFrame:
-    w = W.partitionBy("query_id").orderBy("rank", "chunk_id")
+    w = W.partitionBy("query_id").orderBy(F.round("rank", 9), "chunk_id")  # sums differ in their last digits with their order
     score = F.when(F.col("rank") == 0, 0.5).otherwise(1 / (1 + F.abs("rank")))
     return ranked.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k).withColumn("score", score)
 

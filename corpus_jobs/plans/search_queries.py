@@ -32,7 +32,7 @@ _INDEXED = f"""d AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, {_TOKENS.format
     h AS (SELECT query_id, chunk_id, (length(s) - length(replace(s, p, ''))) / length(p) AS tf FROM (SELECT chunk_id, ' ' || array_to_string(toks, '  ') || ' ' AS s FROM d) JOIN (SELECT query_id, ' ' || array_to_string(q, '  ') || ' ' AS p FROM q) ON contains(s, p)),
     df AS (SELECT query_id, count(*) AS df FROM h GROUP BY ALL),
     r AS (SELECT query_id, chunk_id, -(greatest(1e-6, ln((n_rows - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n_tokens / mean_len))) AS rank FROM h JOIN df USING (query_id) JOIN n USING (chunk_id), t)
-    SELECT query_id, chunk_id, round(rank, 6) AS rank, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS position, round(1 / (1 + abs(rank)), 6) AS score FROM r QUALIFY position <= 10""")
+    SELECT query_id, chunk_id, round(rank, 6) AS rank, row_number() OVER (PARTITION BY query_id ORDER BY round(rank, 9), chunk_id) AS position, round(1 / (1 + abs(rank)), 6) AS score FROM r QUALIFY position <= 10""")
 def k1_phrase_search(spark, sf):
     found = keyword.phrase_search(_phrases(spark, sf), _document_index(spark, sf), stemmed=False)
     return found.select("query_id", "chunk_id", F.round("rank", 6).alias("rank"), "position", F.round("score", 6).alias("score"))
@@ -43,7 +43,7 @@ def k1_phrase_search(spark, sf):
     a AS (SELECT DISTINCT query_id, unnest(q) AS term FROM q), h AS (SELECT query_id, chunk_id, term, tf FROM c JOIN a USING (term)),
     df AS (SELECT query_id, term, count(*) AS df FROM h GROUP BY ALL),
     r AS (SELECT query_id, chunk_id, -sum(greatest(1e-6, ln((n_rows - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n_tokens / mean_len))) AS rank FROM h JOIN df USING (query_id, term) JOIN n USING (chunk_id), t GROUP BY ALL)
-    SELECT query_id, chunk_id, round(rank, 4) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rank, 6), chunk_id) AS p FROM r) WHERE p <= 10""")
+    SELECT query_id, chunk_id, round(rank, 4) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rank, 9), chunk_id) AS p FROM r) WHERE p <= 10""")
 def k2_any_term_search(spark, sf):
     found = keyword.any_term_search(_phrases(spark, sf), _document_index(spark, sf), k=10, stemmed=False)
     return found.select("query_id", "chunk_id", F.round("rank", 4).alias("rank"))
