@@ -144,15 +144,13 @@ def dropped_lines(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     n_shards = max(4 * shuffle_partitions(spark), repeats.count() // SHARD_KEYS + 1)
     shard = F.pmod(F.col("h1"), F.lit(n_shards)).cast("int")
     index = materialize(repeats.withColumn("shard", shard).groupBy("shard").applyInPandas(_index_shard, INDEX), "index")
-    # one small number for each shard that is probed more than usual; their count follows from the number of shards
-    loads = index.select("shard", "probes")
+    # how many copies a shard needs: one row per shard, read from files, so Spark knows that it is small
+    loads = materialize(index.select("shard", "probes"), "loads")
     mean = loads.agg(F.avg("probes")).first()[0] or 1.0
-    copies = loads.select("shard", F.ceil(F.col("probes") / (2 * mean)).cast("int").alias("copies"))
-    placed = index.join(copies, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    hot = {r["shard"]: r["copies"] for r in copies.filter("copies > 1").collect()}
-    lookup = F.create_map(*[F.lit(x) for kv in hot.items() for x in kv]) if hot else None
-    copies_of = F.coalesce(F.try_element_at(lookup, F.col("shard")), F.lit(1)) if hot else F.lit(1)
-    probes = lines.withColumn("shard", shard).withColumn("copy", F.pmod(F.xxhash64("doc_id", "line"), copies_of).cast("int"))
+    loads = loads.select("shard", F.ceil(F.col("probes") / (2 * mean)).cast("int").alias("copies"))
+    placed = index.join(loads, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    probes = lines.withColumn("shard", shard).join(loads, "shard")  # a shard without repeated lines has nothing to drop
+    probes = probes.withColumn("copy", F.pmod(F.xxhash64("doc_id", "line"), F.col("copies")).cast("int")).drop("copies")
     found = placed.drop("copies").groupBy("shard", "copy").cogroup(probes.groupBy("shard", "copy")).applyInPandas(_probe, "doc_id long, version long, line int")
     return found.groupBy("doc_id", "version").agg(F.collect_set("line").alias("dropped"))  # no more than the document's own lines
 
