@@ -5,15 +5,21 @@ A file stream of Spark sees new paths only; changes and deletions come as rows (
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.catalog import without
 from ..sources.files import file_type
+from ..storage import materialize
 
 DEBOUNCE_SECONDS = 2.0
 #: Event time after which a path's last event is forgotten, and how late an event may come; far longer than the debounce.
@@ -62,29 +68,86 @@ def debounced(events: DataFrame, seconds: float = DEBOUNCE_SECONDS, keep_state:
     return marked.groupBy("path").applyInPandasWithState(fold, "path string, kind string, ts timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def debounced_batch(events: DataFrame, seconds: float = DEBOUNCE_SECONDS, key: str = "path", micros: str = "us") -> DataFrame:
+def chains(times, seconds: int) -> list[tuple[int, int]]:
+    """What the last accepted time before these times (in order, microseconds) makes of the last accepted one among them.
+
+    (bound, last) in order: a time before them up to bound leads to last; a later one lets none of them be accepted.
+    Chains that accept the same event are one from there on, so there are at most as many as times in the first interval.
+    """
+    open_, first, entered = deque(), None, None
+    for t in times:
+        first = t if first is None else first
+        merged = []
+        while open_ and t - open_[0][0] >= seconds:
+            merged += open_.popleft()[1]
+        bound = min(t - seconds, first)  # what came before is not later than the first
+        if entered is None or bound > entered:
+            merged.append(bound)
+            entered = bound
+        if merged:
+            open_.append((t, merged))
+    return sorted((b, last) for last, bounds in open_ for b in bounds)
+
+
+def debounced_batch(events: DataFrame, seconds: float = DEBOUNCE_SECONDS, key: str = "path", micros: str = "us", buckets: int = 64) -> DataFrame:
     """The same over a whole table events(key, us, ...), us being microseconds.
 
-    Events of a key at least `seconds` after the one before them are accepted whatever was accepted earlier, and each
-    begins a run; only within a run is there a fold, which is over the run's times alone, as a higher-order function.
+    Events are range-partitioned by key and time, so that a key with many events is many parts. Only the first key of a
+    part can go on from the part before; each part says what any last accepted time would become there (chains), and
+    following the parts in order gives the one that each begins with. Then every part folds its own rows in order.
     """
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy(key).orderBy(micros, "event_id")
-    gap = F.col(micros) - F.lag(micros).over(w)
-    starts = F.when(gap.isNull() | (gap >= int(seconds * 1e6)), 1).otherwise(0)
-    runs = events.withColumn("_run", F.sum(starts).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    row = F.struct(micros, "event_id")
-    per = runs.groupBy(key, "_run").agg(F.array_sort(F.collect_list(row)).alias("x"))
-
-    def step(acc, x):
-        ok = F.size(acc) == 0
-        far = x[micros] - F.element_at(acc, -1)[micros] >= int(seconds * 1e6)
-        return F.when(ok, F.array(x)).when(far, F.concat(acc, F.array(x))).otherwise(acc)
-
-    empty = F.slice(F.col("x"), 1, 0)
-    kept = per.select(key, F.explode(F.aggregate("x", empty, step)).alias("k"))
-    return kept.select(key, F.col(f"k.{micros}").alias(micros), F.col("k.event_id").alias("event_id"))
+    gap = int(seconds * 1e6)
+    rows = events.select(key, micros, "event_id")
+    # written once, so that both passes see the same parts
+    dealt = materialize(rows.repartitionByRange(buckets, key, micros, "event_id").withColumn("_part", F.spark_partition_id()), "dealt")
+    order = dealt.repartition(buckets, "_part").sortWithinPartitions("_part", key, micros, "event_id")
+    carried: dict[int, int] = {}
+
+    def parts(batches):
+        """(part, key, time or None) in order."""
+        for b in batches:
+            yield from zip(*[b.column(c).to_pylist() for c in ("_part", key, micros)])
+
+    def summary(batches):
+        for part, mine in groupby(parts(batches), lambda r: r[0]):
+            for n, (k, times) in enumerate(groupby(mine, lambda r: r[1])):
+                known = (t for _, _, t in times if t is not None)
+                if n == 0:
+                    first, found = k, chains(known, gap)
+                    last = found[0][1] if found else None
+                else:
+                    last = None
+                    for t in known:
+                        last = t if last is None or t - last >= gap else last
+            out = {"_part": [part], "first": [first], "bounds": [[b for b, _ in found]], "lasts": [[x for _, x in found]], "end": [k], "last": [last], "one": [n == 0]}
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("_part", pa.int32()), ("first", kind), ("bounds", pa.list_(pa.int64())), ("lasts", pa.list_(pa.int64())), ("end", kind), ("last", pa.int64()), ("one", pa.bool_())]))
+
+    def fold(batches):
+        at, last = None, None
+        for b in batches:
+            keep = []
+            for part, k, t in parts([b]):
+                if at is None or at != (part, k):
+                    last = carried.get(part) if at is None or at[0] != part else None
+                    at = (part, k)
+                ok = t is None or last is None or t - last >= gap
+                last = t if ok and t is not None else last
+                keep.append(ok)
+            yield b.select([key, micros, "event_id"]).filter(pa.array(keep, pa.bool_()))
+
+    kind = to_arrow_type(dealt.schema[key].dataType)
+    name = dealt.schema[key].dataType.simpleString()
+    told = materialize(order.mapInArrow(summary, f"_part int, first {name}, bounds array<long>, lasts array<long>, end {name}, last long, one boolean"), "chains")
+    before = None  # key and last accepted time at the end of the part before
+    for r in told.orderBy("_part").toLocalIterator():  # one row per part
+        last = r["last"]
+        if before is not None and before[0] == r["first"] and before[1] is not None:
+            carried[r["_part"]] = before[1]
+            if r["one"]:
+                i = bisect_left(r["bounds"], before[1])
+                last = r["lasts"][i] if i < len(r["bounds"]) else before[1]
+        before = (r["end"], last)
+    return order.mapInArrow(fold, dealt.select(key, micros, "event_id").schema)
 
 
 def deletions(events: DataFrame) -> DataFrame:

@@ -230,3 +230,18 @@ def test_debounce_batch_is_the_fold(spark):
         mine = sorted((u, i) for p, i, u in rows if p == k)
         want |= {i for (_, i), ok in zip(mine, watch.accepted([u / 1e6 for u, _ in mine], None, 2.0)) if ok}
     assert {r["event_id"] for r in got.collect()} == want
+
+
+def test_debounce_batch_of_one_long_run_gathers_no_key(spark):
+    """One unbroken series of one path, over many parts: the same events as the fold, and no array or window of a key."""
+    rng = random.Random(5)
+    times, t = [], 0
+    for _ in range(3000):
+        t += rng.choice((0, 10_000, 300_000, 1_100_000))
+        times.append(t)
+    rows = [("long", i, t) for i, t in enumerate(times)] + [(k, 5000 + i, t) for k in (None, "a", "z") for i, t in enumerate(times[:40])]
+    got = watch.debounced_batch(spark.createDataFrame(rows, "path string, event_id int, us long"), 2.0)
+    want = [(k, i) for k in ("long", None, "a", "z") for (_, i, _), ok in zip([r for r in rows if r[0] == k], watch.accepted([r[2] / 1e6 for r in rows if r[0] == k], None, 2.0)) if ok]
+    assert sorted(((r["path"], r["event_id"]) for r in got.collect()), key=str) == sorted(want, key=str)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "collect_list" not in plan
