@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import materialize, new_path, shared_dir
 
-__all__ = ["BLANKS", "as_bytes", "documents", "fresh", "materialize", "new_path", "release", "shared_dir", "shuffle_partitions", "sliced"]
+__all__ = ["BLANKS", "as_bytes", "documents", "fresh", "materialize", "new_path", "release", "shared_dir", "shuffle_partitions", "sliced", "with_last"]
 
 #: Bytes that separate words: space and \t \n \v \f \r, which is what bytes.split() and bytes.strip() take.
 BLANKS = b" \t\n\r\x0b\x0c"
@@ -43,6 +43,16 @@ def sliced(batches, rows: int = 500) -> Iterator[pa.RecordBatch]:
             yield b.slice(i, rows)
 
 
+def with_last(items: Iterable) -> Iterator[tuple[bool, object]]:
+    """(whether it is the last one, item) for each item."""
+    items = iter(items)
+    for item in items:
+        for following in items:
+            yield False, item
+            item = following
+        yield True, item
+
+
 def release() -> None:
     """Gives freed memory back to the system at the end of a task; Python workers live on between tasks."""
     pa.default_memory_pool().release_unused()

@@ -5,10 +5,14 @@ bits of one half or at most one bit of the other, so the radius-one Hamming ball
 every fingerprint enters a table under the 33 values of the ball of each half, and only those that meet under one value
 are compared in full.
 
-Groups of copies never expand into pairs. Equal fingerprints are one node. Under each value, members are first linked
-to a centre only, which is linear, and these links give provisional groups. Then only values that still hold several
-groups are looked at again: members outside the value's largest group against the members under that value. Two
-members of one group need no further link, so the components are exactly those of all pairs within the distance.
+Groups of copies never expand into pairs, and the work grows with the number of fingerprints, not with its square:
+ * Equal fingerprints are one node.
+ * Up to CROWD nodes under one value are compared in the task that reads them, and only the links that connect them
+   come out, fewer than there are nodes.
+ * A value with more nodes is refined by the other half. A node within one bit of the value puts in the points (value,
+   other half with r bits changed), r being what is left of a radius of two. Two nodes under the value are within four
+   bits just if they share a point, no point has more than 2081 nodes (the ball of radius two), and no node makes more
+   than 529 points of one value. Points are then compared as values are.
 """
 
 from __future__ import annotations
@@ -20,10 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, documents, materialize
+from .common import as_bytes, documents, materialize, with_last
 
 SHINGLE_WORDS = 4
 MAX_DISTANCE = 4
+#: Nodes of one value that are compared in one task; a value with more of them is refined, so this bounds work, not results.
+CROWD = 4096
 
 
 def fingerprint(text: str | None, words_per_shingle: int = SHINGLE_WORDS) -> int:
@@ -70,8 +76,64 @@ def _table(nodes: DataFrame) -> DataFrame:
     return nodes.select("fp", F.explode(F.concat(_ball(low, 0), _ball(high, 1))).alias("key"))
 
 
-def _near(a: str, b: str, max_distance: int) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= max_distance
+def _points(crowded: DataFrame) -> DataFrame:
+    """crowded(key, fp) -> (key, fp), key being a 64-bit point that agrees with the old key in its half and is within two
+    bits of fp: the other half keeps one changed bit where the key has used one up, else two."""
+    ones = [1 << i for i in range(32)]
+    twos = [a | b for i, a in enumerate(ones) for b in ones[:i]]
+    masks = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
+    full = F.lit(0xFFFFFFFF).cast("long")
+    low, high = F.col("fp").bitwiseAND(full), F.shiftrightunsigned("fp", 32)
+    upper, value = F.shiftrightunsigned("key", 32) == 1, F.col("key").bitwiseAND(full)
+    own, other = F.when(upper, high).otherwise(low), F.when(upper, low).otherwise(high)
+    change = F.when(own == value, masks([0, *ones, *twos])).otherwise(masks([0, *ones]))
+    made = crowded.select("fp", upper.alias("upper"), value.alias("value"), other.alias("other"), F.explode(change).alias("change"))
+    changed = F.col("other").bitwiseXOR(F.col("change"))
+    point = F.when(F.col("upper"), F.shiftleft("value", 32).bitwiseOR(changed)).otherwise(F.shiftleft(changed, 32).bitwiseOR(F.col("value")))
+    return made.select(point.alias("key"), "fp")
+
+
+def spanning(fps: np.ndarray, max_distance: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Links (a, b) within the distance that connect whatever pairs within it connect; fewer links than nodes."""
+    left, a, b = fps, [], []
+    while len(left) > 1:
+        todo, left = [left[0]], left[1:]
+        while todo and len(left):
+            x = todo.pop()
+            near = np.bitwise_count(left ^ x) <= max_distance
+            if near.any():
+                found = left[near]
+                a.append(found), b.append(np.full(len(found), x))
+                todo.extend(found)
+                left = left[~near]
+    return a, b
+
+
+def _linked(table: DataFrame, max_distance: int) -> DataFrame:
+    """table(key, fp) -> links (a, b) among the nodes of each key, which may have a few thousand."""
+
+    def run(batches):
+        keys, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        for last, b in with_last(batches):
+            keys = np.concatenate([keys, b.column(0).to_numpy()])
+            fps = np.concatenate([fps, b.column(1).to_numpy().view(np.uint64)])
+            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            ends = np.append(cuts, len(keys)) if last else cuts  # the last key goes on in the next batch
+            begins = np.concatenate([[0], cuts])[: len(ends)]
+            size = ends - begins
+            two = begins[size == 2]
+            two = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= max_distance]
+            left, right = [fps[two]], [fps[two + 1]]
+            for i, j in zip(begins[size > 2].tolist(), ends[size > 2].tolist()):
+                x, y = spanning(fps[i:j], max_distance)
+                left += x
+                right += y
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (left, right)], names=["a", "b"])
+            done = int(ends[-1]) if len(ends) else 0
+            keys, fps = keys[done:], fps[done:]
+
+    links = table.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
 
 
 def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -99,23 +161,15 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return links.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
 
 
-def links_of(nodes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+def links_of(nodes: DataFrame, max_distance: int = MAX_DISTANCE, crowd: int = CROWD) -> DataFrame:
     """Edges (a, b) between fingerprints whose components are those of all pairs within max_distance (at most 4)."""
     if not 0 <= max_distance <= 4:
         raise ValueError("two halves with radius-one balls find distances up to 4")
-    table = _table(nodes).repartition("key")
-    full = table.groupBy("key").agg(F.min("fp").alias("centre"), F.max("fp").alias("last")).filter("centre <> last")
-    met = materialize(table.join(full.select("key", "centre"), "key"), "met")
-    stars = met.filter((F.col("fp") != F.col("centre")) & _near("fp", "centre", max_distance)).select(F.col("fp").alias("a"), F.col("centre").alias("b")).distinct()
-    stars = materialize(stars, "stars")
-    group = connected(stars).select(F.col("node").alias("fp"), "label")
-    held = materialize(met.select("key", "fp").join(group, "fp", "left").select("key", "fp", F.coalesce("label", "fp").alias("label")), "held")
-    main = held.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
-    mixed = held.join(main.select("key", "main"), "key")
-    outside = mixed.filter("label <> main").select("key", F.col("fp").alias("a"), F.col("label").alias("la"))
-    inside = mixed.select("key", F.col("fp").alias("b"), F.col("label").alias("lb"))
-    rest = outside.join(inside, "key").filter((F.col("la") != F.col("lb")) & _near("a", "b", max_distance)).select("a", "b")
-    return stars.unionByName(rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    table = _table(nodes)
+    full = table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = materialize(table.join(full, "key"), "met")
+    points = materialize(_points(met.filter(F.col("n") > crowd).select("key", "fp")), "points")
+    return _linked(met.filter(F.col("n") <= crowd).select("key", "fp").unionByName(points), max_distance)
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = SHINGLE_WORDS, max_distance: int = MAX_DISTANCE) -> DataFrame:

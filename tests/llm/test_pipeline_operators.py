@@ -16,8 +16,9 @@ def test_simhash_is_brute_force(spark, odd_docs, rows):
     assert got == brute.simhash(rows + NO_ID)
 
 
-def test_simhash_links_within_a_dense_group(spark):
-    """Chains and dense groups of fingerprints, against all pairs."""
+@pytest.mark.parametrize("crowd", [3, simhash.CROWD])
+def test_simhash_links_within_a_dense_group(spark, crowd):
+    """Chains and dense groups of fingerprints, against all pairs; with a small crowd, values are refined by points."""
     rng = random.Random(5)
     fps = set()
     for _ in range(6):
@@ -29,7 +30,7 @@ def test_simhash_links_within_a_dense_group(spark):
             fps.add(x)
     signed = [x - 2**64 if x >= 2**63 else x for x in fps]
     nodes = spark.createDataFrame([(x,) for x in signed], "fp long")
-    got = {r["node"]: r["label"] for r in simhash.connected(simhash.links_of(nodes)).collect()}
+    got = {r["node"]: r["label"] for r in simhash.connected(simhash.links_of(nodes, crowd=crowd)).collect()}
     want = list(signed)
     for i, a in enumerate(signed):  # labels spread over all pairs until nothing changes
         pass
@@ -44,6 +45,28 @@ def test_simhash_links_within_a_dense_group(spark):
     assert {x: got.get(x, x) for x in want} == at
 
 
+def test_simhash_work_is_linear_in_a_group_of_near_copies(spark):
+    """Rows that are compared and links that come out, for one group of near copies of two sizes."""
+
+    def made(n):
+        rng, docs = random.Random(n), []
+        base = [f"w{i}" for i in range(120)]
+        for i in range(n):
+            words = list(base)
+            for j in rng.sample(range(120), rng.randrange(1, 4)):
+                words[j] = f"x{rng.randrange(10**6)}"
+            docs.append((i, " ".join(words)))
+        nodes = simhash.fingerprints(spark.createDataFrame(docs, "doc_id long, text string")).select("fp").distinct()
+        n = nodes.count()
+        points = simhash._points(simhash._table(nodes)).count()
+        return simhash._table(nodes).count() / n, points / n, simhash.links_of(nodes).count() / n, simhash.links_of(nodes, crowd=8).count() / n
+
+    small, large = made(150), made(600)
+    assert small[0] == large[0] == 66 and small[1] == large[1] == 2 * 529 + 64 * 33
+    for few, many in zip(small[2:], large[2:]):  # links a node grow until all its values are crowded, and no further than these
+        assert few <= many <= 66
+
+
 def test_connected_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a long, b long")
     got = {r["node"]: r["label"] for r in simhash.connected(edges).collect()}
