@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, documents, materialize, with_last
+from .common import as_bytes, documents, materialize, shuffle_partitions, with_last
 
 SHINGLE_WORDS = 4
 MAX_DISTANCE = 4
@@ -165,7 +165,8 @@ def links_of(nodes: DataFrame, max_distance: int = MAX_DISTANCE, crowd: int = CR
     """Edges (a, b) between fingerprints whose components are those of all pairs within max_distance (at most 4)."""
     if not 0 <= max_distance <= 4:
         raise ValueError("two halves with radius-one balls find distances up to 4")
-    table = _table(nodes)
+    # every node makes 66 rows: they are made by many tasks, however few would hold the nodes
+    table = _table(nodes.repartition(shuffle_partitions(nodes.sparkSession), "fp"))
     full = table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = materialize(table.join(full, "key"), "met")
     points = materialize(_points(met.filter(F.col("n") > crowd).select("key", "fp")), "points")
