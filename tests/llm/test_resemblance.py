@@ -47,9 +47,42 @@ def texts():
     return rows + [(900, ""), (901, " \n"), (902, None), (903, "one"), (904, "One"), (905, rows[0][1]), (905, rows[7][1])]
 
 
-def test_components_are_all_pairs(spark, texts):
-    docs = spark.createDataFrame(texts, "doc_id long, text string")
-    assert sorted(tuple(r) for r in resemblance.components(docs).collect()) == all_pairs(texts)
+@pytest.mark.parametrize("crowd,held", [(resemblance.CROWD, resemblance.HELD), (resemblance.CROWD, 2), (3, 4)])
+def test_components_are_all_pairs(spark, texts, monkeypatch, crowd, held):
+    """Also with few members held at once, and with longer bands for all that hold several groups."""
+    monkeypatch.setattr(resemblance, "HELD", held)
+    rng = random.Random(7)
+    loose = [f"v{i}" for i in range(60)]  # a group whose members are alike, but most of them not alike enough
+    family = [(2000 + i, " ".join(f"y{rng.randrange(10**6)}" if j in rng.sample(range(60), 2) else w for j, w in enumerate(loose))) for i in range(40)]
+    rows = texts + family
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in resemblance.components(docs, crowd=crowd).collect()) == all_pairs(rows)
+
+
+def test_work_is_linear_in_a_group(spark, monkeypatch):
+    """Rows written for one group of near copies of two sizes."""
+    written = []
+
+    def counting(df, name):
+        out = materialize(df, name)
+        written.append(out.count())
+        return out
+
+    materialize = resemblance.materialize
+    monkeypatch.setattr(resemblance, "materialize", counting)
+
+    def made(n):
+        rng, rows = random.Random(n), []
+        for i in range(n):
+            words = [f"w{k}" for k in range(80)]
+            for j in rng.sample(range(80), rng.randrange(1, 4)):
+                words[j] = f"x{rng.randrange(10**6)}"
+            rows.append((i, " ".join(words)))
+        written.clear()
+        resemblance.components(spark.createDataFrame(rows, "doc_id long, text string")).count()
+        return sum(written) / n
+
+    assert made(800) <= 1.5 * made(200)
 
 
 def test_stage_finds_pairs_that_fingerprints_miss(spark, texts):
