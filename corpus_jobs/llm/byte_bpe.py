@@ -17,8 +17,8 @@ import re
 from array import array
 
 DEFAULT = "byte_bpe_50k.json"
-#: Units of a generation of a memo.
-MAX_UNITS = 200_000
+#: Units of a generation of a worker's memos: what follows a space, and runs of letters and of marks.
+MAX_WORDS, MAX_RUNS = 100_000, 30_000
 
 _LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Words (with inner quotes), a line feed or tab before a letter, and everything between.
@@ -44,15 +44,15 @@ class NotAUnit(Exception):
 class Memo(dict):
     """Ids by unit, computed when first asked for. A full generation becomes the older one, from which units come back."""
 
-    def __init__(self, compute):
+    def __init__(self, compute, most: int):
         super().__init__()
-        self.compute, self.older = compute, {}
+        self.compute, self.most, self.older = compute, most, {}
 
     def __missing__(self, unit: str) -> bytes:
         ids = self.older.get(unit)
         if ids is None:
             ids = self.compute(unit)
-        if len(self) >= MAX_UNITS:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         self[unit] = ids
@@ -78,7 +78,7 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.runs, self.words = Memo(self.run), Memo(self.spaced)
+        self.runs, self.words = Memo(self.run, MAX_RUNS), Memo(self.spaced, MAX_WORDS)
         # byte-level vocabularies write visible Latin-1 bytes as themselves and the others, in order, from code 256 on
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in shown]

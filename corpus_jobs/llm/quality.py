@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANKS, as_bytes, documents, fresh, materialize
+from .common import BLANKS, as_bytes, documents, fresh, materialize, release
 
 #: Fixed by the operator's contract.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
@@ -66,6 +66,7 @@ def measure(text: str | None) -> tuple[int, ...]:
 def measures(text: pa.Array) -> pa.Array:
     rows = [measure(t) for t in (x.as_py() for x in text)]
     columns = zip(*rows) if rows else [[] for _ in MEASURES]
+    release()
     return pa.StructArray.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=MEASURES.names)
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, documents, materialize, shuffle_partitions, with_last
+from .common import as_bytes, documents, materialize, release, shuffle_partitions, with_last
 
 SHINGLE_WORDS = 4
 MAX_DISTANCE = 4
@@ -59,7 +59,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     @F.arrow_udf(T.LongType())
     def of(text: pa.Array) -> pa.Array:
-        return pa.array([fingerprint(t, words_per_shingle) for t in (x.as_py() for x in text)], type=pa.int64())
+        found = pa.array([fingerprint(t, words_per_shingle) for t in (x.as_py() for x in text)], type=pa.int64())
+        release()
+        return found
 
     return docs.select(F.col(id_col).alias("doc_id"), of(F.col(text_col)).alias("fp"))
 
