@@ -32,6 +32,10 @@ from .common import as_bytes, documents, materialize, release, shuffle_partition
 DEPTH = 5
 BLOCK_BYTES = 32 << 20
 MIN_BLOCKS = 6
+#: Keys that a block's sorted runs may hold besides the largest one before they are merged.
+LOOSE_KEYS = 1 << 20
+#: Grams that a partition of the trees holds, about.
+PARTITION_GRAMS = 250_000
 ALPHA = 0.1
 #: The end of a text as a token; no word is a line feed.
 END = b"\n"
@@ -65,9 +69,13 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     """Distinct keys in order and the sums of their counts."""
     if not parts:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if len(parts) == 1:
+        return parts[0]
     keys, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    out, inverse = np.unique(keys, return_inverse=True)
-    return out, np.bincount(inverse, weights=n, minlength=len(out)).astype(np.int64)
+    order = np.argsort(keys, kind="stable")  # runs that are sorted already are merged
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(n, first)
 
 
 class Gathered:
@@ -78,9 +86,10 @@ class Gathered:
         self.parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {GRAM: [], WORD: []}
 
     def put(self, kind: int, keys: np.ndarray, n: np.ndarray, train: bool) -> None:
-        self.parts[kind].append((keys, n if train else np.zeros(len(n), np.int64)))
-        if len(self.parts[kind]) > 24:
-            self.parts[kind] = [merged(self.parts[kind])]
+        parts = self.parts[kind]
+        parts.append((keys, n if train else np.zeros(len(n), np.int64)))
+        if sum(len(k) for k, _ in parts) - max(len(k) for k, _ in parts) > LOOSE_KEYS:
+            self.parts[kind] = [merged(parts)]
 
     def add(self, texts: list[bytes], train: bool) -> None:
         g = np.sort(grams(texts, self.depth))
@@ -105,7 +114,7 @@ def gather(docs: DataFrame, depth: int) -> DataFrame:
 
     def run(batches):
         blocks: dict[int, Gathered] = defaultdict(lambda: Gathered(depth))
-        for b in sliced(batches):
+        for b in sliced(batches, 200):
             split = defaultdict(list)
             for block, held, t in zip(*(b.column(i).to_pylist() for i in range(3))):
                 split[block, held].append(lowered(t))
@@ -246,7 +255,7 @@ def gram_table(counts: DataFrame, depth: int) -> DataFrame:
     spark = counts.sparkSession
     context = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(0xFFFFFF).cast("long"))
     counts = materialize(counts, "grams")
-    dealt = counts.repartition(shuffle_partitions(spark), context).select("key", "n")
+    dealt = counts.repartition(max(shuffle_partitions(spark), counts.count() // PARTITION_GRAMS + 1), context).select("key", "n")
 
     def tops(batches):
         keys, n = _partition(batches)
@@ -293,11 +302,12 @@ def score_block(docs: pa.Table, asked: pa.Table, depth: int, tokens: int, distin
         return k[order], v[order]
 
     (word_keys, word_counts), (gram_keys, gram_logs) = answers(WORD), answers(GRAM)
-    columns: dict[str, list[np.ndarray]] = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
-    for b in sliced(docs.select(["text"]).to_batches()):
+    columns: dict[str, list[np.ndarray]] = {"n_tokens": [], "n_known": [], "base_score": [], "score": [], "bits_per_byte": []}
+    for b in sliced(docs.select(["text"]).to_batches(), 200):
         part = [lowered(t) for t in b.column(0).to_pylist()]
         begins = np.cumsum([0] + [len(t) + 1 for t in part[:-1]])
         columns["score"].append(np.add.reduceat(look_up(grams(part, depth), gram_keys, gram_logs), begins))
+        columns["bits_per_byte"].append(columns["score"][-1] / -math.log10(2) / np.array([len(t) + 1 for t in part]))
         number: dict[bytes, int] = {}
         lists = [t.split() + [END] for t in part]
         at = np.array([number.setdefault(w, len(number)) for ws in lists for w in ws], dtype=np.int64)
@@ -310,10 +320,10 @@ def score_block(docs: pa.Table, asked: pa.Table, depth: int, tokens: int, distin
         columns["n_known"].append(np.add.reduceat((c > 0).astype(np.int64)[at], begins))
         columns["base_score"].append(np.add.reduceat(logs[at], begins))
     out = {k: pa.array(np.concatenate(v)) for k, v in columns.items()}
-    return pa.table({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": out["n_tokens"], "n_known": out["n_known"], "train_tokens": pa.array([tokens] * docs.num_rows, pa.int64()), "base_score": out["base_score"], "score": out["score"]})
+    return pa.table({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": out["n_tokens"], "n_known": out["n_known"], "train_tokens": pa.array([tokens] * docs.num_rows, pa.int64()), "base_score": out["base_score"], "score": out["score"], "bits_per_byte": out["bits_per_byte"]})
 
 
-RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
 
 def held_out(id_col: str) -> Column:
@@ -323,8 +333,9 @@ def held_out(id_col: str) -> Column:
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of docs: base_score and score are log10 probabilities of the whole lower-cased text.
 
-    score covers every byte and the end of the text; divided by -log10(2) (bytes + 1) it is the code length per byte.
-    Null texts are empty: one token, the end. Null ids count as the empty string for the split. Where no document is
+    score covers every byte and the end of the text; bits_per_byte is the code length per byte: -score / log10(2) over the
+    bytes and the end.
+    Ids are whole numbers. Null texts are empty: one token, the end. Null ids count as the empty string for the split. Where no document is
     left for training, every byte decision has probability 1/2.
     """
     if not TOP < depth <= 5:
