@@ -5,6 +5,9 @@ pieces, of the product of the pieces' probabilities, which the forward algorithm
 a text's probability is the product over its words. Piece probabilities are learned by one step of expectation
 maximisation from uniform ones: every training document adds the expected number of times that each piece occurs in its
 words (forward-backward), so counts cover all training text. Both passes handle each distinct word of a batch once.
+
+Words and pieces are compared in lower case; pieces that differ in case only are one. Words of up to WORD_CHARS characters
+go through numpy together; longer ones one at a time, in logarithms, so that no product is too small to be told.
 """
 
 from __future__ import annotations
@@ -21,9 +24,10 @@ from .byte_bpe import default_path
 from .common import documents, release, sliced
 
 VOCABULARY = "piece_bpe_32k.model"
-PIECE_CHARS = 8
-#: Longer words are scored as several, each of so many characters.
+#: Characters of words that are handled together; longer ones give the same sums by another way.
 WORD_CHARS = 32
+#: Places of a long word whose pieces are looked up at once.
+PLACES = 20_000
 SMOOTHING = 0.1
 #: Probability of a character that the vocabulary does not have.
 UNKNOWN = 1e-7
@@ -47,29 +51,29 @@ def _hashes(chars: np.ndarray, n: int) -> np.ndarray:
 
 
 class Pieces:
-    """The vocabulary's pieces of at most PIECE_CHARS characters, found by hash."""
+    """The vocabulary's pieces, found by hash among those of the same length."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        words = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
-        self.words = sorted(w for w in words if 0 < len(w) <= PIECE_CHARS)
+        self.words = sorted({sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))} - {""})
         self.size = len(self.words)
-        by = np.empty(self.size, dtype=np.uint64)
         lengths = np.array([len(w) for w in self.words])
-        for n in range(1, PIECE_CHARS + 1):
+        #: lengths of pieces, and for each the hashes in order and the pieces that they are of
+        self.lengths, self.tables = np.unique(lengths).tolist(), {}
+        for n in self.lengths:
             at = np.flatnonzero(lengths == n)
-            if len(at):
-                by[at] = _hashes(as_chars([self.words[i] for i in at], n), n)[:, 0]
-        self.order = np.argsort(by)
-        self.sorted = by[self.order]
+            h = _hashes(as_chars([self.words[i] for i in at], n), n)[:, 0]
+            order = np.argsort(h)
+            self.tables[n] = h[order], at[order]
 
     def ids(self, chars: np.ndarray, n: int) -> np.ndarray:
         """Piece of each substring of n characters; size (one past the last) where there is none."""
         h = _hashes(chars, n)
-        at = np.minimum(np.searchsorted(self.sorted, h), self.size - 1)
-        return np.where(self.sorted[at] == h, self.order[at], self.size)
+        hashes, pieces = self.tables[n]
+        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        return np.where(hashes[at] == h, pieces[at], self.size)
 
 
 def as_chars(words: list[str], n: int) -> np.ndarray:
@@ -77,20 +81,20 @@ def as_chars(words: list[str], n: int) -> np.ndarray:
 
 
 def units(token: str) -> list[str]:
-    """The scored words of a token without blanks: its letters and what stands between them, in parts of WORD_CHARS."""
+    """The scored word of a token without blanks, if any: its letters and what stands between them."""
     a, b = 0, len(token)
     while a < b and not token[a].isalpha():
         a += 1
     while b > a and not token[b - 1].isalpha():
         b -= 1
-    word = SPACE + token[a:b] if b > a else ""
-    return [word[i : i + WORD_CHARS] for i in range(0, len(word), WORD_CHARS)]
+    return [SPACE + token[a:b]] if b > a else []
 
 
 def grouped(words: list[str], most: int = 40_000):
-    """Yields (row numbers, characters, n) for words of the same length n."""
+    """Yields (row numbers, characters, n) for words of the same length n, up to WORD_CHARS."""
     lengths = np.array([len(w) for w in words])
     order = np.argsort(lengths, kind="stable")
+    order = order[: int((lengths <= WORD_CHARS).sum())]
     cuts = np.flatnonzero(np.diff(lengths[order])) + 1
     for at in np.split(order, cuts):
         for i in range(0, len(at), most):
@@ -99,22 +103,66 @@ def grouped(words: list[str], most: int = 40_000):
                 yield part, as_chars([words[j] for j in part], n), n
 
 
+def long_ones(words: list[str]):
+    """Yields (row number, word) for the others."""
+    return ((i, w) for i, w in enumerate(words) if len(w) > WORD_CHARS)
+
+
 def forward(pieces: Pieces, probs: np.ndarray, chars: np.ndarray, n: int):
-    """(alpha, ids): alpha[j] sums all segmentations of the first j characters, a row per word and a column per language."""
-    ids = [None] + [pieces.ids(chars, k) for k in range(1, min(PIECE_CHARS, n) + 1)]
+    """(alpha, ids): alpha[j] sums all segmentations of the first j characters, a row per word and a column per language;
+    ids holds the pieces of each length."""
+    ids = {k: pieces.ids(chars, k) for k in pieces.lengths if k <= n}
     alpha = np.zeros((n + 1, len(chars), probs.shape[1]))
     alpha[0] = 1.0
     for j in range(1, n + 1):
-        for k in range(1, min(PIECE_CHARS, j) + 1):
-            at = ids[k][:, j - k]
+        for k, found in ids.items():
+            if k > j:
+                break
+            at = found[:, j - k]
             if k == 1:
                 alpha[j] += alpha[j - 1] * np.where((at == pieces.size)[:, None], UNKNOWN, probs[at])
             else:
                 some = np.flatnonzero(at < pieces.size)
-                alpha[j, some] += alpha[j - k, some] * probs[at[some]]
+                if len(some):
+                    alpha[j, some] += alpha[j - k, some] * probs[at[some]]
     return alpha, ids
 
 
+def places(pieces: Pieces, word: str):
+    """Yields (place, lengths, pieces) for each character of a word: the pieces that begin there. A character that is no
+    piece is the one past the last."""
+    longest = pieces.lengths[-1]
+    for low in range(0, len(word), PLACES):
+        part = word[low : low + PLACES + longest - 1]
+        chars, n = as_chars([part], len(part)), min(PLACES, len(word) - low)
+        found = np.full((n, len(pieces.lengths)), -1, dtype=np.int64)
+        for c, k in enumerate(pieces.lengths):
+            if k <= len(part):
+                got = pieces.ids(chars, k)[0][:n]
+                found[: len(got), c] = np.where((got < pieces.size) | (k == 1), got, -1)
+        lengths = np.array(pieces.lengths)
+        for i in range(n):
+            some = found[i] >= 0
+            yield low + i, lengths[some], found[i][some]
+
+
+def long_forward(pieces: Pieces, logs: np.ndarray, word: str) -> np.ndarray:
+    """Natural logarithms of the sums of all segmentations of the first j characters of one word, a row for each j;
+    logs(piece, language) has the logarithm of UNKNOWN in its last row."""
+    alpha = np.full((len(word) + 1, logs.shape[1]), -np.inf)
+    alpha[0] = 0.0
+    for i, lengths, found in places(pieces, word):
+        alpha[i + lengths] = np.logaddexp(alpha[i + lengths], alpha[i] + logs[found])
+    return alpha
+
+
+def logarithms(pieces: Pieces, probs: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        logs = np.log(probs)
+    logs[pieces.size] = np.log(UNKNOWN)
+    return logs
+
+
 def expected(pieces: Pieces, words: list[str], weights: np.ndarray) -> np.ndarray:
     """Expected counts (piece, language) under uniform pieces; weights(word, language) are the words' counts."""
     probs = np.full((pieces.size + 1, 1), 1.0 / pieces.size)
@@ -126,19 +174,32 @@ def expected(pieces: Pieces, words: list[str], weights: np.ndarray) -> np.ndarra
         beta = np.zeros((n + 1, len(chars)))
         beta[n] = 1.0
         for j in range(n - 1, -1, -1):
-            for k in range(1, min(PIECE_CHARS, n - j) + 1):
-                found = ids[k][:, j] < pieces.size
-                beta[j] += beta[j + k] * np.where(found, p, UNKNOWN if k == 1 else 0.0)
+            for k, found in ids.items():
+                if k > n - j:
+                    break
+                beta[j] += beta[j + k] * np.where(found[:, j] < pieces.size, p, UNKNOWN if k == 1 else 0.0)
         whole = alpha[n, :, 0]
         w = weights[at]
-        for j in range(n):
-            for k in range(1, min(PIECE_CHARS, n - j) + 1):
-                piece = ids[k][:, j]
+        for k, found in ids.items():
+            for j in range(n - k + 1):
+                piece = found[:, j]
                 some = np.flatnonzero(piece < pieces.size)
                 if len(some):
                     share = alpha[j, some, 0] * p * beta[j + k, some] / whole[some]
                     for c in range(w.shape[1]):
                         total[:, c] += np.bincount(piece[some], weights=share * w[some, c], minlength=pieces.size + 1)
+    logs = logarithms(pieces, probs)
+    for i, word in long_ones(words):
+        alpha = long_forward(pieces, logs, word)[:, 0]
+        beta = np.full(len(word) + 1, -np.inf)
+        beta[len(word)] = 0.0
+        for low in range((len(word) - 1) // PLACES * PLACES, -1, -PLACES):  # the last places first
+            part = word[low : low + PLACES + pieces.lengths[-1] - 1]
+            for j, lengths, found in reversed([x for x in places(pieces, part) if x[0] < PLACES]):
+                ways = logs[found, 0] + beta[low + j + lengths]
+                beta[low + j] = np.logaddexp.reduce(ways)
+                share = np.exp(alpha[low + j] + ways - alpha[-1])
+                np.add.at(total, found, share[:, None] * weights[i])
     return total[:-1]
 
 
@@ -146,7 +207,11 @@ def log_scores(pieces: Pieces, probs: np.ndarray, words: list[str]) -> np.ndarra
     """Natural log-probability of each word in each language."""
     out = np.zeros((len(words), probs.shape[1]))
     for at, chars, n in grouped(words):
-        out[at] = np.log(np.maximum(forward(pieces, probs, chars, n)[0][n], 1e-300))
+        out[at] = np.log(forward(pieces, probs, chars, n)[0][n])
+    logs = None
+    for i, word in long_ones(words):
+        logs = logarithms(pieces, probs) if logs is None else logs
+        out[i] = long_forward(pieces, logs, word)[-1]
     return out
 
 
@@ -256,6 +321,7 @@ def _predictor(langs: list[str], probs: np.ndarray, path: str):
             best = int(np.argmax(s[:-1]))
             names.append(langs[best])
             scores.append(float(1.0 / np.exp(s[:-1] - s[best]).sum()))
+        release()
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
     return predict
