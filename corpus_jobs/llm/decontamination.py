@@ -6,23 +6,27 @@ pass over a text by an Aho-Corasick automaton. A piece hit climbs a binary tree
 hold at most j - 1 edits (if a run's two halves both exceed their share, so does the run), which is checked at every
 level by Myers' bit-parallel distance, so that chance hits die on short strings and only real ones reach the root.
 
-Texts and items are compared in lower case with runs of blanks as one space.
+Texts and items are compared in lower case with runs of blanks as one space. Items of fewer than MIN_ITEM_CHARS characters
+are looked for as well, but without edits and as whole words, since their pieces would stand everywhere.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents
+from .common import documents, fresh, materialize, release
 
 EDITS_PER_CHAR = 0.1
-#: An item shorter than this says nothing about where a text comes from and is not looked for.
+#: A shorter item is looked for without edits, as whole words.
 MIN_ITEM_CHARS = 25
-#: Characters of benchmark text in one block, which bounds the automaton; more text makes more blocks, not larger ones.
+#: Characters of benchmark text in one block, which bounds the automaton and what the driver holds at a time; more text
+#: makes more blocks, not larger ones, and each is a pass over the documents.
 BLOCK_CHARS = 4_000_000
 
 
@@ -60,6 +64,12 @@ def best_end(pattern: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+def whole_words(text: str, start: int, end: int) -> bool:
+    """Whether no word goes on beyond either end of text[start:end]."""
+    begins = start == 0 or not (text[start - 1].isalnum() and text[start].isalnum())
+    return begins and (end == len(text) or not (text[end - 1].isalnum() and text[end].isalnum()))
+
+
 class Matcher:
     """Finds the items of one block in texts."""
 
@@ -67,13 +77,14 @@ class Matcher:
         self.items, self.cuts, owners = [], [], {}
         for key, text in items:
             item = normal(text)
-            if len(item) < least:
+            if not item:
                 continue
-            cuts = pieces(item, int(len(item) * rate))
+            cuts = pieces(item, int(len(item) * rate) if len(item) >= least else 0)
             for p in range(len(cuts) - 1):
                 owners.setdefault(item[cuts[p] : cuts[p + 1]], []).append((len(self.items), p))
             self.items.append((key, item))
             self.cuts.append(cuts)
+        self.least = least
         self.automaton = ahocorasick.Automaton()
         for word, at in owners.items():
             self.automaton.add_word(word, (len(word), at))
@@ -113,7 +124,7 @@ class Matcher:
                 if at in tried:
                     continue
                 key, item = self.items[i]
-                if key in best and best[key][0] == 0:
+                if key in best and best[key][0] == 0 or len(item) < self.least and not whole_words(t, start, last + 1):
                     continue
                 got = self.climbs(item, self.cuts[i], p, t, start)
                 if got is None:
@@ -121,12 +132,12 @@ class Matcher:
                 tried.add(at)
                 if key not in best or got[0] < best[key][0]:
                     best[key] = got[0], got[2]
-        return sorted((k, d, e) for k, (d, e) in best.items())
+        return sorted(((k, d, e) for k, (d, e) in best.items()), key=lambda x: (x[0] is not None, x[0]))
 
 
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", chars: int = BLOCK_CHARS):
     """Yields the benchmark as lists of (id, text), a block at a time, each of about so many characters."""
-    items = benchmark.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).filter("k is not null and t is not null")
+    items = benchmark.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).filter("t is not null")
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     n = total // chars + 1
     for b in range(n):
@@ -144,35 +155,52 @@ def _finder(items: list[tuple[int, str]], rate: float, least: int, token: str):
             _matchers.clear()
             _matchers[token] = Matcher(items, rate, least)
         rows = [[{"item_id": k, "distance": d, "end": e} for k, d, e in _matchers[token].find(t)] for t in (x.as_py() for x in text)]
+        release()
         return pa.array(rows, type=pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int64()), ("end", pa.int64())])))
 
     return find
 
 
 def _finders(benchmark: DataFrame, rate: float, least: int):
-    import uuid
+    """Yields a function for each block, made when it is asked for, so that one block at a time is held."""
+    for items in blocks(benchmark):
+        yield _finder(items, rate, least, uuid.uuid4().hex)
 
-    return [_finder(items, rate, least, uuid.uuid4().hex) for items in blocks(benchmark)]
+
+def _matches(docs: DataFrame, benchmark: DataFrame, text_col: str, rate: float, least: int, keys: list[Column]) -> DataFrame:
+    """keys with item_id, distance and end. The result of every block but a single one is written before the next is read."""
+    out, held = None, None
+    for find in _finders(benchmark, rate, least):
+        if held is not None:
+            one = materialize(held, "found")
+            out = one if out is None else out.unionByName(one)
+        held = docs.select(*keys, F.explode(find(F.col(text_col))).alias("x")).select("*", "x.item_id", "x.distance", "x.end").drop("x")
+    return held if out is None else out.unionByName(materialize(held, "found"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = EDITS_PER_CHAR, least: int = MIN_ITEM_CHARS) -> DataFrame:
     """(doc_id, item_id, distance, end): one row per row of docs and item that it holds within the budget.
 
     end is the end of the best place in the text as compared (lower case, single spaces). Null or empty texts hold
-    nothing; null, empty and very short items are not looked for; items with the same id are one item, at its best.
+    nothing; null and empty items are not looked for; items with the same id are one item, at its best, and so are those
+    without an id. Repeated rows of docs come out each on their own. Item ids are whole numbers.
     """
-    out = None
-    for find in _finders(benchmark, rate, least):
-        one = docs.select(F.col(id_col).alias("doc_id"), F.explode(find(F.col(text_col))).alias("x")).select("doc_id", "x.item_id", "x.distance", "x.end")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return _matches(docs, benchmark, text_col, rate, least, [F.col(id_col).alias("doc_id")])
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rate: float = EDITS_PER_CHAR, least: int = MIN_ITEM_CHARS) -> DataFrame:
-    """The rows of docs that hold no benchmark item, with all their columns; a narrow filter, no shuffle."""
-    for find in _finders(benchmark, rate, least):
-        docs = docs.filter(F.size(find(F.col(text_col))) == 0)
-    return docs
+    """The rows of docs that hold no benchmark item, with all their columns.
+
+    With one block of benchmark text this is a narrow filter without a shuffle. With several, the texts that hold an item
+    are found block by block and taken out by their hash.
+    """
+    finders = _finders(benchmark, rate, least)
+    first, second = next(finders), next(finders, None)
+    if second is None:
+        return docs.filter(F.size(first(F.col(text_col))) == 0)
+    name = fresh(docs, "text_hash")
+    found = _matches(docs, benchmark, text_col, rate, least, [F.md5(F.col(text_col)).alias(name)]).select(name).distinct()
+    return docs.withColumn(name, F.md5(F.col(text_col))).join(found, name, "left_anti").select(docs.columns)
 
 
 def op4_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
