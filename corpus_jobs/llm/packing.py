@@ -1,12 +1,12 @@
 """Packing of documents into token windows by non-negative least squares.
 
 Every task packs blocks of the documents it reads. A document's full windows stand alone; what remains is shorter than
-a window, and a block's remainders form a histogram over lengths. Shallow combinations (pairs and triples) that fill a
-window exactly are enumerated over the lengths that occur, repeat counts x >= 0 are solved for so that the combinations
-use up the histogram (least squares with multiplicative updates, which keep x non-negative), rounded, and realised as
-far as documents of those lengths are left. Residual documents are packed greedily in a row and cut where a window is
-full; the open window goes on into the task's next block, and the last one is dealt into powers of two, which need no
-padding.
+a window, and a block's remainders form a histogram over lengths. All shallow combinations (pairs and triples) of lengths
+that occur and fill a window exactly are enumerated, repeat counts x >= 0 are solved for so that the combinations use up
+the histogram (least squares with multiplicative updates, which keep x non-negative), rounded to whole numbers of the
+same total (largest remainders first), and realised as far as documents of those lengths are left. Residual documents are
+packed greedily in a row and cut where a window is full; the open window goes on into the task's next block, and the last
+one is dealt into powers of two, which need no padding.
 
 No row moves between tasks, so nothing is shuffled, a hot length cannot pile up anywhere, and a task holds one block.
 """
@@ -29,28 +29,23 @@ WINDOW = 2048
 END_ID = 1
 #: Tokens in one block of a task.
 BLOCK_TOKENS = 2_000_000
-#: Lengths that triples are made of: the most frequent ones.
-TRIPLE_LENGTHS = 96
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, planned boolean"
 
 
-def combinations(hist: np.ndarray, window: int, triple_lengths: int = TRIPLE_LENGTHS) -> np.ndarray:
+def combinations(hist: np.ndarray, window: int) -> np.ndarray:
     """Rows of three lengths (0: none) that fill the window, of lengths with documents in hist."""
     have = np.flatnonzero(hist)
     have = have[(have > 0) & (have < window)]
-    if not len(have):
-        return np.zeros((0, 3), dtype=np.int64)
-    pairs = [(a, window - a, 0) for a in have.tolist() if a <= window - a and hist[window - a] > 0]
-    often = np.sort(have[np.argsort(-hist[have], kind="stable")[:triple_lengths]])
-    a, b = np.meshgrid(often, often, indexing="ij")
-    a, b = a[a <= b], b[a <= b]
-    c = window - a - b
-    ok = c >= b
-    a, b, c = a[ok], b[ok], c[ok]
-    ok = hist[c] > 0
-    triples = np.stack([a[ok], b[ok], c[ok]], axis=1)
-    return np.concatenate([np.array(pairs, dtype=np.int64).reshape(-1, 3), triples.astype(np.int64)])
+    some, rows = hist > 0, [np.zeros((0, 3), dtype=np.int64)]
+    two = have[2 * have <= window]
+    two = two[some[window - two]]
+    rows.append(np.stack([two, window - two, np.zeros_like(two)], axis=1))
+    for a in have[3 * have <= window].tolist():
+        b = have[(have >= a) & (2 * have <= window - a)]
+        b = b[some[window - a - b]]
+        rows.append(np.stack([np.full_like(b, a), b, window - a - b], axis=1))
+    return np.concatenate(rows)
 
 
 def solve(hist: np.ndarray, combos: np.ndarray, rounds: int = 60) -> np.ndarray:
@@ -69,38 +64,42 @@ def solve(hist: np.ndarray, combos: np.ndarray, rounds: int = 60) -> np.ndarray:
 
 
 def repeats(hist: np.ndarray, combos: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, times): the rounded solution, largest counts first, no more than hist has documents for."""
-    left, out = hist.copy(), []
+    """(lengths, times): the solution in whole numbers, whole parts first and then remainders by size until the total is
+    reached, no more of a length than hist has documents for."""
     if not len(combos):
-        return out
-    x = np.rint(solve(hist, combos)).astype(np.int64)
-    for j in np.argsort(-x, kind="stable"):
-        if x[j] < 1:
-            break
-        lengths = tuple(int(v) for v in combos[j] if v)
-        need = defaultdict(int)
-        for v in lengths:
-            need[v] += 1
-        times = min(int(x[j]), *(int(left[v]) // k for v, k in need.items()))
-        if times > 0:
-            out.append((lengths, times))
-            for v, k in need.items():
-                left[v] -= k * times
+        return []
+    x = solve(hist, combos)
+    left, out, total = hist.tolist(), [], round(float(x.sum()))
+    whole = np.floor(x).astype(np.int64)
+    first, then = np.argsort(-whole, kind="stable")[: int((whole > 0).sum())], np.argsort(whole - x, kind="stable")
+    for order, most in ((first, whole), (then, None)):
+        for j in order.tolist():
+            if total <= 0:
+                return out
+            lengths = tuple(v for v in combos[j].tolist() if v)
+            if any(not left[v] for v in lengths):
+                continue
+            times = min(total, int(most[j]) if most is not None else 1, *(left[v] // lengths.count(v) for v in lengths))
+            if times > 0:
+                out.append((lengths, times))
+                total -= times
+                for v in lengths:
+                    left[v] -= times
     return out
 
 
 class Packer:
-    """Packs one task's documents; rows are (doc, start, length, ids_crc32, doc_tokens, sequence, offset)."""
+    """Packs one task's documents; rows are (doc, start, length, ids_crc32, doc_tokens, sequence, offset, planned)."""
 
     def __init__(self, first_sequence: int, window: int = WINDOW):
         self.next, self.window = first_sequence, window
         self.open: list[tuple] = []  # (doc, ids, start, length) of the window that residuals are filling
         self.filled = 0
 
-    def sequence(self, parts: list[tuple], rows: list[tuple]) -> None:
+    def sequence(self, parts: list[tuple], rows: list[tuple], planned: bool = False) -> None:
         at = 0
         for doc, ids, start, length in parts:
-            rows.append((doc, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), len(ids) // 4, self.next, at))
+            rows.append((doc, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), len(ids) // 4, self.next, at, planned))
             at += length
         self.next += 1
 
@@ -119,7 +118,7 @@ class Packer:
                 by_length[n % w].append((doc, ids, full * w, n % w))
         for lengths, times in repeats(hist, combinations(hist, w)):
             for _ in range(times):
-                self.sequence([by_length[v].pop() for v in lengths], rows)
+                self.sequence([by_length[v].pop() for v in lengths], rows, True)
         for v in sorted(by_length, reverse=True):
             for piece in by_length[v]:
                 self.residual(piece, rows)
@@ -159,13 +158,15 @@ class Packer:
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     names = [c.split()[0] for c in PIECES.split(", ")]
     columns = list(zip(*rows)) if rows else [()] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+    kinds = [pa.int64()] * (len(names) - 1) + [pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=names)
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, window: int = WINDOW, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """One row per piece of a document: where it starts and how long it is, its sequence and its place there.
+    """One row per piece of a document: where it starts and how long it is, its sequence and its place there, and whether
+    the solved counts planned its window (else it is a full window of a long document, or packed greedily).
 
-    Null and empty texts are documents of the end id alone. Null ids stay null, repeated rows are packed each on its
+    Ids are whole numbers. Null and empty texts are documents of the end id alone. Null ids stay null, repeated rows are packed each on its
     own. Sequence ids are unique over all tasks (the partition's number in the upper bits) but not without gaps.
     """
     path = tokenizer_path or default_path()
