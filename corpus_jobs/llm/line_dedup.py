@@ -1,14 +1,15 @@
 """Line de-duplication over a sharded minimal perfect hash.
 
-Lines that several documents hold are found by one grouped minimum and maximum over 128-bit line hashes, with partial
-sums before the shuffle. Those hashes are dealt into shards, and each shard gets a minimal perfect hash: levels of bit
-arrays in which every key sets the bit that no other key of its level sets, so that a key's rank among set bits is its
-slot. The slots index three plain arrays: a 64-bit fingerprint that turns away lines that are not in the shard, the
-number of documents that hold the line, and the smallest of their ids.
-
-Documents do not join lines with lines: a line's hash goes to its shard and probes the arrays there, in numpy batches.
-A shard that many probes will reach (it holds a very common line) is copied, and its probes are dealt over the copies,
-so that no task gets more than a few times the mean.
+The distinct 128-bit line hashes, with the number of lines and the least and greatest document id of each (partial sums
+before the shuffle), are dealt into shards, and each shard gets a minimal perfect hash: levels of bit arrays in which
+every key sets the bit that no other key of its level sets, so that a key's rank among set bits is its slot. The slots
+index three compact arrays: a 32-bit fingerprint, the number of documents that hold the line (one, or more), and the least
+of their ids.
+
+Documents do not join lines with lines: a line's hash goes to its shard and probes the arrays there, in numpy batches,
+and the count decides. There are so many shards that a shard has a bounded share of the lines; one that more probes will
+reach all the same (it holds a very common line) is copied, and its probes are dealt over the copies, so that no task
+gets more than a few times the mean.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from pyspark.sql import types as T
 from .common import BLANKS, as_bytes, documents, materialize, release, shuffle_partitions, sliced
 
 MIN_CHARS = 10
-SHARD_KEYS = 200_000
+#: Distinct lines of a shard, and lines that probe one copy of it, about.
+SHARD_KEYS, SHARD_PROBES = 200_000, 500_000
 GAMMA = 2
+MANY = 2
 
 
 def line_key(line: bytes) -> bytes:
@@ -84,18 +87,26 @@ def slots(keys: np.ndarray, sizes: list[int], bits: np.ndarray) -> np.ndarray:
     return out
 
 
-INDEX = "shard int, probes long, sizes array<long>, bits binary, prints binary, counts binary, owners binary"
+INDEX = "shard int, sizes array<long>, bits binary, prints binary, counts binary, owners binary"
+
+
+def _keys(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """Equal first halves of different lines are told apart by mixing in the second."""
+    return h1.view(np.uint64) ^ mix(h2.view(np.uint64), 77)
+
+
+def _prints(h2: np.ndarray) -> np.ndarray:
+    return (h2.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
 
 
 def _index_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    h1, h2 = pdf["h1"].to_numpy(np.int64).view(np.uint64), pdf["h2"].to_numpy(np.int64)
-    # equal first halves of different lines are told apart by mixing in the second
-    keys = h1 ^ mix(h2.view(np.uint64), 77)
+    h1, h2 = pdf["h1"].to_numpy(np.int64), pdf["h2"].to_numpy(np.int64)
+    keys = _keys(h1, h2)
     sizes, bits = build(keys)
     at = slots(keys, sizes, bits)
-    prints, counts, owners = np.empty(len(pdf), np.int64), np.empty(len(pdf), np.int64), np.empty(len(pdf), np.int64)
-    prints[at], counts[at], owners[at] = h2, pdf["n"].to_numpy(np.int64), pdf["owner"].to_numpy(np.int64)
-    return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "probes": [int(counts.sum())], "sizes": [sizes], "bits": [np.packbits(bits).tobytes()], "prints": [prints.tobytes()], "counts": [counts.tobytes()], "owners": [owners.tobytes()]})
+    prints, counts, owners = np.empty(len(pdf), np.uint32), np.empty(len(pdf), np.uint8), np.empty(len(pdf), np.int64)
+    prints[at], counts[at], owners[at] = _prints(h2), np.where(pdf["several"], MANY, 1), pdf["owner"].to_numpy(np.int64)
+    return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "sizes": [sizes], "bits": [np.packbits(bits).tobytes()], "prints": [prints.tobytes()], "counts": [counts.tobytes()], "owners": [owners.tobytes()]})
 
 
 def _probe(index: pd.DataFrame, probes: pd.DataFrame) -> pd.DataFrame:
@@ -103,13 +114,14 @@ def _probe(index: pd.DataFrame, probes: pd.DataFrame) -> pd.DataFrame:
     if not len(index) or not len(probes):
         return out
     x = index.iloc[0]
-    sizes, prints, owners = list(map(int, x["sizes"])), np.frombuffer(x["prints"], np.int64), np.frombuffer(x["owners"], np.int64)
+    sizes = list(map(int, x["sizes"]))
+    prints, counts, owners = np.frombuffer(x["prints"], np.uint32), np.frombuffer(x["counts"], np.uint8), np.frombuffer(x["owners"], np.int64)
     bits = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=sum(sizes)).astype(bool)
-    h1, h2, ids = probes["h1"].to_numpy(np.int64).view(np.uint64), probes["h2"].to_numpy(np.int64), probes["doc_id"].to_numpy(np.int64)
-    at = slots(h1 ^ mix(h2.view(np.uint64), 77), sizes, bits)
-    drop = at >= 0
-    drop[drop] = (prints[at[drop]] == h2[drop]) & (owners[at[drop]] != ids[drop])
-    return probes.loc[drop, ["doc_id", "version", "line"]]
+    h1, h2, ids = (probes[c].to_numpy(np.int64) for c in ("h1", "h2", "doc_id"))
+    at = slots(_keys(h1, h2), sizes, bits)
+    if (at < 0).any() or (prints[at] != _prints(h2)).any():
+        raise RuntimeError("a line is not in the index of its shard")
+    return probes.loc[(counts[at] >= MANY) & (owners[at] != ids), ["doc_id", "version", "line"]]
 
 
 # --- the operator -----------------------------------------------------------------------------------------------
@@ -131,25 +143,28 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
     return docs.select("doc_id", "version", "text").mapInArrow(emit, "doc_id long, version long, line int, h1 long, h2 long")
 
 
-def repeated_lines(lines: DataFrame) -> DataFrame:
-    """(h1, h2, owner, n): line hashes that at least two different doc_ids hold, the smallest id and the number of rows."""
-    return lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("owner <> last").drop("last")
+def distinct_lines(lines: DataFrame) -> DataFrame:
+    """(h1, h2, owner, several, n): distinct line hashes, the smallest doc_id that holds each, whether another one does, and
+    the number of lines."""
+    found = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    return found.select("h1", "h2", "owner", (F.col("owner") != F.col("last")).alias("several"), "n")
 
 
 def dropped_lines(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     """docs(doc_id, version, text) -> (doc_id, version, dropped array<int>): the lines to drop, where there are any."""
     spark = docs.sparkSession
     lines = materialize(_lines(docs.filter("doc_id is not null"), least), "lines")
-    repeats = materialize(repeated_lines(lines), "repeats")
-    n_shards = max(4 * shuffle_partitions(spark), repeats.count() // SHARD_KEYS + 1)
+    distinct = materialize(distinct_lines(lines), "distinct")
+    n_distinct, n_lines = distinct.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n_shards = max(4 * shuffle_partitions(spark), n_distinct // SHARD_KEYS + 1, n_lines // SHARD_PROBES + 1)
     shard = F.pmod(F.col("h1"), F.lit(n_shards)).cast("int")
-    index = materialize(repeats.withColumn("shard", shard).groupBy("shard").applyInPandas(_index_shard, INDEX), "index")
+    keyed = distinct.withColumn("shard", shard)
+    index = materialize(keyed.groupBy("shard").applyInPandas(_index_shard, INDEX), "index")
     # how many copies a shard needs: one row per shard, read from files, so Spark knows that it is small
-    loads = materialize(index.select("shard", "probes"), "loads")
-    mean = loads.agg(F.avg("probes")).first()[0] or 1.0
-    loads = loads.select("shard", F.ceil(F.col("probes") / (2 * mean)).cast("int").alias("copies"))
+    copies = F.greatest(F.ceil(F.sum("n") / (2 * max(1.0, n_lines / n_shards))), F.lit(1)).cast("int")
+    loads = materialize(keyed.groupBy("shard").agg(copies.alias("copies")), "loads")
     placed = index.join(loads, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    probes = lines.withColumn("shard", shard).join(loads, "shard")  # a shard without repeated lines has nothing to drop
+    probes = lines.withColumn("shard", shard).join(loads, "shard")
     probes = probes.withColumn("copy", F.pmod(F.xxhash64("doc_id", "line"), F.col("copies")).cast("int")).drop("copies")
     found = placed.drop("copies").groupBy("shard", "copy").cogroup(probes.groupBy("shard", "copy")).applyInPandas(_probe, "doc_id long, version long, line int")
     return found.groupBy("doc_id", "version").agg(F.collect_set("line").alias("dropped"))  # no more than the document's own lines
@@ -174,13 +189,14 @@ def _kept(with_text: bool):
             kept = "\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else (t or "")
             out.append((len(lines), len(drop), kept if with_text else None, None if with_text else hashlib.sha256(as_bytes(kept)).hexdigest()))
         n, k, s, h = zip(*out) if out else ((), (), (), ())
+        release()
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(s, pa.string()), pa.array(h, pa.string())], names=["n_lines", "n_dropped", "kept", "sha256"])
 
     return of
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, n_lines, n_dropped, kept_sha256) per row of docs.
+    """(doc_id, n_lines, n_dropped, kept_sha256) per row of docs. Ids are whole numbers.
 
     Null and empty texts are one empty line. A row with a null id owns no line and loses none. Rows that share an id
     count as one document: a line that only they hold stays in all of them.
