@@ -3,7 +3,9 @@
 Patterns mark e-mail addresses, IP addresses, payment cards and telephone numbers. The random field labels words from
 their shapes (runs of letters and digits, lengths, marks, neighbours' shapes). It is trained on a small labelled table:
 at most MAX_LABELLED stretches of words around digits and @ signs, taken from the corpus by hash and labelled by the
-patterns. Viterbi decodes stretches of all documents in numpy batches. A span that the field adds is checked (enough
+patterns. The patterns' own spelling would teach it nothing new, so every labelled span also stands in the table as
+people write it otherwise (other separators, no plus sign, an area code in brackets, a host without a dot), with the label
+that it has. Viterbi decodes stretches of all documents in numpy batches. A span that the field adds is checked (enough
 digits, a valid check digit, an @ inside) and never overlaps a pattern's span.
 """
 
@@ -19,15 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents
+from .common import documents, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("", *KINDS)
-#: Rows of the labelled table; the only sample in this operator.
+#: Rows of the labelled table; the only sample in this operator. Half of them, at most, are stretches without a span.
 MAX_LABELLED = 600
+#: Other spellings of each labelled stretch that has a span.
+SPELLINGS = 4
 #: Words of a stretch on either side of a word with a digit or an @.
 AROUND = 3
-#: Words of a labelled stretch; longer ones are not used for training.
+#: Words of a labelled stretch; longer ones are not used for training. Decoding has no such bound.
 TRAIN_WORDS = 60
 ROUNDS, RATE, DECAY = 120, 0.2, 1e-3
 
@@ -233,11 +237,55 @@ def labelled(text: str | None) -> list[tuple[list[str], list[int]]]:
     return out
 
 
+def spelled(kind: str, s: str, way: int) -> str:
+    """A span in one of the ways in which it is written outside its pattern."""
+    if kind == "email":
+        local, _, domain = s.partition("@")
+        return (f"{local}@{domain.split('.')[0]}", f"{local}@{domain.replace('.', ',')}", f"{local}(@){domain}", f"{local}@{domain.replace('.', '_')}")[way % 4]
+    if kind == "ip":
+        return s.replace(".", ("[.]", "(.)")[way % 2])
+    d = digits(s)
+    if kind == "card":
+        mark = ("." , "/", "_", " - ")[way % 4]
+        return mark.join(d[i : i + 4] for i in range(0, len(d), 4))
+    area, first, rest = d[-10:-7], d[-7:-4], d[-4:]
+    country = d[:-10]
+    ways = (f"{area}-{first}-{rest}", f"({area}) {first}-{rest}", f"{area}.{first}.{rest}", f"{area} {first} {rest}", f"00{country} {area} {first}{rest}", f"{country or 1}-{area}-{first}-{rest}", f"({area}){first}-{rest}")
+    return ways[way % len(ways)]
+
+
+def respelled(words: list[str], labels: list[int], way: int) -> tuple[list[str], list[int]]:
+    """A labelled stretch with its spans written otherwise; edge marks of a span's words stay."""
+    out: list[str] = []
+    kinds: list[int] = []
+    i = 0
+    while i < len(words):
+        j = i + 1
+        while labels[i] and j < len(words) and labels[j] == labels[i]:
+            j += 1
+        whole = " ".join(words[i:j])
+        if labels[i]:
+            core = whole.strip(_EDGES)
+            at = whole.find(core)
+            whole = whole[:at] + spelled(KINDS[labels[i] - 1], core, way) + whole[at + len(core) :]
+        for w in whole.split(" "):
+            out.append(w), kinds.append(labels[i])
+        i = j
+    return out, kinds
+
+
+def with_spellings(rows: list[tuple[list[str], list[int]]], ways: int = SPELLINGS, seed: int = 0) -> list[tuple[list[str], list[int]]]:
+    """The rows, and those that have a span again in other spellings."""
+    more = [respelled(words, labels, seed + i + way) for i, (words, labels) in enumerate(rows) if any(labels) for way in range(ways)]
+    return rows + more
+
+
 LABELLED = T.ArrayType(T.StructType([T.StructField("words", T.ArrayType(T.StringType())), T.StructField("labels", T.ArrayType(T.IntegerType()))]))
 
 
 def labelled_table(docs: DataFrame, text_col: str = "text", most: int = MAX_LABELLED) -> list[tuple[list[str], list[int]]]:
-    """At most so many labelled stretches, chosen by hash over the whole corpus, each distinct one once."""
+    """At most so many labelled stretches, chosen by hash over the whole corpus, each distinct one once; half of the places
+    are for stretches with a span and half for those without."""
 
     @F.arrow_udf(LABELLED)
     def of(text: pa.Array) -> pa.Array:
@@ -246,16 +294,23 @@ def labelled_table(docs: DataFrame, text_col: str = "text", most: int = MAX_LABE
 
     hinted = docs.filter(F.col(text_col).rlike("[0-9@]"))
     found = hinted.select(F.explode(of(F.col(text_col))).alias("x")).select("x.words", "x.labels")
-    chosen = found.withColumn("h", F.xxhash64("words")).groupBy("h").agg(F.min(F.struct("words", "labels")).alias("x")).orderBy("h").limit(most)
+    distinct = found.withColumn("h", F.xxhash64("words")).groupBy("h").agg(F.min(F.struct("words", "labels")).alias("x")).withColumn("some", F.array_max("x.labels") > 0)
+    distinct = materialize(distinct, "stretches")
+    chosen = distinct.filter("some").orderBy("h").limit(most // 2).unionByName(distinct.filter("not some").orderBy("h").limit(most - most // 2))
     return [(list(r["x"]["words"]), list(r["x"]["labels"])) for r in chosen.collect()]
 
 
+_ADDED = {
+    "ip": re.compile(r"[0-9]{1,3}(?:[\[(]?\.[\])]?[0-9]{1,3}){3}"),
+    "card": re.compile(r"[0-9](?:[ ./_-]*[0-9])+"),
+    "phone": re.compile(r"[+( ]*[0-9](?:[ ().-]*[0-9])+"),
+}
+
+
 def acceptable(kind: str, s: str) -> bool:
     if kind == "email":
         return 0 < s.find("@") < len(s) - 1
-    if kind == "ip":
-        return bool(re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", s)) and valid(kind, s)
-    return bool(re.fullmatch(r"[+( ]*[0-9][0-9 ().-]*[0-9]", s)) and valid(kind, s)
+    return bool(_ADDED[kind].fullmatch(s)) and valid(kind, re.sub(r"[\[\]()]", "", s) if kind == "ip" else s)
 
 
 def added_spans(words: list[tuple[int, int, str]], labels: np.ndarray, text: str, taken: list[tuple[int, int, int]]):
@@ -317,4 +372,4 @@ def find(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
 
 def op3_pii_crf(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return find(docs, train(labelled_table(docs)))
+    return find(docs, train(with_spellings(labelled_table(docs))))
