@@ -7,6 +7,7 @@ and a Bloom filter on doc_id, so a reader can take stripes in parallel and leave
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -32,7 +33,7 @@ OPTIONS = {
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, end_id: int = END_ID, partitions: int | None = None) -> None:
     """Writes (doc_id, file_start, n_tokens, ids) as ORC files whose names, and rows within them, ascend by doc_id.
 
-    Null texts are empty; null ids come first; rows with the same id lie next to each other, by text. file_start counts
+    Ids are whole numbers. Null texts are empty; null ids come first; rows with the same id lie next to each other, by text. file_start counts
     the ids before the document in its own file, so no task needs to know of another.
     """
     tokens = tokenizer_path or default_path()
@@ -65,7 +66,8 @@ def file_bases(spark: SparkSession, path: str) -> DataFrame:
     """(file, base): ids in all files before each one. One row per file, and only the counts are read."""
     totals = read(spark, path).groupBy("file").agg(F.sum("n_tokens").alias("n")).collect()
     base, rows = 0, []
-    for r in sorted(totals, key=lambda r: r["file"]):
+    number = lambda r: (int(re.search(r"part-(\d+)", r["file"])[1]), r["file"])  # noqa: E731  names have five digits or more
+    for r in sorted(totals, key=number):
         rows.append((r["file"], base))
         base += r["n"]
     return spark.createDataFrame(rows, "file string, base long")

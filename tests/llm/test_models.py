@@ -65,6 +65,42 @@ def test_field_learns_held_out_shapes(spark):
     assert all_ > 5 and hit >= 0.9 * all_ and wrong <= 0.1 * all_
 
 
+def test_field_adds_what_patterns_miss(spark):
+    """On documents that it was not trained on, spans written otherwise are found, and little else is."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    field = pii.train(pii.with_spellings(pii.labelled_table(docs.filter("doc_id % 3 <> 0"))))
+    hit, all_, wrong, words_seen = Counter(), Counter(), 0, 0
+    for i, r in enumerate(docs.filter("doc_id % 3 = 0").select("text").orderBy("doc_id").collect()):
+        for words, labels in pii.labelled(r["text"]):
+            for way in range(7 if any(labels) else 1):
+                said, kinds = pii.respelled(words, labels, 100 + i + way)
+                text = " ".join(said)
+                base = pii.base_spans(text)
+                for stretch in pii.stretches(text):
+                    path = field.decode([field.emissions([w for _, _, w in stretch])])[0]
+                    found = list(pii.added_spans(stretch, path, text, base)) + base
+                    at, end = 0, 0
+                    for w, k in zip(said, kinds):
+                        at, end = text.index(w, end), text.index(w, end) + len(w)
+                        if k and pii.HINT.search(w) and stretch[0][0] <= at < stretch[-1][1]:
+                            all_[k] += 1
+                            hit[k] += any(s < end and at < e and j == k - 1 for s, j, e in found)
+                    if not any(labels):
+                        wrong += len(found) - len(base)
+            words_seen += len(words)
+    assert len(all_) == 4 and all(hit[k] >= 0.9 * n for k, n in all_.items()), (hit, all_)
+    assert wrong <= 0.002 * words_seen, (wrong, words_seen)
+
+
+def test_spellings_are_outside_the_patterns():
+    spans = {"email": "joe.b@mail.example.org", "ip": "10.0.0.1", "card": "4111 1111 1111 1111", "phone": "+1 (602) 555-0417"}
+    for kind, s in spans.items():
+        for way in range(7):
+            other = pii.spelled(kind, s, way)
+            assert pii.acceptable(kind, other), other
+            assert not any(pii.KINDS[k] == kind and (a, b) == (0, len(other)) for a, k, b in pii.base_spans(other))
+
+
 def test_viterbi_is_exhaustive():
     import itertools
 
@@ -81,7 +117,7 @@ def test_viterbi_is_exhaustive():
 def test_pii_spans(spark, odd_docs, rows):
     extra = spark.createDataFrame([(20000 + i, t) for i, t in enumerate(PERSONAL)], "doc_id long, text string")
     docs = odd_docs.select("doc_id", "text").unionByName(extra)
-    field = pii.train(pii.labelled_table(documents(spark, SMALL)))
+    field = pii.train(pii.with_spellings(pii.labelled_table(documents(spark, SMALL))))
     got = {(r["doc_id"], r["base_sha256"]): r for r in pii.find(docs, field).collect()}
     import hashlib
 
@@ -93,6 +129,7 @@ def test_pii_spans(spark, odd_docs, rows):
         assert set(pii.joined(base).split(",")) - {""} <= set(spans)
         assert len(spans) >= len(base)
     assert pii.find(docs.limit(0), pii.train([])).count() == 0
+    assert pii.train(pii.with_spellings(pii.labelled_table(docs.limit(0)))).weights.shape == (1, 5)
 
 
 # --- context-tree weighting --------------------------------------------------------------------------------------------
@@ -172,6 +209,7 @@ def test_ctw_is_brute_force(spark):
             assert r["n_known"] == sum(tokens[x] > 0 for x in mine)
             assert math.isclose(r["base_score"], sum(math.log10((tokens[x] + 0.1) / (n + 0.1 * (v + 1))) for x in mine), rel_tol=1e-9)
             assert math.isclose(r["score"], w, rel_tol=1e-9, abs_tol=1e-9)
+            assert math.isclose(r["bits_per_byte"], -w / math.log10(2) / (len((t or "").encode()) + 1), rel_tol=1e-9, abs_tol=1e-9)
 
 
 def test_ctw_beats_its_base_on_held_out_text(spark):
@@ -197,19 +235,31 @@ def all_cuts(word, probs):
     if not word:
         return 1.0
     total = 0.0
-    for k in range(1, min(langid.PIECE_CHARS, len(word)) + 1):
+    for k in range(1, len(word) + 1):
         p = probs.get(word[:k], langid.UNKNOWN if k == 1 else 0.0)
         if p:
             total += p * all_cuts(word[k:], probs)
     return total
 
 
+def all_pieces(word, probs, held=(), p=1.0):
+    """Yields (pieces, probability) of every segmentation."""
+    if not word:
+        yield held, p
+    for k in range(1, len(word) + 1):
+        q = probs.get(word[:k], langid.UNKNOWN if k == 1 else 0.0)
+        if q:
+            yield from all_pieces(word[k:], probs, (*held, word[:k]), p * q)
+
+
 def test_forward_sums_all_segmentations():
     pieces = langid.pieces_of(langid.default_path(langid.VOCABULARY))
     rng = np.random.default_rng(1)
     p = rng.random((pieces.size + 1, 2)) / pieces.size
     p[-1] = 0
-    words = ["▁the", "▁nation", "▁über", "▁漢字x", "▁q", "▁entscheid"]
+    longest = max((w for w in pieces.words if w[0] == langid.SPACE and w[1:].isalpha()), key=len)
+    words = ["▁the", "▁nation", "▁über", "▁漢字x", "▁q", "▁entscheid", longest]
+    assert len(longest) > 12
     got = langid.log_scores(pieces, p, words)
     for c in range(2):
         probs = dict(zip(pieces.words, p[:-1, c]))
@@ -217,6 +267,55 @@ def test_forward_sums_all_segmentations():
             assert math.isclose(g, math.log(all_cuts(w, probs)), rel_tol=1e-9)
 
 
+def test_learning_is_brute_force(spark):
+    """The learned probabilities of a few documents, and what they make of texts, against all segmentations."""
+    docs = [(1, "The cat, the HAT", "en"), (2, "der Hund 漢", "de"), (3, "the dog", "de"), (4, None, "en"), (5, "cat", None)]
+    pieces = langid.pieces_of(langid.default_path(langid.VOCABULARY))
+    uniform = dict.fromkeys(pieces.words, 1 / pieces.size)
+    counts = {"de": Counter(), "en": Counter()}
+    for _, text, lang in docs:
+        for token in (text or "").lower().split() if lang else ():
+            for unit in langid.units(token):
+                ways = list(all_pieces(unit, uniform))
+                whole = sum(p for _, p in ways)
+                for held, p in ways:
+                    for piece in held:
+                        if piece in uniform:
+                            counts[lang][piece] += p / whole
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    langs, probs = langid.learn(frame)
+    assert langs == ["de", "en"]
+    total = {lang: sum(counts[lang].values()) + langid.SMOOTHING * pieces.size for lang in langs}
+    for c, lang in enumerate(langs):
+        want = np.array([(counts[lang][w] + langid.SMOOTHING) / total[lang] for w in pieces.words])
+        assert np.allclose(probs[:-1, c], want, rtol=1e-9)
+    got = {r["doc_id"]: r for r in langid.identify(frame, (langs, probs)).collect()}
+    for d, text, _ in docs[:3]:
+        scores = [sum(math.log(all_cuts(u, dict(zip(pieces.words, probs[:-1, c])))) for t in text.lower().split() for u in langid.units(t)) for c in range(2)]
+        best = int(np.argmax(scores))
+        assert got[d]["lang_pred"] == langs[best] and math.isclose(got[d]["score"], 1 / sum(math.exp(x - scores[best]) for x in scores), rel_tol=1e-6)
+
+
+def test_long_words_are_scored_whole(monkeypatch):
+    """Long words give what short ones give, in parts of any size, and without an end to the numbers."""
+    pieces = langid.pieces_of(langid.default_path(langid.VOCABULARY))
+    rng = np.random.default_rng(2)
+    p = rng.random((pieces.size + 1, 2)) / pieces.size
+    p[-1] = 0
+    words = ["▁thestationentscheidung", "▁漢字漢字", "▁q", "▁" + "internationalization" * 2]
+    n = rng.random((len(words), 3))
+    monkeypatch.setattr(langid, "WORD_CHARS", 60)
+    want, counts = langid.log_scores(pieces, p, words), langid.expected(pieces, words, n)
+    for most, part in ((2, 20_000), (2, 5), (10, 7)):
+        monkeypatch.setattr(langid, "WORD_CHARS", most)
+        monkeypatch.setattr(langid, "PLACES", part)
+        assert np.allclose(langid.log_scores(pieces, p, words), want, rtol=1e-9)
+        assert np.allclose(langid.expected(pieces, words, n), counts, rtol=1e-9)
+    monkeypatch.undo()
+    once, twice = langid.log_scores(pieces, p, ["▁" + "ab漢" * 400, "▁" + "ab漢" * 800])
+    assert np.isfinite(twice).all() and (twice < 1.9 * once).all()
+
+
 def test_expected_counts_cover_each_character():
     """Expected pieces, weighted by their length, cover every known character as often as the words occur."""
     pieces = langid.pieces_of(langid.default_path(langid.VOCABULARY))
@@ -251,8 +350,8 @@ def test_language_odd(spark, odd_docs, rows):
     assert {r["doc_id"]: r["held_out"] for r in got}[9001] == (zlib.crc32(b"9001") % 4 == 2)
 
 
-def test_long_words_are_cut():
-    assert [len(u) for u in langid.units("(" + "x" * 70 + ")")] == [32, 32, 7]
+def test_words_are_whole():
+    assert langid.units("(" + "x" * 70 + ")") == ["▁" + "x" * 70]
     assert langid.units("12345") == []
 
 

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from corpus_jobs.llm import decontamination, line_dedup, packing, quality, simhash, token_counts, token_files
@@ -129,6 +130,21 @@ def test_minimal_perfect_hash():
     assert line_dedup.slots(np.array([3], dtype=np.uint64), *line_dedup.build(keys[:0])).tolist() == [-1]
 
 
+def test_index_holds_every_line_and_its_count_decides(spark):
+    np = line_dedup.np
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    n = 3000
+    pdf = pd.DataFrame({"shard": 5, "h1": rng.integers(-(2**62), 2**62, n), "h2": rng.integers(-(2**62), 2**62, n), "owner": rng.integers(0, 99, n), "several": rng.random(n) < 0.3})
+    index = line_dedup._index_shard(pdf)
+    probes = pdf[["h1", "h2"]].assign(doc_id=100, version=1, line=range(n))
+    assert line_dedup._probe(index, probes)["line"].tolist() == np.flatnonzero(pdf["several"]).tolist()
+    assert not len(line_dedup._probe(index, probes.assign(doc_id=pdf["owner"])))
+    with pytest.raises(RuntimeError):
+        line_dedup._probe(index, probes.assign(h2=probes["h2"] + 2**40))
+
+
 def test_hot_line_is_dealt_over_copies(spark):
     data = [(i, f"a very common line\nline of its own {i}\npair line number {i // 2}") for i in range(3000)]
     docs = spark.createDataFrame(data, "doc_id long, text string")
@@ -157,7 +173,7 @@ def test_decontamination_is_brute_force(spark):
         m = len(item)
         for n in (0, 2, m // 20, m // 10 - 1, m // 7):
             texts.append("some words before " + edited(rng, item, n) + " and words after")
-    texts += [None, "", "EXACTLY this  sentence stands here, once.", bench[0][1][5:], "nothing of it here " * 20]
+    texts += [None, "", "EXACTLY this  sentence stands here, once.", bench[0][1][5:], "nothing of it here " * 20, "a Short, text", "shorter and short-", "(short)", "unshort"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = as_rows(decontamination.matches(docs, spark.createDataFrame(bench, "item_id long, text string")), "doc_id", "item_id", "distance")
     want = []
@@ -166,12 +182,31 @@ def test_decontamination_is_brute_force(spark):
             n, s = decontamination.normal(item), decontamination.normal(t)
             if len(n) >= 25 and (e := brute.edit_distance_within(n, s)) <= int(len(n) * 0.1):
                 want.append((d, k, e))
+            elif 0 < len(n) < 25 and re.search(rf"(?<!\w){re.escape(n)}(?!\w)", s):
+                want.append((d, k, 0))
     assert {x[:2] for x in got} == {x[:2] for x in want}
     assert dict((x[:2], x[2]) for x in got) == dict((x[:2], x[2]) for x in want)
     left = decontamination.drop_contaminated(docs, spark.createDataFrame(bench, "item_id long, text string"))
     assert {r["doc_id"] for r in left.collect()} == set(range(len(texts))) - {x[0] for x in want}
 
 
+def test_decontamination_in_blocks_and_odd_rows(spark, monkeypatch):
+    """Many blocks give what one gives; null ids on either side, repeated rows and clashing columns."""
+    bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").limit(8).collect()] + [(None, "An item that has no id at all, but a text"), (7000, None), (7001, " ")]
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    rows = [(1, "before " + bench[0][1] + " after", "x", 1), (None, bench[1][1], "y", 2), (2, "clean words only", None, 3), (2, "clean words only", None, 3), (3, "so: an item that has no id at all, but a text!", "z", 4), (1, "before " + bench[0][1] + " after", "x", 1), (4, None, "w", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string, text_hash int")
+    one = as_rows(decontamination.matches(docs, items), "doc_id", "item_id", "distance", "end")
+    left = as_rows(decontamination.drop_contaminated(docs, items), *docs.columns)
+    assert [r[:3] for r in one] == sorted([(1, bench[0][0], 0), (1, bench[0][0], 0), (None, bench[1][0], 0), (3, None, 0)], key=str)
+    assert left == sorted([tuple(r) for r in rows if r[0] in (2, 4)], key=str)
+    monkeypatch.setattr(decontamination.blocks, "__defaults__", (*decontamination.blocks.__defaults__[:2], 300))
+    assert len(list(decontamination.blocks(items))) > 3
+    assert as_rows(decontamination.matches(docs, items), "doc_id", "item_id", "distance", "end") == one
+    kept = decontamination.drop_contaminated(docs, items)
+    assert kept.columns == docs.columns and as_rows(kept, *docs.columns) == left
+
+
 def test_myers_is_sellers():
     rng = random.Random(1)
     for _ in range(200):
@@ -211,6 +246,70 @@ def test_packing(spark, odd_docs, rows, block):
     assert padding == 0
 
 
+def test_combinations_are_all():
+    hist = packing.np.zeros(25, dtype=packing.np.int64)
+    hist[[1, 3, 4, 8, 10, 12, 20, 21]] = 1
+    want = {(a, b, 24 - a - b) for a in range(25) for b in range(a, 25) if 24 - a - b >= b and a and hist[a] and hist[b] and hist[24 - a - b]}
+    want |= {(a, 24 - a, 0) for a in range(1, 13) if hist[a] and hist[24 - a]}
+    assert {tuple(r) for r in packing.combinations(hist, 24).tolist()} == want
+
+
+def test_counts_are_least_squares():
+    """The solver's residual is that of an exact non-negative solution, by projected gradient over many steps."""
+    np = packing.np
+    rng = np.random.default_rng(3)
+    hist = np.bincount(rng.integers(1, 64, 400), minlength=65)
+    combos = packing.combinations(hist, 64)
+    a = np.zeros((65, len(combos)))
+    for j, c in enumerate(combos):
+        for v in c[c > 0]:
+            a[v, j] += 1
+    h = hist.astype(float)
+    h[0] = 0
+    x, step = np.zeros(len(combos)), 1 / np.linalg.norm(a, 2) ** 2
+    for _ in range(20000):
+        x = np.maximum(0, x - step * (a.T @ (a @ x - h)))
+    best, got = (np.linalg.norm(a @ v - h) for v in (x, packing.solve(hist, combos)))
+    assert got <= best + 0.02 * np.linalg.norm(h), (got, best)
+    times = sum(n for _, n in packing.repeats(hist, combos))
+    used = np.zeros(65, dtype=int)
+    for lengths, n in packing.repeats(hist, combos):
+        assert sum(lengths) == 64
+        np.add.at(used, list(lengths), n)
+    assert (used <= hist).all() and times >= 0.8 * x.sum()
+
+
+def test_most_windows_are_planned(spark):
+    got = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").coalesce(1))
+    planned, all_ = got.selectExpr("sum(if(planned, length, 0))", "sum(length)").first()
+    assert planned > 0.3 * all_, (planned, all_)
+
+
+def rows_read(df):
+    """(rows, rows that the file scan gave) of a query without a shuffle."""
+    rows = df.collect()
+    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return rows, leaf.metrics().get("numOutputRows").get().value()
+
+
+def test_token_files_are_pruned(spark):
+    """A point read takes the row groups that can hold the document, by their least and greatest id and Bloom filters."""
+    docs = spark.range(0, 40000, 2).selectExpr("id AS doc_id", "concat('document number ', id) AS text")
+    path = new_path(spark, "test-pruned")
+    token_files.write(docs, path, partitions=1)
+    rows, read = rows_read(token_files.read(spark, path).filter("doc_id = 20000").select("doc_id", "n_tokens"))
+    assert len(rows) == 1 and read <= 1000
+    rows, read = rows_read(token_files.read(spark, path).filter("doc_id = 20001").select("doc_id", "n_tokens"))
+    assert len(rows) == 0 and read == 0  # within a row group's range: only its Bloom filter tells
+
+
+def test_files_are_in_the_order_of_their_numbers(spark, monkeypatch):
+    names = [("part-99999-x.orc", 5), ("part-100000-x.orc", 7), ("part-00002-x.orc", 1)]
+    monkeypatch.setattr(token_files, "read", lambda s, p: s.createDataFrame(names, "file string, n_tokens long"))
+    got = {r["file"]: r["base"] for r in token_files.file_bases(spark, "").collect()}
+    assert got == {"part-00002-x.orc": 0, "part-99999-x.orc": 1, "part-100000-x.orc": 6}
+
+
 def test_token_files(spark, odd_docs, rows):
     path = new_path(spark, "test-ids")
     token_files.write(odd_docs, path, partitions=4)
