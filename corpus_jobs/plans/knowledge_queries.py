@@ -118,13 +118,13 @@ def a2_by_type(spark, sf):
     return analytics.documents_by_type(frame(spark, sf, "catalog"))
 
 
-@query("SELECT count(*) AS total, round(coalesce(avg(response_time), 0), 6) AS avg_time, round(coalesce(avg(confidence), 0), 6) AS avg_conf FROM $log")
+@query("SELECT count(*) AS total, round(coalesce(CAST(sum(CAST(response_time AS DECIMAL(18, 6))) AS DOUBLE) / count(response_time), 0), 6) AS avg_time, round(coalesce(CAST(sum(CAST(confidence AS DECIMAL(18, 6))) AS DOUBLE) / count(confidence), 0), 6) AS avg_conf FROM $log")
 def a3_query_stats(spark, sf):
     s = analytics.query_stats(frame(spark, sf, "log"))
     return s.select("total", F.round("avg_time", 6).alias("avg_time"), F.round("avg_conf", 6).alias("avg_conf"))
 
 
-@query("""SELECT (SELECT count(*) FROM $catalog) AS total_documents, (SELECT count(*) FROM $log) AS total_queries, (SELECT round(avg(response_time), 1) FROM $log) AS avg_response_time_ms, (SELECT round(avg(confidence), 4) FROM $log) AS avg_confidence,
+@query("""SELECT (SELECT count(*) FROM $catalog) AS total_documents, (SELECT count(*) FROM $log) AS total_queries, (SELECT round(CAST(sum(CAST(response_time AS DECIMAL(18, 6))) AS DOUBLE) / count(response_time), 1) FROM $log) AS avg_response_time_ms, (SELECT round(CAST(sum(CAST(confidence AS DECIMAL(18, 6))) AS DOUBLE) / count(confidence), 4) FROM $log) AS avg_confidence,
     (SELECT string_agg(file_type || '=' || CAST(n AS STRING), ',' ORDER BY file_type) FROM (SELECT file_type, count(*) AS n FROM $catalog GROUP BY file_type)) AS by_type""")
 def a4_report(spark, sf):
     r = analytics.report(frame(spark, sf, "catalog"), frame(spark, sf, "log"))
