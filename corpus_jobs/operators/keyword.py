@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ..storage import materialize
+
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 COLUMNS = ("chunk_id", "document_id", "text", "file_name")
 
@@ -31,10 +33,19 @@ def tokens(text: pa.Array) -> pa.Array:
 
 # --- stemming: Porter's suffix rules, as published in 1980 -----------------------------------------------------------
 
-_STEP2 = "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble"
-_STEP3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
-_STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
-_RULES2, _RULES3 = ([tuple(x.split(":")) for x in s.split()] for s in (_STEP2, _STEP3))
+# Suffixes and what replaces them.
+_STEP2 = [
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"),
+    ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"),
+    ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
+]
+_STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
+_STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
+#: The longest suffix that fits decides.
+_RULES2, _RULES3 = (sorted(step, key=lambda r: -len(r[0])) for step in (_STEP2, _STEP3))
+_ENDS4 = sorted(_STEP4, key=lambda e: -len(e))
+#: Words whose stems a worker remembers.
+MAX_STEMS = 500_000
 
 
 def _kinds(word: str) -> str:
@@ -77,12 +88,12 @@ def stem(w: str) -> str:
     if w.endswith("y") and "v" in _kinds(w[:-1]):
         w = w[:-1] + "i"
     for rules in (_RULES2, _RULES3):
-        for end, put in sorted(rules, key=lambda r: -len(r[0])):
+        for end, put in rules:
             if w.endswith(end):
                 if _measure(w[: -len(end)]) > 0:
                     w = w[: -len(end)] + put
                 break
-    for end in sorted(_STEP4, key=lambda e: -len(e)):
+    for end in _ENDS4:
         if w.endswith(end):
             base = w[: -len(end)]
             if _measure(base) > 1 and (end != "ion" or base.endswith(("s", "t"))):
@@ -95,16 +106,22 @@ def stem(w: str) -> str:
     return w
 
 
+class _Stems(dict):
+    """Stems by word, worked out when first asked for; one for each worker."""
+
+    def __missing__(self, word: str) -> str:
+        self[word] = out = stem(word)
+        return out
+
+
+_stems = _Stems()
+
+
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def stems(words: pa.Array) -> pa.Array:
-    known: dict[str, str] = {}
-    out = []
-    for row in words.to_pylist():
-        for w in row or ():
-            if w not in known:
-                known[w] = stem(w)
-        out.append([known[w] for w in row or ()])
-    return pa.array(out, type=pa.list_(pa.string()))
+    if len(_stems) > MAX_STEMS:
+        _stems.clear()
+    return pa.array([[_stems[w] for w in row or ()] for row in words.to_pylist()], type=pa.list_(pa.string()))
 
 
 # --- index -----------------------------------------------------------------------------------------------------------
@@ -129,6 +146,12 @@ def postings(indexed: DataFrame) -> DataFrame:
     return indexed.select("chunk_id", "col", F.posexplode("toks").alias("pos", "term"))
 
 
+def asked_postings(indexed: DataFrame, terms: DataFrame) -> DataFrame:
+    """The postings of the terms(term) of a table of questions. Terms meet the postings as a set that is written first, so
+    Spark knows its size and sends it to the scan below its own threshold; then no other posting is shuffled or counted."""
+    return postings(indexed).join(materialize(terms.distinct(), "terms"), "term", "left_semi")
+
+
 def lengths(indexed: DataFrame) -> DataFrame:
     return indexed.groupBy("chunk_id").agg(F.sum(F.size("toks")).alias("n_tokens"))
 
@@ -157,7 +180,7 @@ def phrase_search(questions: DataFrame, indexed: DataFrame, k: int = 10, stemmed
     so frequent words never meet in a join.
     """
     asked = questions.select("query_id", analysed(F.col("question"), stemmed).alias("q")).filter(F.size("q") > 0)
-    posts = postings(indexed)
+    posts = materialize(asked_postings(indexed, asked.select(F.explode("q").alias("term"))), "postings")
     common = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     terms = asked.select("query_id", "q", F.posexplode("q").alias("off", "term")).join(common, "term", "left")
     rare = terms.groupBy("query_id", "q").agg(F.min_by(F.struct("term", "off"), F.struct(F.coalesce("df", F.lit(0)), "off")).alias("r"))
@@ -170,5 +193,5 @@ def phrase_search(questions: DataFrame, indexed: DataFrame, k: int = 10, stemmed
 def any_term_search(questions: DataFrame, indexed: DataFrame, k: int = 10, stemmed: bool = True) -> DataFrame:
     """Like phrase_search, for chunks that hold any of the question's terms; scores add up over distinct terms."""
     asked = questions.select("query_id", F.explode(F.array_distinct(analysed(F.col("question"), stemmed))).alias("term"))
-    counts = postings(indexed).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
+    counts = materialize(asked_postings(indexed, asked.select("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf")), "counts")
     return _top(_bm25(counts.join(asked, "term"), lengths(indexed), ["term"]), k)

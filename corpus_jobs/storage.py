@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder of our own only where the setting is unset."""
+    """spark.checkpoint.dir of the session. Only on a single machine may it be unset, and is then a temporary folder of our
+    own; on a cluster executors would not find each other's files there, so that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="corpus-jobs-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
