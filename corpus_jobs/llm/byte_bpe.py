@@ -1,13 +1,10 @@
 """Whole-text encoding with a byte-level BPE of the tokenizers library, a unit of text at a time.
 
 Merges never cross the pieces that the pre-tokenizer makes, so a text is cut at places that are piece boundaries
-whatever stands around them, each distinct unit is encoded once by the library, and a text's ids are its units' ids in a
-row. The cuts:
- * before a space, and on both sides of a line feed, that a character other than a blank follows: the space begins the
-   next piece, the line feed is a piece, and blanks before them are another;
- * within such a unit, before a run of Latin letters with its space and after it, where the marks beside it can't join.
-A text that holds the string of an added token (<|endoftext|>) is encoded whole, and so gets that token's id, as by the
-library's default; so is a text with blanks that other blanks follow, unless the second kind of cuts suffices for it.
+whatever stands around them: before a run of Latin letters with its space, after it, and between a line feed and a
+letter. The library encodes each distinct unit once, and a text's ids are its units' ids in a row. A text with a unit
+that could join its neighbours (letters of other scripts, a lone quote before a letter) is encoded whole. So is one that
+holds the string of an added token (<|endoftext|>), which gets that token's id, as by the library's default.
 """
 
 from __future__ import annotations
@@ -15,18 +12,18 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from operator import attrgetter
 
 DEFAULT = "byte_bpe_50k.json"
-#: Units of a generation of a worker's memos: what follows a space, and runs of letters and of marks.
-MAX_WORDS, MAX_RUNS = 100_000, 30_000
+#: Units of a generation. A full generation becomes the older one, from which units still in use come back. Both take
+#: about 150 MB; with 150,000, two fifths more units were encoded anew.
+MAX_UNITS = 400_000
 
 _LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Words (with inner quotes), a line feed or tab before a letter, and everything between.
-_RUN = re.compile(rf" ?[{_LATIN}]+(?:'[{_LATIN}]+)*|[^\S ](?=[{_LATIN}])|(?:[^{_LATIN}\s]| (?![{_LATIN}])|[^\S ](?![{_LATIN}]))+")
+_UNIT = re.compile(rf" ?[{_LATIN}]+(?:'[{_LATIN}]+)*|[^\S ](?=[{_LATIN}])|(?:[^{_LATIN}\s]| (?![{_LATIN}])|[^\S ](?![{_LATIN}]))+")
 _WORD = re.compile(rf" ?[{_LATIN}]+\Z")
 _LETTER = re.compile(rf"[{_LATIN}]\Z")
-#: A space or line feed that does not begin the next unit.
-_LOOSE = re.compile(r"[ \n](?=\s|\Z)")
 #: Control characters that count as blanks in some pattern languages only.
 _UNSURE = set("\x1c\x1d\x1e\x1f")
 
@@ -37,34 +34,42 @@ def default_path(name: str = DEFAULT) -> str:
     return public_tokenizers.path(name)
 
 
+_ID = attrgetter("id")
+
+
 class NotAUnit(Exception):
     pass
 
 
-class Memo(dict):
-    """Ids by unit, computed when first asked for. A full generation becomes the older one, from which units come back."""
+class Units(dict):
+    """Ids of units by their text, computed when first asked for."""
 
-    def __init__(self, compute, most: int):
+    def __init__(self, encoder: Encoder):
         super().__init__()
-        self.compute, self.most, self.older = compute, most, {}
+        self.encoder, self.older = encoder, {}
 
     def __missing__(self, unit: str) -> bytes:
         ids = self.older.get(unit)
         if ids is None:
-            ids = self.compute(unit)
-        if len(self) >= self.most:
+            if _WORD.match(unit):
+                ids = self.encoder.word(unit)
+            elif _LETTER.search(unit) or self.alone(unit):
+                ids = self.encoder.raw(unit)
+            else:
+                raise NotAUnit
+        if len(self) >= MAX_UNITS:
             self.older = dict(self)
             self.clear()
         self[unit] = ids
         return ids
 
-
-def alone(marks: str) -> bool:
-    """Whether marks, digits and blanks between words are pieces of their own: no letters, and no quote at the end that
-    would begin a piece and so a contraction."""
-    if any(c.isalpha() or c in _UNSURE for c in marks):
-        return False
-    return marks[-1] != "'" or (len(marks) > 1 and (marks[-2] == " " or not (marks[-2].isspace() or marks[-2].isnumeric())))
+    @staticmethod
+    def alone(marks: str) -> bool:
+        """Whether marks, digits and blanks between words are pieces of their own: no letters, and no quote at the end
+        that would begin a piece and so a contraction."""
+        if any(c.isalpha() or c in _UNSURE for c in marks):
+            return False
+        return marks[-1] != "'" or (len(marks) > 1 and (marks[-2] == " " or not (marks[-2].isspace() or marks[-2].isnumeric())))
 
 
 class Encoder:
@@ -78,7 +83,7 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.runs, self.words = Memo(self.run, MAX_RUNS), Memo(self.spaced, MAX_WORDS)
+        self.units = Units(self)
         # byte-level vocabularies write visible Latin-1 bytes as themselves and the others, in order, from code 256 on
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in shown]
@@ -93,38 +98,15 @@ class Encoder:
             text = "\u0120" + text[1:] if text[0] == " " else text
         else:
             text = text.encode().decode("latin-1").translate(self.letters)
-        pieces = self.tokenizer.model.tokenize(text)
-        return array("I", [p.id for p in pieces]).tobytes()
-
-    def run(self, unit: str) -> bytes:
-        """Ids of a run of letters or of what stands between two of them."""
-        if _WORD.match(unit):
-            return self.word(unit)
-        if _LETTER.search(unit) or alone(unit):
-            return self.raw(unit)
-        raise NotAUnit
-
-    def cut(self, text: str) -> bytes:
-        """Ids of any text."""
-        try:
-            return b"".join(map(self.runs.__getitem__, _RUN.findall(text)))
-        except NotAUnit:
-            return self.raw(text)
-
-    def spaced(self, unit: str) -> bytes:
-        """Ids of what follows a space, or of a line feed and what follows it."""
-        return self.cut(unit if unit[0] == "\n" else f" {unit}")
+        return array("I", map(_ID, self.tokenizer.model.tokenize(text))).tobytes()
 
     def encode(self, text: str) -> bytes:
         if any(token in text for token in self.added):
             return self.raw(text)
-        body = text.rstrip(" \n")
-        if len(body) < len(text):  # blanks that end a text are a piece of their own
-            return self.cut(text) if not body or body[-1].isspace() else self.encode(body) + self.raw(text[len(body) :])
-        if _LOOSE.search(text):
-            return self.cut(text)
-        first, *units = text.replace("\n", " \n").split(" ")
-        return (self.cut(first) if first else b"") + b"".join(map(self.words.__getitem__, units))
+        try:
+            return b"".join(map(self.units.__getitem__, _UNIT.findall(text)))
+        except NotAUnit:
+            return self.raw(text)
 
 
 _encoders: dict[str, Encoder] = {}
