@@ -50,16 +50,16 @@ def combinations(hist: np.ndarray, window: int) -> np.ndarray:
 
 def solve(hist: np.ndarray, combos: np.ndarray, rounds: int = 60) -> np.ndarray:
     """x >= 0 that minimises |A x - hist|, A counting the lengths in each combination."""
-    h = hist.astype(np.float64).copy()
-    h[0] = 0.0
-    used = combos > 0
-    n = len(h)
-    gain = (h[combos] * used).sum(1)
+    h = hist.astype(np.float64)
+    h[0] = 0.0  # stands for no length
+    flat = combos.ravel()
+    total = lambda of: of[flat].reshape(-1, 3).sum(1)
+    gain = total(h)
     x = np.where(gain > 0, 1.0, 0.0)
     for _ in range(rounds):
-        made = np.bincount(combos.ravel(), weights=np.repeat(x, 3) * used.ravel(), minlength=n)
-        below = (made[combos] * used).sum(1)
-        x *= gain / np.maximum(below, 1e-12)
+        made = np.bincount(flat, weights=np.repeat(x, 3), minlength=len(h))
+        made[0] = 0.0
+        x *= gain / np.maximum(total(made), 1e-12)
     return x
 
 
@@ -72,13 +72,14 @@ def repeats(hist: np.ndarray, combos: np.ndarray) -> list[tuple[tuple[int, ...],
     left, out, total = hist.tolist(), [], round(float(x.sum()))
     whole = np.floor(x).astype(np.int64)
     first, then = np.argsort(-whole, kind="stable")[: int((whole > 0).sum())], np.argsort(whole - x, kind="stable")
+    left[0] = len(x)  # never used up
     for order, most in ((first, whole), (then, None)):
-        for j in order.tolist():
+        for j, (a, b, c) in zip(order.tolist(), combos[order].tolist()):
             if total <= 0:
                 return out
-            lengths = tuple(v for v in combos[j].tolist() if v)
-            if any(not left[v] for v in lengths):
+            if not (left[a] and left[b] and left[c]):
                 continue
+            lengths = (a, b, c) if c else (a, b)
             times = min(total, int(most[j]) if most is not None else 1, *(left[v] // lengths.count(v) for v in lengths))
             if times > 0:
                 out.append((lengths, times))
