@@ -26,9 +26,9 @@ def field_value(text: Column, labels: list[str]) -> Column:
     found = []
     for label in labels:
         value = F.regexp_extract(text, rf"(?isU)\b{label}\s*[:|]\s*(.+?){VALUE_END}", 1)
-        value = strip(F.substring_index(F.substring_index(strip(value), "|", 1), "\n", 1))
-        found.append(F.nullif(value, F.lit("")))
-    return F.coalesce(*found, F.lit(""))
+        found.append(strip(F.substring_index(F.substring_index(strip(value), "|", 1), "\n", 1)))
+    # an array, so that each value is worked out once
+    return F.coalesce(F.get(F.filter(F.array(*found), lambda v: v != ""), F.lit(0)), F.lit(""))
 
 
 def problem_text(block: Column) -> Column:
@@ -41,8 +41,9 @@ def extract(pages: DataFrame) -> DataFrame:
 
     A text is split before every code; a piece that begins with one is its record's block.
     """
-    blocks = pages.select("document_id", F.col("file_name").alias("source_document"), "page_number", F.posexplode(F.split("text", f"(?={CODE})")).alias("n", "piece"))
-    blocks = blocks.filter(F.col("piece").rlike(f"^{CODE}")).withColumn("block", strip(F.col("piece")))
+    # blocks are made before the rows are, so that no later expression repeats the work
+    made = F.transform(F.filter(F.split("text", f"(?={CODE})"), lambda p: p.rlike(f"^{CODE}")), strip)
+    blocks = pages.select("document_id", F.col("file_name").alias("source_document"), "page_number", F.posexplode(made).alias("n", "block"))
     code = F.concat(F.lit("SIH"), F.regexp_replace(F.regexp_extract("block", f"^{CODE}", 0), r"\D", ""))
     rows = blocks.select(
         F.concat_ws("_", "document_id", code, F.col("page_number").cast("string")).alias("id"),

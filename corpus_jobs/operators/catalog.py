@@ -113,10 +113,13 @@ def numbered_names(uploads: DataFrame, existing: DataFrame) -> DataFrame:
     used = forms.select("x.of", "x.no", "least").filter("of <> '' and no >= least").select("of", "no").distinct()
     need = rows.groupBy("filename").agg(F.count(F.lit(1)).alias("n"))
     used = used.join(need, F.col("of") == F.col("filename")).select("filename", "no")
-    # the p-th free number: p plus how many used numbers lie below or at it, found by ranking the used numbers
-    w = W.partitionBy("filename").orderBy("no")
-    steps = used.withColumn("gap_before", F.col("no") - (F.row_number().over(w) - 1))
-    shifts = rows.join(steps, "filename", "left").groupBy(*rows.columns).agg(F.count_if(F.col("gap_before") <= F.col("_place")).alias("_shift"))
+    # the p-th free number is p plus how many used ones have at most p free ones below them: uploads by place and used
+    # numbers by the free ones below them stand in one order, and a running count gives the sum
+    below = F.col("no") - (F.row_number().over(W.partitionBy("filename").orderBy("no")) - 1)
+    marks = used.select("filename", below.cast("long").alias("_place"), F.lit(1).alias("_used"))
+    both = rows.withColumns({"_place": F.col("_place").cast("long"), "_used": F.lit(0)}).unionByName(marks, allowMissingColumns=True)
+    order = W.partitionBy("filename").orderBy("_place", F.desc("_used")).rowsBetween(W.unboundedPreceding, 0)
+    shifts = both.withColumn("_shift", F.sum("_used").over(order)).filter("_used = 0")
     number = F.col("_place") + F.col("_shift")
     dest = F.when(number == 0, F.col("filename")).otherwise(F.concat("_stem", F.lit("_"), number.cast("string"), "_ext"))
     return shifts.select(*uploads.columns, dest.alias("dest"))

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-#: Questions that one pass over the vectors answers; more questions make more passes, not larger ones.
+from ..storage import materialize
+
+#: Questions that one pass over the vectors answers and that the driver holds at a time; more make more passes.
 BLOCK = 4096
 
 
@@ -84,6 +86,8 @@ def dense_search(questions: DataFrame, vectors: DataFrame, key: str = "chunk_id"
             continue
         m = _matrix(pa.array([r["embedding"] for r in rows], type=pa.list_(pa.float32())))
         one = _pass([r["query_id"] for r in rows], m, vectors, key, key_type, id_type, k)
+        if n_blocks > 1:  # written before the next block is read, so that the driver holds one
+            one = materialize(one, "near")
         found = one if found is None else found.unionByName(one)
     if found is None:
         found = questions.sparkSession.createDataFrame([], T.StructType([T.StructField("query_id", id_type), T.StructField(key, key_type), T.StructField("similarity", T.DoubleType())]))

@@ -27,7 +27,7 @@ SQL = {
         FROM {conversations}""",
     "questions": """
         SELECT conv_id * 100 + turn AS query_id, CAST(conv_id AS STRING) AS conversation_id, turn AS k, conv_id,
-               CASE (conv_id + turn) % 12
+               CASE WHEN turn % 2 = 1 THEN text || ' ' ELSE '' END || CASE (conv_id + turn) % 12
                  WHEN 0 THEN 'What is the theme of DOC-' || lpad(CAST(conv_id % 100000 AS STRING), 5, '0') || '?'
                  WHEN 1 THEN 'SIH ' || lpad(CAST(conv_id % 100000 AS STRING), 5, '0')
                  WHEN 2 THEN 'Compare SIH' || lpad(CAST(conv_id % 100000 AS STRING), 5, '0') || ' and ABC-2026-001'
@@ -39,7 +39,7 @@ SQL = {
                  WHEN 8 THEN 'solar panels'
                  WHEN 9 THEN 'Why do rivers carry more water in spring than in autumn'
                  WHEN 10 THEN lpad(CAST(conv_id % 100000 AS STRING), 5, '0')
-                 ELSE 'give me an overview of the projects' END AS message
+                 ELSE 'give me an overview of the projects' END || CASE WHEN (conv_id + turn) % 5 = 4 THEN ' ' || text ELSE '' END AS message
         FROM {conversations}""",
     "pages": """
         SELECT 'd' || CAST(o_orderkey % 50 AS STRING) AS document_id, 'catalogue.pdf' AS file_name, CAST(o_orderkey AS INT) AS page_number, o_orderkey,

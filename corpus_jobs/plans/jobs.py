@@ -30,9 +30,9 @@ _META = [(f.name, f.dataType) for f in META.fields if f.name != "file_path"]
 
 
 def sections_of(listing: DataFrame, parsers: dict[str, Callable] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Files with their content -> (sections, failures). Text, Markdown and JSON are read by Spark, other types by the
+    """Files with their content -> (sections, failures). Text, Markdown, JSON and CSV are read by Spark, other types by the
     given parsers; a parser's metadata keys that the schema knows become columns."""
-    own = {"txt": files.text_sections, "markdown": files.markdown_sections, "json": files.json_sections}
+    own = {"txt": files.text_sections, "markdown": files.markdown_sections, "json": files.json_sections, "csv": files.csv_sections}
     built = [with_columns_of(f(listing.filter(F.col("file_type") == k)), _META) for k, f in own.items()]
     columns = ["file_path", "section_index", "text", *[n for n, _ in _META]]
     parsed = files.parsed(listing.filter(~F.col("file_type").isin(list(own))), parsers or {})

@@ -8,6 +8,7 @@ from ..sources import files
 from ..streaming import watch
 from .inputs import frame, table
 from .registry import query
+from .routing_sql import holds
 
 
 @query("SELECT id FROM $catalog WHERE filename NOT LIKE '%.exe' AND size_bytes > 0 AND size_bytes <= 52428800")
@@ -15,7 +16,7 @@ def p1_admission(spark, sf):
     return files.admitted(frame(spark, sf, "catalog")).select("id")
 
 
-@query("""SELECT conv_id, turn, CASE (conv_id + turn) % 4 WHEN 0 THEN true WHEN 1 THEN true ELSE false END AS forbidden FROM conversations""")
+@query(f"""SELECT conv_id, turn, {holds("lower(t)", ocr.FORBIDDEN)} AS forbidden FROM (SELECT conv_id, turn, (['[IMAGE: x] ', 'OCR processing complete', 'plain ', ''])[(conv_id + turn) % 4 + 1] || text AS t FROM conversations)""")
 def p3_forbidden_text(spark, sf):
     lead = F.element_at(F.array(*map(F.lit, ["[IMAGE: x] ", "OCR processing complete", "plain ", ""])), ((F.col("conv_id") + F.col("turn")) % 4 + 1).cast("int"))
     return table(spark, sf, "conversations").select("conv_id", "turn", ocr.is_forbidden(F.concat(lead, "text")).alias("forbidden"))
@@ -42,6 +43,13 @@ def j6_duplicate_content(spark, sf):
     return catalog.duplicates(frame(spark, sf, "catalog"))
 
 
+@query("""SELECT e.event_id, min(c.id) AS same_as FROM (SELECT event_id, md5(text) AS h FROM events LEFT JOIN documents ON doc_id = event_id % 5000) e LEFT JOIN $catalog c ON c.file_hash = e.h GROUP BY e.event_id""")
+def j6_same_content(spark, sf):
+    events, docs = table(spark, sf, "events"), table(spark, sf, "documents")
+    listing = events.join(docs, F.col("doc_id") == F.col("event_id") % 5000, "left").select("event_id", F.md5("text").alias("file_hash"))
+    return catalog.same_content(listing, frame(spark, sf, "catalog")).select("event_id", "same_as")
+
+
 @query("""SELECT 'pages' AS t, o_orderkey AS k FROM orders WHERE o_orderkey % 50 NOT IN (SELECT doc_id FROM documents WHERE source = 'src1')
     UNION ALL SELECT 'records', p_partkey FROM part WHERE p_size NOT IN (SELECT doc_id FROM documents WHERE source = 'src1')""")
 def j7_delete_cascade(spark, sf):
@@ -54,7 +62,7 @@ def j7_delete_cascade(spark, sf):
 @query("""WITH c AS (SELECT 'd' || CAST(doc_id AS STRING) AS document_id, bool_or(doc_id % 5 = 0) AS broken FROM documents WHERE doc_id % 7 > 0 GROUP BY ALL)
     SELECT id FROM $catalog LEFT JOIN c ON id = document_id WHERE file_type = 'image' AND coalesce(broken, true)""")
 def j8_images_to_reprocess(spark, sf):
-    chunks = table(spark, sf, "documents").filter("doc_id % 7 > 0").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("document_id"), F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("Visual Content "), "text")).otherwise("t").alias("text"))
+    chunks = table(spark, sf, "documents").select(F.concat(F.expr("if(doc_id % 7 = 0, 'other', 'd')"), F.col("doc_id").cast("string")).alias("document_id"), F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("Visual Content "), "text")).otherwise("t").alias("text"))
     return catalog.images_to_reprocess(frame(spark, sf, "catalog"), chunks).select("id")
 
 
@@ -187,17 +195,18 @@ def s7_query_log(spark, sf):
     return spark.read.parquet(path).groupBy("question").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("response_time"), 2).alias("total"))
 
 
-@query("SELECT id AS document_id, md5(id) AS file_hash, 'ready' AS status, CAST(size_bytes AS INT) AS page_count FROM $catalog WHERE file_type = 'pdf'")
+@query("SELECT id AS document_id, file_hash, 'ready' AS status, CAST(size_bytes AS INT) AS page_count, filename FROM $catalog WHERE file_type = 'pdf'")
 def s8_preview_manifests(spark, sf):
     from ..storage import new_path
 
-    # one file per folder, written by Spark, as a preview service would leave them
+    # folders of files that hold one JSON text over several lines each, as a preview service leaves them
     path = new_path(spark, "previews")
     c = frame(spark, sf, "catalog").filter("file_type = 'pdf'")
-    body = F.to_json(F.struct(F.col("id").alias("document_id"), F.md5("id").alias("file_hash"), F.lit("ready").alias("status"), F.col("size_bytes").cast("int").alias("page_count")))
-    c.select(body.alias("value")).write.text(path)
-    rows = spark.read.schema("document_id string, filename string, file_type string, file_hash string, status string, page_count int").json(path)
-    return rows.select("document_id", "file_hash", "status", "page_count")
+    one = F.struct(F.col("id").alias("document_id"), "filename", "file_hash", F.lit("ready").alias("status"), F.col("size_bytes").cast("int").alias("page_count"))
+    shelf = F.expr("cast(substring(id, 2) as long) div 500")
+    files_of = c.groupBy(shelf.alias("shelf")).agg(F.to_json(F.collect_list(one), {"pretty": "true"}).alias("value"))  # at most 500 documents
+    files_of.withColumn("folder", F.col("shelf") % 8).select("folder", "value").write.partitionBy("folder").option("maxRecordsPerFile", 1).text(path)
+    return files.preview_manifests(spark, path, "part-*").select("document_id", "file_hash", "status", "page_count", "filename")
 
 
 @query("SELECT p_partkey, CAST(p_size + p_retailprice AS DOUBLE) AS total_marks FROM part")
@@ -257,6 +266,11 @@ def a13_layout_lines(spark, sf):
     return ocr.layout_lines(frame(spark, sf, "ocr_words")).select("image_id", "block_id", "text", "type", "bbox.x", "bbox.y", "bbox.w", "bbox.h", "confidence")
 
 
+@query(f"""WITH {_LINES} SELECT image_id, regexp_replace(string_agg(CASE {_TYPE} WHEN 'heading' THEN chr(10) || '### ' || text || chr(10) WHEN 'bullet' THEN '  • ' || regexp_replace(text, '^[•* -]+', '') ELSE text END, chr(10) ORDER BY block_num, line_num), '^\\s+|\\s+$', '', 'g') AS structured_ocr FROM l GROUP BY image_id""")
+def a13_structured_text(spark, sf):
+    return ocr.structured_text(ocr.layout_lines(frame(spark, sf, "ocr_words")))
+
+
 @query("""WITH r AS (SELECT conv_id, turn, 2 AS e, lower(role) || ' says  this' AS line FROM conversations UNION ALL SELECT conv_id, turn, 1, upper(role) || ' says this' FROM conversations),
     f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY conv_id, turn, lower(replace(line, '  ', ' ')) ORDER BY e) = 1)
     SELECT conv_id, turn, string_agg(line, chr(10) ORDER BY e) AS raw_ocr, 'low' AS ocr_confidence FROM f GROUP BY conv_id, turn""")
@@ -267,12 +281,11 @@ def a14_line_merge(spark, sf):
     return ocr.merged_lines(one.unionByName(two)).select("image_id.conv_id", "image_id.turn", "raw_ocr", "ocr_confidence")
 
 
-@query("""SELECT event_id FROM events WHERE event_id % 4 < 2""")
+@query(f"""SELECT page_id FROM (SELECT page_id, regexp_extract(p, '[^/]*$') AS name FROM (SELECT page_id, url || (['.pdf', '/a.JPG', '/.a.txt', '.exe', ''])[page_id % 5 + 1] AS p FROM pages))
+    WHERE NOT starts_with(name, '.') AND lower(regexp_extract(name, '[^./](\\.[^./]+)$', 1)) IN ({", ".join(f"'{e}'" for e in files.EXTENSIONS)})""")
 def t1_watched_files(spark, sf):
-    n = F.col("event_id") % 4
-    path = F.concat(F.lit("/data/"), F.when(n == 2, ".").otherwise(""), F.lit("f"), F.when(n == 0, ".pdf").when(n == 1, ".JPG").when(n == 2, ".txt").otherwise(".exe"))
-    events = table(spark, sf, "events").select("event_id", path.alias("path"), F.lit("created").alias("kind"))
-    return watch.watched(events).select("event_id")
+    end = F.element_at(F.array(*map(F.lit, [".pdf", "/a.JPG", "/.a.txt", ".exe", ""])), (F.col("page_id") % 5 + 1).cast("int"))
+    return watch.watched(table(spark, sf, "pages").select("page_id", F.concat("url", end).alias("path"), F.lit("created").alias("kind"))).select("page_id")
 
 
 @query("""WITH RECURSIVE e AS (SELECT event_type, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS p FROM events),

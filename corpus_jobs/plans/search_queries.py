@@ -7,6 +7,7 @@ from ..functions import routing
 from ..storage import materialize
 from .inputs import frame, table
 from .registry import query
+from .routing_sql import PLANNED, TEMPLATE, holds
 
 _TOKENS = r"regexp_extract_all(lower(strip_accents({0})), '[\p{{L}}\p{{N}}]+')"
 _PHRASE_WORDS = 6
@@ -49,22 +50,35 @@ def k2_any_term_search(spark, sf):
     return found.select("query_id", "chunk_id", F.round("rank", 4).alias("rank"))
 
 
-def _hashing_encoder(texts):
-    """A stand-in for a model: letter counts by hash, which is all that the extension point needs to be shown with."""
-    import zlib
-
+def _length_encoder(texts):
+    """A stand-in for a model, which SQL can follow: words by their length, which is all that the extension point needs."""
     import numpy as np
 
-    out = np.zeros((len(texts), 16), dtype=np.float32)
+    out = np.zeros((len(texts), 8), dtype=np.float32)
     for i, t in enumerate(texts):
-        for w in t.split():
-            out[i, zlib.crc32(w.encode()) % 16] += 1
+        for w in t.split(" "):
+            out[i, len(w) % 8] += 1
     return out
 
 
-@query()
+_EMBEDDED = """w AS (SELECT conv_id, turn, unnest(list_transform(string_split(text, ' '), lambda x: length(x) % 8)) AS d FROM conversations),
+    c AS (SELECT conv_id, turn, d, CAST(count(*) AS FLOAT) AS c FROM w GROUP BY ALL), s AS (SELECT conv_id, turn, CAST(sqrt(sum(CAST(c AS DOUBLE) * c)) AS FLOAT) AS s FROM c GROUP BY ALL)"""
+
+
+@query(f"WITH {_EMBEDDED} SELECT conv_id, turn, CAST(d AS INT) AS dimension, round(CAST(CAST(c / s AS FLOAT) AS DOUBLE), 6) AS value FROM c JOIN s USING (conv_id, turn)")
 def k3_embeddings(spark, sf):
-    return dense.embed(table(spark, sf, "conversations").select("conv_id", "turn", "text"), _hashing_encoder).select("conv_id", "turn", "embedding")
+    found = dense.embed(table(spark, sf, "conversations").select("conv_id", "turn", "text"), _length_encoder)
+    return found.select("conv_id", "turn", F.posexplode("embedding").alias("dimension", "v")).filter("v > 0").select("conv_id", "turn", "dimension", F.round(F.col("v").cast("double"), 6).alias("value"))
+
+
+@query("SELECT p_partkey, 2 AS dimensions, round(length(p_name) / sqrt(length(p_name) * length(p_name) + 1), 5) AS first FROM part")
+def x2_encoder(spark, sf):
+    """The extension point with another encoder, in batches of another size."""
+    import numpy as np
+
+    rows = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("text"))
+    found = dense.embed(rows, lambda texts: np.array([[len(t), 1.0] for t in texts]), batch=7)
+    return found.select("p_partkey", F.size("embedding").alias("dimensions"), F.round(F.col("embedding")[0].cast("double"), 5).alias("first"))
 
 
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0),
@@ -102,23 +116,23 @@ def _phrase_hits(spark, sf):
 @query("""SELECT p_partkey AS query_id, 'sih-' || CAST(10000 + p_partkey % 89999 AS STRING) AS ident, 'c' || CAST(p_partkey AS STRING) AS chunk_id, 8.0 AS score FROM part WHERE p_partkey % 2 = 0""")
 def j3_identifier_phrase(spark, sf):
     found = retrieval.identifier_phrases(_phrase_hits(spark, sf), frame(spark, sf, "chunks"))
-    return found.filter("score = 8.0").select("query_id", "ident", "chunk_id", "score")
+    return found.select("query_id", "ident", "chunk_id", "score")
 
 
 @query("""SELECT l_orderkey, l_linenumber, 'c' || CAST(l_partkey AS STRING) AS chunk_id, coalesce(p_brand, 'own') AS file_name, coalesce(CASE WHEN p_partkey % 10 = 0 THEN 'image' WHEN p_partkey IS NOT NULL THEN 'pdf' END, '') AS source_type
     FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_partkey % 3 > 0""")
 def j4_hydration(spark, sf):
     hits = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("c"), F.col("l_partkey").cast("string")).alias("chunk_id"), F.lit("own").alias("file_name"))
-    known = frame(spark, sf, "chunks").filter("cast(substring(chunk_id, 2) as long) % 3 > 0")
+    known = frame(spark, sf, "chunks").withColumn("chunk_id", F.expr("if(cast(substring(chunk_id, 2) as long) % 3 = 0, concat('other ', chunk_id), chunk_id)"))
     return retrieval.hydrated(hits, known, ["file_name", "source_type"])
 
 
-@query("""SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT (l_linenumber = 1 OR (l_linenumber = 2 AND l_returnflag = 'N'))""")
+@query("""SELECT conv_id, turn FROM (SELECT conv_id, turn, CASE (conv_id + turn) % 4 WHEN 0 THEN '[Image: a.png] ' || text || ' OCR processing complete' WHEN 1 THEN text || 'OCR processing complete' WHEN 2 THEN ' ' || chr(10) ELSE text END AS t FROM conversations)
+    WHERE regexp_matches(t, '\\S') AND NOT (contains(t, '[Image:') AND contains(t, 'OCR processing complete'))""")
 def p2_placeholders(spark, sf):
-    text = F.when(F.col("l_linenumber") == 1, " \n ").when(F.col("l_linenumber") == 2, F.concat(F.when(F.col("l_returnflag") == "N", "[Image: a.png] ").otherwise(""), F.lit("OCR processing complete"))).otherwise("x")
-    return retrieval.drop_placeholders(table(spark, sf, "lineitem").withColumn("text", text)).select("l_orderkey", "l_linenumber")
-
-
+    n = (F.col("conv_id") + F.col("turn")) % 4
+    text = F.when(n == 0, F.concat(F.lit("[Image: a.png] "), "text", F.lit(" OCR processing complete"))).when(n == 1, F.concat("text", F.lit("OCR processing complete"))).when(n == 2, " \n ").otherwise(F.col("text"))
+    return retrieval.drop_placeholders(table(spark, sf, "conversations").withColumn("text", text)).select("conv_id", "turn")
 
 
 @query("""WITH r AS (SELECT *, bool_or(is_image) OVER (PARTITION BY query_id) AS any_image FROM $ranked) SELECT query_id, rank FROM r WHERE intent <> 'image_note' OR is_image OR NOT any_image""")
@@ -147,7 +161,7 @@ def p7_page_lookup(spark, sf):
     return retrieval.page_lookup(asked, frame(spark, sf, "chunks")).select("query_id", "chunk_id", "score")
 
 
-@query("""SELECT query_id, (['detail', 'identifier', 'comparison', 'system', 'page', 'page', 'system', 'list', 'system', 'system', 'identifier', 'summary'])[(conv_id + k) % 12 + 1] AS template FROM $questions""")
+@query(f"WITH {PLANNED} SELECT query_id, {TEMPLATE} AS template FROM planned")
 def p8_templates(spark, sf):
     return routing.plan(frame(spark, sf, "questions")).select("query_id", routing.template_key(F.col("intent")).alias("template"))
 
@@ -169,7 +183,7 @@ def _identifier_lists(spark, sf):
     number = asked.select("query_id", "ident", "ident_no")
     one = retrieval.record_lookup(asked, records).join(number, ["query_id", "ident"]).select("query_id", "ident_no", F.col("id").alias("chunk_id"), F.lit(10.0).alias("score"), F.lit(0).alias("place"))
     two = retrieval.identifier_lookup(asked, chunks).join(number, ["query_id", "ident"]).select("query_id", "ident_no", "chunk_id", "score", F.col("rank").alias("place"))
-    three = retrieval.identifier_phrases(_phrase_hits(spark, sf), chunks).filter("score = 8.0").join(number, ["query_id", "ident"]).select("query_id", "ident_no", "chunk_id", "score", F.col("position").alias("place"))
+    three = retrieval.identifier_phrases(_phrase_hits(spark, sf), chunks).join(number, ["query_id", "ident"]).select("query_id", "ident_no", "chunk_id", "score", F.col("position").alias("place"))
     return retrieval.identifier_search(one, two, three)
 
 
@@ -199,18 +213,26 @@ def k7_hybrid(spark, sf):
     return retrieval.hybrid(rows).select("query_id", "chunk_id", F.round("score", 9).alias("score"))
 
 
-@query("""SELECT query_id, p, CASE WHEN p % 2 = 0 AND n = 0 THEN 6.0 WHEN identifier <> '' AND n = 0 THEN 6.0 ELSE 1.0 END AS score FROM (SELECT p_partkey AS p, p_partkey % 3 AS n, p_partkey AS query_id, CASE WHEN p_partkey % 4 = 1 THEN 'x' ELSE '' END AS identifier FROM part)""")
+@query("""WITH d AS (SELECT doc_id, text || CASE WHEN doc_id % 5 = 0 THEN ' sih-' || CAST(doc_id % 90 AS STRING) || chr(10) ELSE '' END AS t, CASE WHEN doc_id % 4 = 1 THEN 'SIH ' || CAST(doc_id % 70 AS STRING) ELSE '' END AS identifier,
+      list_transform(['SIH_' || CAST(doc_id % 70 AS STRING), 'sih ' || CAST(doc_id % 90 AS STRING), substr(text, 1, 3)], lambda x: upper(regexp_replace(x, '[\\s\\-_]', '', 'g'))) AS ids FROM documents),
+    q AS (SELECT doc_id, ids, upper(replace(replace(replace(t, ' ', ''), '-', ''), '_', '')) AS t, upper(replace(replace(replace(identifier, ' ', ''), '-', ''), '_', '')) AS own FROM d)
+    SELECT doc_id, CASE WHEN len(list_filter(ids, lambda x: contains(t, x) OR x = own)) > 0 THEN 6.0 ELSE 1.0 END AS score FROM q""")
 def k8_identifier_boost(spark, sf):
-    c = frame(spark, sf, "chunks").withColumn("p", F.substring("chunk_id", 2, 12).cast("long"))
-    ids = F.when(F.col("p") % 3 == 0, F.array(F.concat(F.lit("sih_"), (F.col("p") % 89999 + 10000).cast("string")))).otherwise(F.array(F.lit("sih-999999")))
-    return retrieval.identifier_boost(c.withColumns({"query_id": F.col("p"), "identifiers": ids, "score": F.lit(1.0)})).select("query_id", "p", "score")
+    number = lambda n: (F.col("doc_id") % n).cast("string")
+    rows = table(spark, sf, "documents").select(
+        "doc_id", F.lit(1.0).alias("score"), F.lit("").alias("ps_code"), F.when(F.col("doc_id") % 4 == 1, F.concat(F.lit("SIH "), number(70))).otherwise("").alias("identifier"),
+        F.array(F.concat(F.lit("SIH_"), number(70)), F.concat(F.lit("sih "), number(90)), F.substring("text", 1, 3)).alias("identifiers"),
+        F.concat("text", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(" sih-"), number(90), F.lit("\n"))).otherwise("")).alias("text"),
+    )
+    return retrieval.identifier_boost(rows).select("doc_id", "score")
 
 
-@query("""SELECT p_partkey AS p, CASE WHEN p_partkey % 3 = 0 AND (p_size % 2 = 0 OR p_partkey % 10 = 0) THEN 3.0 ELSE 1.0 END AS score FROM part""")
+@query(f"""SELECT conv_id, turn, CASE WHEN (turn % 3 = 0 OR (conv_id + turn) % 4 = 0) AND {holds("lower(q)", retrieval.IMAGE_QUESTION_WORDS)} THEN 3.0 ELSE 1.0 END AS score
+    FROM (SELECT conv_id, turn, text || CASE conv_id % 3 WHEN 0 THEN ' show the Picture' ELSE '' END AS q FROM conversations)""")
 def k9_image_boost(spark, sf):
-    c = frame(spark, sf, "chunks").withColumn("p", F.substring("chunk_id", 2, 12).cast("long"))
-    asked = F.when(F.col("p") % 3 == 0, "show the Picture").otherwise("prices")
-    return retrieval.image_boost(c.withColumns({"question": asked, "score": F.lit(1.0)})).select("p", "score")
+    asked = F.concat("text", F.when(F.col("conv_id") % 3 == 0, " show the Picture").otherwise(""))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", asked.alias("question"), F.lit(1.0).alias("score"), F.when(F.col("turn") % 3 == 0, "JPG").otherwise("pdf").alias("file_type"), F.when((F.col("conv_id") + F.col("turn")) % 4 == 0, "Image").otherwise("pdf").alias("source_type"))
+    return retrieval.image_boost(rows).select("conv_id", "turn", "score")
 
 
 @query("""WITH s AS (SELECT *, CASE WHEN is_exact THEN 1.0 ELSE round((model_score - min(model_score) OVER w) / CASE WHEN max(model_score) OVER w = min(model_score) OVER w THEN 1 ELSE max(model_score) OVER w - min(model_score) OVER w END, 4) END AS new_score FROM $ranked WINDOW w AS (PARTITION BY query_id, is_exact))
@@ -225,7 +247,7 @@ def k10_rerank(spark, sf):
     FROM (SELECT o_orderkey, r.*, (top * 0.6 + mean * 0.4) * CASE n WHEN 1 THEN 0.85 WHEN 2 THEN 0.92 ELSE 1.0 END AS c FROM orders LEFT JOIN r ON o_orderkey = query_id)""")
 def k11_confidence(spark, sf):
     q = table(spark, sf, "orders").select(F.col("o_orderkey").alias("query_id"), F.when(F.col("o_orderkey") % 2 == 0, "two words").otherwise("these are four words").alias("question"), F.when(F.col("o_orderkey") % 4 == 0, "image_note").otherwise("semantic").alias("intent"))
-    rows = frame(spark, sf, "ranked").filter("query_id % 5 > 0").withColumns({"has_id": F.col("is_exact"), "origin": F.when(F.col("query_id") % 3 == 0, "structured_record").otherwise("semantic")})
+    rows = frame(spark, sf, "ranked").withColumn("query_id", F.expr("if(query_id % 5 = 0, -1 - query_id, query_id)")).withColumns({"has_id": F.col("is_exact"), "origin": F.when(F.col("query_id") % 3 == 0, "structured_record").otherwise("semantic")})
     return ranking.confidence(q, rows)
 
 
@@ -266,11 +288,21 @@ def k14_diagnostics(spark, sf):
     return out.select("query_id", "semantic_count", "keyword_count", "total_candidates", "reranked_count", tops.alias("tops"), "confidence")
 
 
-@query("""SELECT o_orderkey, o_orderkey % 3 > 0 OR o_orderkey % 2 = 0 AS grounded FROM orders""")
+@query(f"""WITH a AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'In all 1.5 of 77 and 88: ' ELSE '' END || text AS answer, substr(text, 1, 1000) || CASE doc_id % 4 WHEN 0 THEN ' 77 or 88' ELSE '' END AS context FROM documents),
+    n AS (SELECT *, regexp_extract_all(answer, '\\b\\d+(?:\\.\\d+)?\\b') AS numbers FROM a)
+    SELECT doc_id, answer = '' OR context = '' OR length(answer) < 50 OR {holds("lower(answer)", answers.DISCLAIMERS)} OR NOT (len(numbers) > 2 AND len(list_filter(numbers, lambda x: NOT contains(lower(context), x))) > len(numbers) * 0.5) AS grounded FROM n""")
 def k15_groundedness(spark, sf):
-    answer = F.concat(F.lit("The project plans 1.5 wells in 77 villages by 88 teams, order "), F.when(F.col("o_orderkey") % 3 > 0, "").otherwise("of sale"), F.lit(". That is it."))
-    context = F.when(F.col("o_orderkey") % 3 > 0, "77 and 88 and 1.5").when(F.col("o_orderkey") % 2 == 0, "88 wells 1.5 wide").otherwise("77 wells")
-    return table(spark, sf, "orders").select("o_orderkey", answers.grounded(answer, context).alias("grounded"))
+    answer = F.concat(F.when(F.col("doc_id") % 3 == 0, "In all 1.5 of 77 and 88: ").otherwise(""), "text")
+    context = F.concat(F.substring("text", 1, 1000), F.when(F.col("doc_id") % 4 == 0, " 77 or 88").otherwise(""))
+    return table(spark, sf, "documents").select("doc_id", answers.grounded(answer, context).alias("grounded"))
+
+
+@query("""WITH c AS (SELECT query_id, CASE WHEN list_no = 3 AND l_suppkey % 2 = 0 THEN 4 ELSE list_no END AS list_no, chunk_id, l_linenumber FROM $candidates), p AS (SELECT DISTINCT query_id FROM c WHERE list_no = 1 AND query_id % 2 = 0)
+    SELECT query_id, list_no, chunk_id, l_linenumber FROM c WHERE list_no <= 2 OR query_id NOT IN (SELECT query_id FROM p)""")
+def k7_list_selection(spark, sf):
+    c = frame(spark, sf, "candidates").select("query_id", F.expr("if(list_no = 3 and l_suppkey % 2 = 0, 4, list_no)").alias("list_no"), "chunk_id", "l_linenumber")
+    plans = c.select("query_id", F.when(F.col("query_id") % 2 == 0, "exact_identifier").otherwise("semantic").alias("intent")).distinct()
+    return retrieval.lists_for(plans, *(c.filter(F.col("list_no") == i) for i in (1, 2, 3, 4)))
 
 
 @query("""SELECT query_id, list_no, l_linenumber FROM $candidates QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY list_no, rank) = 1""")

@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from ..functions import dates, records, routing, text
-from ..operators import chunking
+from ..operators import chunking, marks
 from ..sources import files
 from .inputs import frame, table
 from .registry import query
+from .routing_sql import PLANNED
 
 
 @query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}]', '', 'g'), '\r\n?', chr(10), 'g'), ' {2,}', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9)) AS cleaned FROM documents""")
@@ -31,7 +32,22 @@ def f4_safe_filename(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.safe_filename(raw).alias("name"))
 
 
-@query()
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+# A text is one paragraph here, as no document holds an empty line; sentences are packed one after another.
+@query(f"""WITH RECURSIVE t AS (SELECT doc_id, source, trim(text, {_BLANKS}) AS para FROM documents),
+    s AS (SELECT doc_id, list_filter(list_transform(string_split(replace(para, '. ', '.' || chr(10)), chr(10)), lambda x: trim(x, {_BLANKS})), lambda x: x <> '') AS parts FROM t WHERE length(para) > 800),
+    p AS (SELECT doc_id, parts, 0 AS i, '' AS held, CAST(NULL AS VARCHAR) AS done FROM s
+      UNION ALL SELECT doc_id, parts, i + 1,
+        CASE WHEN i = len(parts) THEN '' WHEN held = '' THEN parts[i + 1] WHEN length(held) + 1 + length(parts[i + 1]) <= 800 THEN held || ' ' || parts[i + 1]
+          WHEN trim(right(held, 120), {_BLANKS}) = '' THEN parts[i + 1] ELSE trim(right(held, 120), {_BLANKS}) || ' ' || parts[i + 1] END,
+        CASE WHEN i = len(parts) OR (held <> '' AND length(held) + 1 + length(parts[i + 1]) > 800) THEN held END FROM p WHERE i <= len(parts)),
+    c AS (SELECT doc_id, i, 0 AS j, para AS text FROM (SELECT doc_id, 0 AS i, para FROM t WHERE length(para) <= 800 AND para <> '')
+      UNION ALL SELECT doc_id, i, 0, done FROM p WHERE done <> '' AND length(done) <= 1600
+      UNION ALL SELECT doc_id, i, j, substr(done, CAST(j + 1 AS INT), 800) FROM (SELECT doc_id, i, done, unnest(range(0, length(done), 680)) AS j FROM p WHERE length(done) > 1600)),
+    n AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS k FROM c)
+    SELECT CAST(doc_id AS VARCHAR) AS document_id, 0 AS section_index, source, k AS chunk_index, text, CAST(doc_id AS VARCHAR) || '_0_' || CAST(k AS VARCHAR) AS chunk_id FROM n JOIN t USING (doc_id)""")
 def f5_chunks(spark, sf):
     sections = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.lit(0).alias("section_index"), "text", "source")
     return chunking.chunk_sections(sections)
@@ -87,10 +103,7 @@ def f11_record_chunks(spark, sf):
     return records.record_chunks(frame(spark, sf, "records")).select("chunk_id", "document_id", "text")
 
 
-_PLAN = """SELECT query_id, k, (conv_id + k) % 12 AS m, lpad(CAST(conv_id % 100000 AS STRING), 5, '0') AS n FROM $questions"""
-
-
-@query(f"""SELECT query_id, CASE m WHEN 0 THEN 'DOC-' || n WHEN 1 THEN 'SIH' || n WHEN 2 THEN 'SIH' || n || ',ABC-2026-001' WHEN 10 THEN n ELSE '' END AS identifiers FROM ({_PLAN})""")
+@query(f"WITH {PLANNED} SELECT query_id, array_to_string(ids, ',') AS identifiers FROM asked")
 def f12_identifiers(spark, sf):
     return frame(spark, sf, "questions").select("query_id", F.array_join(routing.identifiers(F.col("message")), ",").alias("identifiers"))
 
@@ -100,25 +113,22 @@ def f13_canonical_id(spark, sf):
     return table(spark, sf, "part").select("p_partkey", text.canonical_id(F.concat("p_name", F.lit(" - _x"))).alias("canonical"))
 
 
-@query(f"SELECT query_id, CASE m WHEN 4 THEN CAST(k + 1 AS INT) WHEN 5 THEN CAST(k + 3 AS INT) END AS page FROM ({_PLAN})")
+@query(f"WITH {PLANNED} SELECT query_id, page FROM planned")
 def f14_target_page(spark, sf):
     return frame(spark, sf, "questions").select("query_id", routing.target_page(F.col("message")).alias("page"))
 
 
-@query(f"SELECT query_id, CASE m WHEN 0 THEN 'theme' WHEN 3 THEN 'sponsor' ELSE '' END AS fields FROM ({_PLAN})")
+@query(f"WITH {PLANNED} SELECT query_id, array_to_string(fields, ',') AS fields FROM planned")
 def f15_target_fields(spark, sf):
     return frame(spark, sf, "questions").select("query_id", F.array_join(routing.target_fields(F.col("message")), ",").alias("fields"))
 
 
-@query(f"SELECT query_id, m IN (0, 3) AS follow_up FROM ({_PLAN})")
+@query(f"WITH {PLANNED} SELECT query_id, follow_up FROM planned")
 def f16_follow_up(spark, sf):
     return frame(spark, sf, "questions").select("query_id", routing.is_follow_up(F.col("message")).alias("follow_up"))
 
 
-_INTENTS = "['identifier_detail', 'exact_identifier', 'comparison', 'follow_up', 'page_lookup', 'page_lookup', 'image_note', 'table_list', 'keyword', 'semantic', 'exact_identifier', 'summary']"
-
-
-@query(f"SELECT query_id, ({_INTENTS})[m + 1] AS intent, CASE m WHEN 2 THEN 'SIH' || n || ',ABC-2026-001' ELSE '' END AS comparison FROM ({_PLAN})")
+@query(f"WITH {PLANNED} SELECT query_id, intent, array_to_string(comparison, ',') AS comparison FROM planned")
 def f17_intent(spark, sf):
     p = routing.plan(frame(spark, sf, "questions"))
     return p.select("query_id", "intent", F.array_join("comparison_ids", ",").alias("comparison"))
@@ -130,26 +140,56 @@ def f18_clean_answer(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", text.clean_answer(raw).alias("answer"))
 
 
-@query("""SELECT s_suppkey, (['topper', 'top_n', 'average', 'compare', 'pass_percentage', 'lowest', 'rank', NULL])[s_suppkey % 8 + 1] AS kind FROM supplier""")
+def _asked(spark, sf, *phrases):
+    """The texts of conversations, with a phrase behind, before or instead of each by turns."""
+    phrase = F.element_at(F.array(*map(F.lit, phrases)), (F.col("conv_id") % len(phrases) + 1).cast("int"))
+    said = F.when(F.col("turn") % 3 == 0, phrase).when(F.col("turn") % 3 == 1, F.concat("text", F.lit(" "), phrase)).otherwise(F.concat(phrase, F.lit(" "), "text"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", said.alias("asked"), F.expr("date_add(date '2024-01-01', cast((conv_id + turn) % 31 as int))").alias("today"))
+
+
+def _asked_sql(*phrases):
+    phrase = f"({list(phrases)})[conv_id % {len(phrases)} + 1]"
+    return f"SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN {phrase} WHEN 1 THEN text || ' ' || {phrase} ELSE {phrase} || ' ' || text END AS asked, DATE '2024-01-01' + CAST((conv_id + turn) % 31 AS INT) AS today FROM conversations"
+
+
+_MARKS = ("Who is the TOPPER", "top 5 in class", "mean marks", "compare A with B in maths", "pass rate?", "least total", "rank of A", "hello", "marks of A and result of B")
+_KINDS = " ".join(f"WHEN regexp_matches(lower(asked), '{p}') THEN '{k}'" for k, p in marks.QUESTIONS.items())
+
+
+@query(f"SELECT conv_id, turn, CASE {_KINDS} END AS kind FROM ({_asked_sql(*_MARKS)})")
 def f19_marks_question(spark, sf):
-    from ..operators import marks
+    return _asked(spark, sf, *_MARKS).select("conv_id", "turn", marks.question_type(F.col("asked")).alias("kind"))
+
 
-    asked = F.element_at(F.array(*map(F.lit, ["Who is the TOPPER", "top 5 in class", "mean marks", "compare A with B in maths", "pass rate?", "least total", "rank of A", "hello"])), (F.col("s_suppkey") % 8 + 1).cast("int"))
-    return table(spark, sf, "supplier").select("s_suppkey", marks.question_type(asked).alias("kind"))
+_TIMES = ("what class is today at 10:30", "lab tomorrow", "who teaches maths today?", "no question", "which room on friday at 9.15", "class yesterday and next")
+_DAYS = "monday|tuesday|wednesday|thursday|friday|saturday|sunday"
+_TIMETABLE = f"""i AS (SELECT *, lower(asked) AS t, {" OR ".join(f"regexp_matches(lower(asked), '{p}')" for p in dates.TIMETABLE_PATTERNS)} AS asks FROM ({_asked_sql(*_TIMES)})),
+    d AS (SELECT *, regexp_extract(t, '{_DAYS}') AS named FROM i),
+    f AS (SELECT *, CASE WHEN asks THEN CASE WHEN contains(t, 'today') THEN dayname(today) WHEN contains(t, 'tomorrow') THEN dayname(today + 1) WHEN contains(t, 'yesterday') THEN dayname(today - 1)
+      WHEN named <> '' THEN upper(named[1]) || named[2:] END END AS day, CASE WHEN asks THEN nullif(regexp_extract(t, '\\d{{1,2}}[:.]\\d{{2}}'), '') END AS time,
+      CASE WHEN asks THEN nullif(upper(trim(regexp_extract(t, 'who teaches\\s+(.+?)(\\?|$)', 1))), '') END AS subject FROM d)"""
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE dayname(CAST(o_orderdate AS DATE) + CASE o_orderkey % 4 WHEN 1 THEN 1 ELSE 0 END) END AS day,
-    CASE o_orderkey % 4 WHEN 0 THEN '10:30' END AS time, CASE o_orderkey % 4 WHEN 2 THEN 'MATHS TODAY' END AS subject FROM orders""")
+@query(f"WITH {_TIMETABLE} SELECT conv_id, turn, day, time, subject FROM f")
 def f20_timetable_question(spark, sf):
-    asked = F.element_at(F.array(*map(F.lit, ["what class is today at 10:30", "lab tomorrow", "who teaches maths today?", "no question"])), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    info = dates.timetable_question(asked, F.col("o_orderdate").cast("date"))
-    return table(spark, sf, "orders").select("o_orderkey", info.alias("i")).select("o_orderkey", "i.day", "i.time", "i.subject")
+    info = dates.timetable_question(F.col("asked"), F.col("today"))
+    return _asked(spark, sf, *_TIMES).select("conv_id", "turn", info.alias("i")).select("conv_id", "turn", "i.day", "i.time", "i.subject")
+
+
+@query(f"""WITH {_TIMETABLE} SELECT conv_id, turn, asked || coalesce(' ' || chr(10) || '[System context: The user is asking about ' || day || '. Today is ' || dayname(today) || '.]', '')
+    || coalesce(' [Time reference: ' || time || ']', '') || coalesce(' [Subject: ' || subject || ']', '') AS context FROM f WHERE asks""")
+def f20_timetable_context(spark, sf):
+    rows = _asked(spark, sf, *_TIMES).withColumn("info", dates.timetable_question(F.col("asked"), F.col("today"))).filter("info is not null")
+    return rows.select("conv_id", "turn", dates.timetable_context(F.col("asked"), F.col("info")).alias("context"))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN dayname(CAST(o_orderdate AS DATE)) WHEN 1 THEN dayname(CAST(o_orderdate AS DATE) + 1) WHEN 2 THEN dayname(CAST(o_orderdate AS DATE) - 1) WHEN 3 THEN dayname(CAST(o_orderdate AS DATE) + 2) WHEN 4 THEN 'Friday' END AS day FROM orders""")
+_REFERENCES = ("Today", "tomorrow ", "yesterday", "day after tomorrow", "next friday", "some day", " SUNDAY")
+
+
+@query(f"""SELECT conv_id, turn, CASE t {" ".join(f"WHEN '{w}' THEN dayname(today + {n})" for w, n in dates.DAY_OFFSETS.items())} ELSE CASE WHEN named <> '' THEN upper(named[1]) || named[2:] END END AS day
+    FROM (SELECT *, regexp_extract(t, '^(?:next )?({_DAYS})$', 1) AS named FROM (SELECT *, regexp_replace(lower(asked), '^\\s+|\\s+$', '', 'g') AS t FROM ({_asked_sql(*_REFERENCES)})))""")
 def f21_day_reference(spark, sf):
-    asked = F.element_at(F.array(*map(F.lit, ["Today", "tomorrow ", "yesterday", "day after tomorrow", "next friday", "some day"])), (F.col("o_orderkey") % 6 + 1).cast("int"))
-    return table(spark, sf, "orders").select("o_orderkey", dates.day_reference(asked, F.col("o_orderdate").cast("date")).alias("day"))
+    return _asked(spark, sf, *_REFERENCES).select("conv_id", "turn", dates.day_reference(F.col("asked"), F.col("today")).alias("day"))
 
 
 _NAMED = "SELECT doc_id, 'file' || CAST(doc_id AS STRING) || (['.txt', '.MD', '.exe', ''])[doc_id % 4 + 1] AS filename, text FROM documents"
@@ -185,6 +225,19 @@ def s4_table_source(spark, sf):
     return files.table_sections(rows, "p_brand", ["p_partkey"], ["p_name", "p_size"]).select("p_brand", "section_index", "text", "row_range")
 
 
+@query("""WITH f AS (SELECT CAST(p_partkey // 50 AS VARCHAR) AS f, p_partkey, p_partkey // 50 % 2 = 0 AS even, p_name, p_size FROM part),
+    r AS (SELECT f, even, row_number() OVER (PARTITION BY f ORDER BY p_partkey) AS rn, CASE WHEN even THEN 'p_name: ' || p_name || chr(10) || 'p_size: ' || CAST(p_size AS STRING) ELSE 'Size, mm: ' || CAST(p_size AS STRING) END AS t FROM f WHERE even OR p_size % 7 > 0)
+    SELECT f, CAST((rn - 1) // 20 AS INT) AS section_index, string_agg(t, chr(10) || chr(10) ORDER BY rn) AS text, CASE WHEN any_value(even) THEN 'p_name, p_size' ELSE 'Size, mm, Note' END AS columns, CAST(min(rn) AS STRING) || '-' || CAST(max(rn) AS STRING) AS row_range FROM r GROUP BY f, (rn - 1) // 20""")
+def s4_csv_source(spark, sf):
+    even = F.expr("p_partkey div 50 % 2 = 0")
+    line = F.when(even, F.concat(F.lit('"'), "p_name", F.lit('",'), F.col("p_size").cast("string"))).otherwise(F.concat(F.when(F.col("p_size") % 7 > 0, F.col("p_size").cast("string")).otherwise("NA"), F.lit(",")))
+    rows = table(spark, sf, "part").select(F.expr("cast(p_partkey div 50 as string)").alias("file_path"), even.alias("even"), F.struct("p_partkey", line.alias("line")).alias("x"))
+    head = F.when(F.col("even"), F.lit("p_name,p_size\n")).otherwise(F.lit('"Size, mm",Note\n'))
+    whole = rows.groupBy("file_path", "even").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x.line), "\n").alias("body"))  # fifty rows a file
+    found = files.csv_sections(whole.select("file_path", F.encode(F.concat(head, "body", F.lit("\n1,2,3,4\n")), "UTF-8").alias("content")))
+    return found.select(F.col("file_path").alias("f"), "section_index", "text", "columns", "row_range")
+
+
 @query("""SELECT event_id, 0 AS section_index, 'event.type: ' || event_type || chr(10) || 'list[0]: 1' || chr(10) || 'list[1].user: ' || CAST(user_id AS STRING) || chr(10) || 'none: None' AS text FROM events""")
 def s5_json_source(spark, sf):
     body = F.concat(F.lit('{"event": {"type": "'), "event_type", F.lit('", "empty": {}}, "list": [1, {"user": '), F.col("user_id").cast("string"), F.lit('}], "none": null}'))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -83,14 +86,14 @@ def row_text(columns: list[str]) -> Column:
     return F.nullif(F.concat_ws("\n", *cells), F.lit(""))
 
 
-def row_numbers(rows: DataFrame, group: str, order: list[str], number: str, buckets: int = 64) -> DataFrame:
+def row_numbers(rows: DataFrame, group: str, order: list[str], number: str) -> DataFrame:
     """Numbers rows from 1 within each group by the order columns, without gathering a large group in one task.
 
     Rows are range-partitioned by group and order; a partition numbers its own rows, and the counts of the partitions
     before it, one row per partition and group, are added.
     """
     # written once, so that both uses below see the same partitions
-    dealt = materialize(rows.repartitionByRange(buckets, group, *order).withColumn("_part", F.spark_partition_id()), "dealt")
+    dealt = materialize(rows.repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id()), "dealt")
     own = W.partitionBy("_part", group).orderBy(*order)
     dealt = dealt.withColumn("_own", F.row_number().over(own))
     counts = dealt.groupBy("_part", group).agg(F.count(F.lit(1)).alias("_n"))
@@ -109,12 +112,35 @@ def table_sections(rows: DataFrame, group: str, order: list[str], columns: list[
     return blocks.select(group, "section_index", body.alias("text"), F.lit(source_type).alias("source_type"), F.lit(", ".join(columns)).alias("columns"), span.alias("row_range")).filter("text <> ''")
 
 
-def csv_sections(spark: SparkSession, path: str) -> DataFrame:
-    """CSV files with one header -> sections; malformed rows are left out, values keep their spelling."""
-    raw = spark.read.csv(path, header=True, mode="DROPMALFORMED", inferSchema=False)
-    columns = raw.columns
-    rows = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
-    return table_sections(rows, "_file", ["_start", "_id"], columns).withColumnRenamed("_file", "file_path")
+def csv_blocks(content: bytes, size: int = ROWS_PER_SECTION) -> Iterator[tuple[str, str, str]]:
+    """(text, columns, range of rows) of each `size` non-empty rows of a CSV file, which has a header of its own. Values
+    keep their spelling; rows with more cells than the header are left out, missing cells are empty."""
+    try:
+        text = content.decode()
+    except UnicodeDecodeError:
+        text = content.decode("latin-1")
+    rows = csv.reader(io.StringIO(text.removeprefix("\ufeff"), newline=""))
+    header, missing = next(rows, []), set(NA_WORDS)
+    cells = ([f"{c}: {v.strip()}" for c, v in zip(header, row) if v.strip() not in missing] for row in rows if len(row) <= len(header))
+    filled, at = ("\n".join(row) for row in cells if row), 1
+    while block := list(islice(filled, size)):
+        yield "\n\n".join(block), ", ".join(header), f"{at}-{at + len(block) - 1}"
+        at += len(block)
+
+
+def csv_sections(files: DataFrame) -> DataFrame:
+    """CSV files with their content -> sections; a narrow step."""
+
+    def run(batches):
+        for b in batches:
+            for path, content in zip(b.column(0), b.column(1)):
+                found = list(csv_blocks(content.as_py() or b""))
+                texts, columns, spans = zip(*found) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array([path.as_py()] * len(found), b.schema.field(0).type), pa.array(range(len(found)), pa.int32()), *[pa.array(x, pa.string()) for x in (texts, columns, spans)]], names=["file_path", "section_index", "text", "columns", "row_range"])
+
+    kind = files.schema["file_path"].dataType.simpleString()
+    rows = files.select("file_path", "content").mapInArrow(run, f"file_path {kind}, section_index int, text string, columns string, row_range string")
+    return rows.select("file_path", "section_index", clean_text(F.col("text")).alias("text"), F.lit("csv").alias("source_type"), "columns", "row_range").filter("text <> ''")
 
 
 def flattened(value, prefix: str = "") -> Iterator[str]:
@@ -154,10 +180,10 @@ def json_sections(files: DataFrame) -> DataFrame:
     return rows.select("file_path", "section_index", "text", F.lit("json").alias("source_type"))
 
 
-def preview_manifests(spark: SparkSession, folder: str) -> DataFrame:
-    """preview.json files of the folders below."""
+def preview_manifests(spark: SparkSession, folder: str, name: str = "preview.json") -> DataFrame:
+    """The manifests of the folders below: JSON over several lines, one object or an array of them in a file."""
     schema = "document_id string, filename string, file_type string, file_hash string, status string, page_count int, preview_type string, has_pdf boolean, has_images boolean, created_at timestamp"
-    return spark.read.schema(schema).option("multiLine", True).json(f"{folder}/*/preview.json")
+    return spark.read.schema(schema).option("multiLine", True).json(f"{folder}/*/{name}")
 
 
 def parsed(files: DataFrame, parsers: dict[str, Callable[[bytes], list[tuple[str, dict]]]]) -> DataFrame:

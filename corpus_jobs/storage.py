@@ -22,8 +22,23 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: What this process has written to the shared folder.
+_written: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Deletes the tables that this process has written to the shared folder. Results that still read them, which is what
+    most operators return, must be written or collected before."""
+    conf, path = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while _written:
+        at = path(_written.pop())
+        at.getFileSystem(conf).delete(at, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

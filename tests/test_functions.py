@@ -98,7 +98,11 @@ def test_json(spark):
 
 def test_csv(spark, tmp_path):
     (tmp_path / "t.csv").write_text("a,b\n" + "".join(f"{i},{'NA' if i % 2 else i}\n" for i in range(45)))
-    got = files.csv_sections(spark, str(tmp_path / "t.csv")).orderBy("section_index").collect()
+    (tmp_path / "u.csv").write_bytes('x,"y, z"\né,"two\nlines"\n1,2,3\n,\n5'.encode("latin-1"))
+    (tmp_path / "v.csv").write_text("")
+    every = files.csv_sections(files.read_files(spark, str(tmp_path))).withColumn("file_path", F.substring_index("file_path", "/", -1))
+    assert [tuple(r) for r in every.filter("file_path <> 't.csv'").collect()] == [("u.csv", 0, "x: é\ny, z: two\nlines\n\nx: 5", "csv", "x, y, z", "1-2")]
+    got = every.filter("file_path = 't.csv'").orderBy("section_index").collect()
     assert [r["row_range"] for r in got] == ["1-20", "21-40", "41-45"]
     assert got[0]["text"].startswith("a: 0\nb: 0\n\na: 1\n\na: 2") and got[0]["columns"] == "a, b"
 

@@ -16,7 +16,7 @@ def pdf(content):
 @pytest.fixture(scope="module")
 def listing(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("data")
-    for name, body in {"plan.pdf": PAGES, "notes.md": b"# Wells\nWells run dry in spring.\n# Rivers\nRivers carry water.", "t.txt": b"monday tuesday period", "empty.txt": b" ", "x.docx": b"?"}.items():
+    for name, body in {"plan.pdf": PAGES, "notes.md": b"# Wells\nWells run dry in spring.\n# Rivers\nRivers carry water.", "t.txt": b"monday tuesday period", "empty.txt": b" ", "x.docx": b"?", "rows.csv": b"well,depth\nA,12\nB,NA"}.items():
         (folder / name).write_bytes(body)
     return files.read_files(spark, str(folder))
 
@@ -28,8 +28,9 @@ def tables(spark, listing):
 
 def test_documents(tables):
     got = {r["filename"]: r for r in tables["documents"].collect()}
-    assert {n: r["status"] for n, r in got.items()} == {"plan.pdf": "indexed", "notes.md": "indexed", "t.txt": "indexed", "empty.txt": "failed", "x.docx": "failed"}
+    assert {n: r["status"] for n, r in got.items()} == {"plan.pdf": "indexed", "notes.md": "indexed", "t.txt": "indexed", "empty.txt": "failed", "x.docx": "failed", "rows.csv": "indexed"}
     assert got["empty.txt"]["error_message"] == jobs.NO_TEXT and got["x.docx"]["error_message"] == "No parser for type: docx"
+    assert tables["chunks"].filter("file_name = 'rows.csv'").first()["text"] == "well: A\ndepth: 12\n\nwell: B"
     assert got["t.txt"]["dataset_type"] == "timetable" and got["notes.md"]["chunks"] == 2
 
 
@@ -38,6 +39,18 @@ def test_records(tables):
     assert got["SIH26037"]["track"] == "Software" and got["SIH26037"]["sponsoring_ministry"] == "Office of Rivers" and got["SIH26038"]["page_number"] == 2
 
 
+def test_written_tables_can_be_removed(spark, monkeypatch):
+    import os
+
+    from corpus_jobs import storage
+
+    monkeypatch.setattr(storage, "_written", [])
+    paths = [storage.new_path(spark, "gone") for _ in range(2)]
+    spark.range(3).write.parquet(paths[0])
+    storage.remove_written(spark)
+    assert not os.path.exists(paths[0]) and storage._written == []
+
+
 def test_unchanged_files_change_nothing(spark, listing, tables):
     known = tables["documents"].select(F.col("document_id").alias("id"), "file_path", "file_hash", "status", "created_at")
     again = jobs.ingest(listing, known, {"pdf": pdf})
