@@ -168,7 +168,8 @@ def links_of(nodes: DataFrame, max_distance: int = MAX_DISTANCE, crowd: int = CR
     if not 0 <= max_distance <= 4:
         raise ValueError("two halves with radius-one balls find distances up to 4")
     # every node makes 66 rows: they are made by many tasks, however few would hold the nodes
-    table = _table(nodes.repartition(shuffle_partitions(nodes.sparkSession), "fp"))
+    # (dealt by a hash of their own, since Spark leaves out a second dealing by the same column)
+    table = _table(nodes.repartition(shuffle_partitions(nodes.sparkSession), F.xxhash64("fp")))
     full = table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = materialize(table.join(full, "key"), "met")
     points = materialize(_points(met.filter(F.col("n") > crowd).select("key", "fp")), "points")
