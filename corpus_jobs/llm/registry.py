@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ctw, decontamination, langid, line_dedup, packing, pii, quality, simhash, token_counts, token_files
+from . import ctw, decontamination, langid, line_dedup, mixing, packing, phrases, pii, quality, ranked_search, simhash, token_counts, token_files
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,9 @@ QUERIES = {
         token_files.op8_orc_token_ids,
         token_counts.op9_token_counts,
         line_dedup.op10_line_dedup,
+        ranked_search.op11_ranked_search,
+        mixing.op12_source_mixing,
+        phrases.op13_phrase_collocations,
     )
 }
 
@@ -51,4 +54,4 @@ _QUALITY = rf"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, re
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({" OR ".join(f"(({sql}) AND strict_{rule})" for rule, sql in _RULES.items())}) AS kept FROM b"""
 
 #: The other operators' results need hashes, models, tokenizers or edit distances that SQL does not have.
-ORACLE_SQL: dict[str, str] = {"op2_host_quality_rules": _QUALITY, "op10_line_dedup": _LINE_DEDUP}
+ORACLE_SQL: dict[str, str] = {"op2_host_quality_rules": _QUALITY, "op10_line_dedup": _LINE_DEDUP, "op11_ranked_search": ranked_search.SQL, "op12_source_mixing": mixing.SQL, "op13_phrase_collocations": phrases.SQL}
