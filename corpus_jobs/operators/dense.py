@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
 import numpy as np
@@ -10,11 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..storage import materialize
 
 #: Questions that one pass over the vectors answers and that the driver holds at a time; more make more passes.
 BLOCK = 4096
+#: Vectors and questions that are multiplied at a time.
+ROWS, QUESTIONS = 4096, 256
 
 
 def embed(texts: DataFrame, encoder: Callable[[list[str]], np.ndarray], text: str = "text", batch: int = 64) -> DataFrame:
@@ -32,42 +36,48 @@ def embed(texts: DataFrame, encoder: Callable[[list[str]], np.ndarray], text: st
     return texts.withColumn("embedding", of(F.col(text)))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def matrix(column: pa.Array) -> np.ndarray:
+    """Vectors as rows of unit length; a null or zero vector is a row of zeros."""
     n = len(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    m = flat.reshape(n, -1).astype(np.float64)
+    if not n:
+        return np.zeros((0, 0))
+    if column.null_count:
+        width = next((len(v) for v in column if v.is_valid), 0)
+        column = column.fill_null(pa.scalar([0.0] * width, column.type))
+    m = column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float64)
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(norm == 0, 1, norm)
 
 
+def _merged(best: list[tuple[float, object]], scores: np.ndarray, keys: pa.Array, k: int) -> list[tuple[float, object]]:
+    """The k best of a question with those of one more batch: keys are looked at only where the score is the k-th or better."""
+    least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else -np.inf
+    if len(best) == k:
+        least = max(least, -best[-1][0])
+    at = np.flatnonzero(scores >= least)
+    if not len(at):
+        return best
+    return heapq.nsmallest(k, [*best, *zip((-scores[at]).tolist(), keys.take(pa.array(at)).to_pylist())])
+
+
 def _pass(ids: list, questions: np.ndarray, vectors: DataFrame, key: str, key_type: T.DataType, id_type: T.DataType, k: int) -> DataFrame:
     """The k nearest vectors of each partition for a block of questions."""
 
     def run(batches):
-        best_s, best_i = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), dtype=object)
+        best: list[list[tuple[float, object]]] = [[] for _ in ids]
         for b in batches:
-            if not b.num_rows:
-                continue
-            names = np.array(b.column(0).to_pylist(), dtype=object)
-            s = np.hstack([best_s, np.round(questions @ _matrix(b.column(1)).T, 9)])
-            i = np.hstack([best_i, np.broadcast_to(names, (len(ids), len(names)))])
-            if s.shape[1] > k:
-                # best k by score, then by key: sort keys first, then scores in a stable sort
-                by_key = np.argsort(i[0], kind="stable") if best_i.shape[1] == 0 else np.argsort(i, axis=1, kind="stable")
-                if by_key.ndim == 1:
-                    s, i = s[:, by_key], i[:, by_key]
-                else:
-                    s, i = np.take_along_axis(s, by_key, 1), np.take_along_axis(i, by_key, 1)
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                s, i = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
-            best_s, best_i = s, i
-        if best_s.shape[1]:
-            rows = best_s.shape[1]
-            schema = pa.schema([("query_id", pa.int64() if isinstance(id_type, T.LongType) else pa.string()), (key, pa.int64() if isinstance(key_type, T.LongType) else pa.string()), ("similarity", pa.float64())])
-            yield pa.RecordBatch.from_arrays([pa.array([q for q in ids for _ in range(rows)], schema.field(0).type), pa.array(best_i.ravel().tolist(), schema.field(1).type), pa.array(best_s.ravel())], schema=schema)
+            for i in range(0, b.num_rows, ROWS):
+                part = b.slice(i, ROWS)
+                m = matrix(part.column(1)).T
+                for q in range(0, len(ids), QUESTIONS):
+                    for j, scores in enumerate(np.round(questions[q : q + QUESTIONS] @ m, 9), q):
+                        best[j] = _merged(best[j], scores, part.column(0), k)
+        schema = pa.schema([("query_id", to_arrow_type(id_type)), (key, to_arrow_type(key_type)), ("similarity", pa.float64())])
+        rows = [(q, name, -s) for q, mine in zip(ids, best) for s, name in mine]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else ([], [], []), schema.types)], schema=schema)
 
     out = T.StructType([T.StructField("query_id", id_type), T.StructField(key, key_type), T.StructField("similarity", T.DoubleType())])
-    return vectors.select(key, "embedding").mapInArrow(run, out)
+    return vectors.filter("embedding is not null").select(key, "embedding").mapInArrow(run, out)
 
 
 def dense_search(questions: DataFrame, vectors: DataFrame, key: str = "chunk_id", k: int = 10, block: int = BLOCK) -> DataFrame:
@@ -84,7 +94,7 @@ def dense_search(questions: DataFrame, vectors: DataFrame, key: str = "chunk_id"
         rows = questions.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b).select("query_id", "embedding").collect()
         if not rows:
             continue
-        m = _matrix(pa.array([r["embedding"] for r in rows], type=pa.list_(pa.float32())))
+        m = matrix(pa.array([r["embedding"] for r in rows], type=pa.list_(pa.float32())))
         one = _pass([r["query_id"] for r in rows], m, vectors, key, key_type, id_type, k)
         if n_blocks > 1:  # written before the next block is read, so that the driver holds one
             one = materialize(one, "near")

@@ -26,9 +26,13 @@ def fold(text: str | None) -> list[str]:
     return re.findall(r"[^\W_]+", text.lower())
 
 
+def token_lists(text: pa.Array) -> list[list[str]]:
+    return [fold(t) for t in text.to_pylist()]
+
+
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def tokens(text: pa.Array) -> pa.Array:
-    return pa.array([fold(t) for t in text.to_pylist()], type=pa.list_(pa.string()))
+    return pa.array(token_lists(text), type=pa.list_(pa.string()))
 
 
 # --- stemming: Porter's suffix rules, as published in 1980 -----------------------------------------------------------
@@ -117,11 +121,15 @@ class _Stems(dict):
 _stems = _Stems()
 
 
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def stems(words: pa.Array) -> pa.Array:
+def stem_lists(rows: list[list[str] | None]) -> list[list[str]]:
     if len(_stems) > MAX_STEMS:
         _stems.clear()
-    return pa.array([[_stems[w] for w in row or ()] for row in words.to_pylist()], type=pa.list_(pa.string()))
+    return [[_stems[w] for w in row or ()] for row in rows]
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def stems(words: pa.Array) -> pa.Array:
+    return pa.array(stem_lists(words.to_pylist()), type=pa.list_(pa.string()))
 
 
 # --- index -----------------------------------------------------------------------------------------------------------
@@ -166,7 +174,7 @@ def _bm25(hits: DataFrame, lens: DataFrame, group: list[str]) -> DataFrame:
     return scored.groupBy("query_id", "chunk_id").agg((-F.sum(part)).alias("rank"))
 
 
-def _top(ranked: DataFrame, k: int) -> DataFrame:
+def best_rows(ranked: DataFrame, k: int) -> DataFrame:
     w = W.partitionBy("query_id").orderBy(F.round("rank", 9), "chunk_id")  # sums differ in their last digits with their order
     score = F.when(F.col("rank") == 0, 0.5).otherwise(1 / (1 + F.abs("rank")))
     return ranked.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k).withColumn("score", score)
@@ -187,11 +195,11 @@ def phrase_search(questions: DataFrame, indexed: DataFrame, k: int = 10, stemmed
     places = posts.join(rare.select("query_id", "q", "r.term", "r.off"), "term").filter("pos >= off").select("query_id", "q", "chunk_id", "col", (F.col("pos") - F.col("off")).alias("start"))
     found = places.join(indexed, ["chunk_id", "col"]).filter(F.slice("toks", F.col("start") + 1, F.size("q")) == F.col("q"))
     hits = found.groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
-    return _top(_bm25(hits, lengths(indexed), []), k)
+    return best_rows(_bm25(hits, lengths(indexed), []), k)
 
 
 def any_term_search(questions: DataFrame, indexed: DataFrame, k: int = 10, stemmed: bool = True) -> DataFrame:
     """Like phrase_search, for chunks that hold any of the question's terms; scores add up over distinct terms."""
     asked = questions.select("query_id", F.explode(F.array_distinct(analysed(F.col("question"), stemmed))).alias("term"))
     counts = materialize(asked_postings(indexed, asked.select("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf")), "counts")
-    return _top(_bm25(counts.join(asked, "term"), lengths(indexed), ["term"]), k)
+    return best_rows(_bm25(counts.join(asked, "term"), lengths(indexed), ["term"]), k)

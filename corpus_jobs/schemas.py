@@ -23,3 +23,7 @@ RECORDS = _struct("id:s document_id:s record_type:s identifier:s ps_code:s track
 QUERY_LOG = _struct("question:s answer_type:s confidence:d model:s response_time:i created_at:t")
 MESSAGES = _struct("id:s conversation_id:s role:s content:s model:s answer_type:s confidence:d sources:s created_at:t")
 FILE_EVENTS = _struct("path:s kind:s ts:t")
+#: The tables that files are kept in (streaming.arrivals).
+STORED_DOCUMENTS = _struct("document_id:s filename:s file_type:s file_path:s file_hash:s size_bytes:l chunks:l status:s dataset_type:s error_message:s created_at:t")
+STORED_CHUNKS = T.StructType([*_struct("chunk_id:s document_id:s text:s").fields, *[f for f in META.fields if f.name != "file_path"]])
+STORED_RECORDS = T.StructType([f for f in RECORDS.fields if f.name != "created_at"])

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,21 +27,41 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: What this process has written to the shared folder.
 _written: list[str] = []
+_here = threading.local()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    getattr(_here, "paths", _written).append(path)
     return path
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    conf, path = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while paths:
+        at = path(paths.pop())
+        at.getFileSystem(conf).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what this thread has written to the shared folder within it; results must be stored elsewhere by then."""
+    before, _here.paths = getattr(_here, "paths", None), []
+    try:
+        yield
+    finally:
+        mine = _here.paths
+        if before is None:
+            del _here.paths
+        else:
+            _here.paths = before
+        _delete(spark, mine)
+
+
 def remove_written(spark: SparkSession) -> None:
     """Deletes the tables that this process has written to the shared folder. Results that still read them, which is what
     most operators return, must be written or collected before."""
-    conf, path = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    while _written:
-        at = path(_written.pop())
-        at.getFileSystem(conf).delete(at, True)
+    _delete(spark, _written)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
