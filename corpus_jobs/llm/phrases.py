@@ -1,12 +1,15 @@
 """Phrase collocation mining: the word sequences of each language that stand together more often than their parts would.
 
-Words are cut out of the lower-cased text in runs between marks. A task turns each run of texts into one array of word
-hashes; the prefix sums of a polynomial over it give the fingerprint of every n-gram as a difference of two sums. A pass
-for each length sums fingerprints within tasks and then by a shuffle; an n-gram whose shorter parts are rare is rare
-itself and is left out before that, by a bit map of frequent fingerprints. A last pass looks at the occurrences of
-frequent fingerprints only: each is compared, word by word, with the place in the text where its fingerprint stood
-first, so phrases that share a fingerprint are told apart, and the text of a phrase is made once for a run of texts.
-The counts are those of phrases, not of fingerprints; fingerprints and bit maps only say what needs no look.
+Words are cut out of the lower-cased text in runs between marks. A first pass counts words. Then, for each length, a task
+turns each run of texts into one array of word hashes; the prefix sums of a polynomial over it give the fingerprint of
+every n-gram as a difference of two sums, and fingerprints are summed within tasks and then by a shuffle. An n-gram with
+a rare part is rare itself and is left out before that, by bit maps of the frequent fingerprints of all shorter lengths.
+
+What goes with a fingerprint points to its text: a word's fingerprint has the word, a longer one the hash of its last
+word, which also gives the fingerprint of what stands before it. So the texts of frequent phrases, and of no others, are
+put together from those one word shorter. If two texts share a fingerprint that is frequent, this shows: their last
+words differ, or what stands before them shares a fingerprint too, down to two words, whose texts are compared. Then all
+is done again with another polynomial, so the counts that come out are those of texts.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +40,8 @@ NO_LANG = "und"
 
 #: Bytes of text that a task turns into arrays at a time.
 RUN_BYTES = 3 << 20
-#: Distinct fingerprints, and phrases, that a task sums before it passes them on.
-HELD, HELD_PHRASES = 3_000_000, 300_000
+#: Distinct fingerprints, and words, that a task sums before it passes them on.
+HELD, HELD_WORDS = 3_000_000, 500_000
 #: Words that a worker remembers.
 MAX_WORDS = 400_000
 #: Bits of a map: 64 for each frequent fingerprint, within these bounds. A map is 32 MB at most, wherever it is sent; with
@@ -46,35 +50,44 @@ LEAST_BITS, MOST_BITS, BLOCK_BITS = 16, 28, 20
 
 _MARK = b"\xff"  # in no UTF-8 text
 _FOLD = bytes(255 if c in b".,;:!?\n\v\f\r" else 32 if c in b"\t " else c + 32 if 65 <= c <= 90 else c for c in range(256))
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_WRAP = (1 << 64) - 1
+
+
+def polynomials() -> Iterator[tuple[int, int]]:
+    """(seed of word hashes, base) to try, one after the other; a base is odd, so that it has an inverse modulo 2**64."""
+    for seed in count():
+        yield seed, xxhash.xxh64_intdigest(b"base", seed) | 1
+
+
+def word_hash(word: bytes, seed: int) -> int:
+    return xxhash.xxh3_64_intdigest(word, seed)
 
 
 class _Words(dict):
-    """Numbers of words and hashes by number; one for each worker."""
+    """Numbers of words and hashes by number; one for each worker and seed."""
 
-    def __init__(self):
+    def __init__(self, seed: int):
         super().__init__()
-        self.hashes = array("Q")
+        self.seed, self.hashes = seed, array("Q")
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self.hashes)
-        self.hashes.append(xxhash.xxh3_64_intdigest(word))
+        self.hashes.append(word_hash(word, self.seed))
         return n
 
 
-_words = _Words()
-_powers = np.ones((2, 1), np.uint64)
+_words = _Words(0)
+_powers: dict[int, np.ndarray] = {}
 
 
-def _powers_to(n: int) -> np.ndarray:
+def _powers_to(n: int, base: int) -> np.ndarray:
     """Powers of the base and of its inverse, modulo 2**64."""
-    global _powers
-    if _powers.shape[1] < n:
+    if base not in _powers or _powers[base].shape[1] < n:
         both = np.full((2, n), 1, np.uint64)
-        both[0, 1:], both[1, 1:] = _BASE, _INVERSE
-        _powers = np.cumprod(both, axis=1, dtype=np.uint64)
-    return _powers[:, :n]
+        both[0, 1:], both[1, 1:] = base, pow(base, -1, 1 << 64)
+        _powers.clear()
+        _powers[base] = np.cumprod(both, axis=1, dtype=np.uint64)
+    return _powers[base][:, :n]
 
 
 def cut(data: bytes, longest: int, size: int = RUN_BYTES) -> Iterator[tuple[bytes, int]]:
@@ -120,44 +133,40 @@ def runs(texts, size: int = RUN_BYTES, longest: int = LONGEST) -> Iterator[tuple
 
 
 class _Run:
-    """One run of tokens as arrays: word numbers, marks before each place, prefix sums of the polynomial."""
+    """One run of tokens as arrays: word hashes, marks before each place, prefix sums of the polynomial."""
 
-    def __init__(self, tokens: list[bytes], own: int, lang: int):
-        if len(_words) > MAX_WORDS:
-            _words.clear()
-            _words.hashes = array("Q")
+    def __init__(self, tokens: list[bytes], own: int, lang: int, seed: int, base: int):
+        global _words
+        if len(_words) > MAX_WORDS or _words.seed != seed:
+            _words = _Words(seed)
         mark = _words[_MARK]
-        self.tokens, self.own, self.lang = tokens, own, np.uint64(lang)
-        self.words = np.fromiter(map(_words.__getitem__, tokens), np.int64, len(tokens))
-        hashes = np.frombuffer(_words.hashes, np.uint64)[self.words]
-        is_mark = self.words == mark
-        self.marks = np.concatenate([[0], np.cumsum(is_mark)])
-        self.powers = _powers_to(len(tokens) + 1)
+        self.own, self.size, self.lang = own, len(tokens), np.uint64(lang)
+        words = np.fromiter(map(_words.__getitem__, tokens), np.int64, len(tokens))
+        self.hashes = np.frombuffer(_words.hashes, np.uint64)[words]
+        self.marks = np.concatenate([[0], np.cumsum(words == mark)])
+        self.powers = _powers_to(len(tokens) + 1, base)
         self.sums = np.zeros(len(tokens) + 1, np.uint64)
-        np.cumsum(hashes * self.powers[0, : len(tokens)], out=self.sums[1:])
+        np.cumsum(self.hashes * self.powers[0, : len(tokens)], out=self.sums[1:])
 
     def fingerprints(self, n: int, at: np.ndarray) -> np.ndarray:
-        """Of the n-grams that begin at these places: the polynomial from there on, mixed with the language."""
-        x = (self.sums[at + n] - self.sums[at]) * self.powers[1, at]
-        x ^= self.lang
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        return x ^ (x >> np.uint64(32))
-
-    def places(self, n: int) -> np.ndarray:
-        """Where n-grams of the run's own begin that have no mark within."""
-        last = min(self.own, len(self.tokens) - n + 1)
-        if last <= 0:
-            return np.zeros(0, np.int64)
-        return np.flatnonzero(self.marks[n : n + last] == self.marks[:last])
+        """Of the n-grams that begin at these places: the polynomial from there on, with the language added."""
+        return (self.sums[at + n] - self.sums[at]) * self.powers[1, at] + self.lang
 
-    def likely(self, n: int, bits: np.ndarray | None) -> np.ndarray:
-        """Of these, the ones whose two parts of n - 1 words are on the map of frequent ones."""
-        at = self.places(n)
-        if n > 1 and len(at):
-            at = at[on_map(bits, self.fingerprints(n - 1, at))]
-            at = at[on_map(bits, self.fingerprints(n - 1, at + 1))]
-        return at
+    def likely(self, n: int, maps: list[np.ndarray]) -> np.ndarray:
+        """Where n-grams of the run's own begin that have no mark within and whose parts are all on the maps of frequent
+        ones of their lengths."""
+        if self.size < n:
+            return np.zeros(0, np.int64)
+        fits = self.marks[n:] == self.marks[: self.size + 1 - n]
+        fits[self.own :] = False
+        if n > 1:
+            ok = self.marks[1:] == self.marks[:-1]  # m-grams all of whose parts are on the maps
+            for m, bits in enumerate(maps[: n - 1], 1):
+                at = np.flatnonzero(ok)
+                ok[at] = on_map(bits, self.fingerprints(m, at))
+                ok = ok[:-1] & ok[1:]
+            fits &= ok
+        return np.flatnonzero(fits)
 
 
 def on_map(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -166,47 +175,84 @@ def on_map(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _by_lang(batches, longest: int = LONGEST) -> Iterator[tuple[str, int, _Run]]:
-    """(language, runs of its texts): texts of one language in a batch are put together."""
+def _by_lang(batches, longest: int = LONGEST) -> Iterator[tuple[str, list[bytes], int]]:
+    """(language, tokens, own ones): runs of texts; those of one language in a batch are put together."""
     for b in batches:
         for i in range(0, b.num_rows, 2000):
             part = b.slice(i, 2000)
             langs = part.column(0).to_pylist()
             for lang in dict.fromkeys(langs):
                 mine = (t.as_py() for x, t in zip(langs, part.column(1)) if x == lang)
-                seed = xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"))
                 for tokens, own in runs(mine, longest=longest):
-                    yield lang, _Run(tokens, own, seed)
+                    yield lang, tokens, own
+
+
+def lang_hash(lang: str, seed: int) -> int:
+    return word_hash(lang.encode("utf-8", "surrogatepass"), seed ^ 0x5DEECE66D)
+
+
+def _counted(batches, seed: int, held: int = HELD_WORDS):
+    """(key, lang, hash, word, count) of words, summed within the task, and one row a language without a word: all of them."""
+    found: dict[str, Counter] = {}
+    schema = pa.schema([("key", pa.int64()), ("lang", pa.string()), ("hash", pa.int64()), ("word", pa.string()), ("count", pa.int64())])
+
+    def signed(x: list[int]) -> pa.Array:
+        return pa.array(np.array(x, np.uint64).view(np.int64))
+
+    def out():
+        for lang, words in found.items():
+            start, names = lang_hash(lang, seed), list(words)
+            hashes = [word_hash(w, seed) for w in names]
+            columns = [signed([(h + start) & _WRAP for h in hashes]), pa.array([lang] * len(names), pa.string()), signed(hashes), pa.array(names, pa.binary()).cast(pa.string()), pa.array(words.values(), pa.int64())]
+            full = pa.RecordBatch.from_arrays(columns, schema=schema)
+            for i in range(0, len(names), 50_000):
+                yield full.slice(i, 50_000)
+            yield pa.RecordBatch.from_arrays([signed([start]), pa.array([lang]), signed([start]), pa.array([None], pa.string()), pa.array([sum(words.values())])], schema=schema)
+        found.clear()
+
+    for lang, tokens, own in _by_lang(batches):
+        c = found.setdefault(lang, Counter())
+        c.update(tokens[:own] if own < len(tokens) else tokens)
+        c.pop(_MARK, None)
+        if sum(map(len, found.values())) > held:
+            yield from out()
+    yield from out()
+    release()
 
 
-def _summed(batches, n: int, bits: Broadcast | None, held: int = HELD):
-    """(key, count) of the fingerprints of likely n-grams, summed within the task."""
-    known, keys, counts, size = bits.value if bits else None, [], [], 0
+def _summed(batches, n: int, maps: Broadcast, seed: int, base: int, held: int = HELD):
+    """(key, last, count) of the fingerprints of likely n-grams and the hashes of their last words, summed within the task.
+    Places with one fingerprint and another last word are rows of their own."""
+    known, parts, size = maps.value, [], 0
+    schema = pa.schema([("key", pa.int64()), ("last", pa.int64()), ("count", pa.int64())])
 
-    def merged():
-        k, c = np.concatenate(keys), np.concatenate(counts)
+    def summed(k, last, c):
         order = np.argsort(k)
-        k, c = k[order], c[order]
-        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-        return k[first], np.add.reduceat(c, first) if len(k) else c
+        k, last, c = k[order], last[order], c[order]
+        if not len(k):
+            return k, last, c
+        first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (last[1:] != last[:-1])]))
+        return k[first], last[first], np.add.reduceat(c, first)
 
-    def batch(k, c):
+    def out(k, last, c):
         for i in range(0, len(k), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(k[i : i + 100_000].view(np.int64)), pa.array(c[i : i + 100_000])], names=["key", "count"])
-
-    for _, run in _by_lang(batches):
-        k, c = np.unique(run.fingerprints(n, run.likely(n, known)), return_counts=True)
-        keys.append(k)
-        counts.append(c.astype(np.int64))
-        size += len(k)
+            j = slice(i, i + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(k[j].view(np.int64)), pa.array(last[j].view(np.int64)), pa.array(c[j])], schema=schema)
+
+    for lang, tokens, own in _by_lang(batches):
+        run = _Run(tokens, own, lang_hash(lang, seed), seed, base)
+        at = run.likely(n, known)
+        one = summed(run.fingerprints(n, at), run.hashes[at + n - 1], np.ones(len(at), np.int64))
+        parts.append(one)
+        size += len(one[0])
         if size > 2 * held:
-            k, c = merged()
-            keys, counts, size = [k], [c], len(k)
+            one = summed(*map(np.concatenate, zip(*parts)))
+            parts, size = [one], len(one[0])
             if size > held:
-                yield from batch(k, c)
-                keys, counts, size = [], [], 0
-    if keys:
-        yield from batch(*merged())
+                yield from out(*one)
+                parts, size = [], 0
+    if parts:
+        yield from out(*summed(*map(np.concatenate, zip(*parts))))
     release()
 
 
@@ -220,12 +266,11 @@ def _packer(bits: int):
     return pack
 
 
-def frequent_map(counts: DataFrame, least: int) -> np.ndarray:
-    """The map of the keys whose counts come to `least`: one row to the driver for each 2**20 bits, 32 MB at most."""
-    often = materialize(counts.groupBy("key").agg(F.sum("count").alias("count")).filter(F.col("count") >= least).select("key"), "frequent")
-    bits = min(MOST_BITS, max(LEAST_BITS, (64 * often.count()).bit_length()))
+def frequent_map(keys: DataFrame) -> np.ndarray:
+    """The map of the keys of a stored table: one row to the driver for each 2**20 bits, 32 MB at most."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (64 * keys.count()).bit_length()))
     place = F.shiftrightunsigned("key", 64 - bits)
-    at = often.select(F.shiftright(place, BLOCK_BITS).cast("int").alias("block"), place.bitwiseAND((1 << BLOCK_BITS) - 1).cast("int").alias("bit")).distinct()
+    at = keys.select(F.shiftright(place, BLOCK_BITS).cast("int").alias("block"), place.bitwiseAND((1 << BLOCK_BITS) - 1).cast("int").alias("bit")).distinct()
     blocks = at.groupBy("block").applyInArrow(_packer(bits), "block int, bits binary")  # no more than 2**20 rows a block
     out = np.zeros(1 << bits >> 3, np.uint8)
     for r in blocks.toLocalIterator():
@@ -234,61 +279,51 @@ def frequent_map(counts: DataFrame, least: int) -> np.ndarray:
     return out
 
 
-def distinct(run: _Run, n: int, at: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(where a phrase begins, how often it is there) for the n-grams at these places, each phrase once. N-grams with one
-    fingerprint are compared word by word with the first of them; if any differs, the words themselves part them."""
-    keys, first, inverse, counts = np.unique(run.fingerprints(n, at), return_index=True, return_inverse=True, return_counts=True)
-    first = at[first]
-    if not all(np.array_equal(run.words[at + j], run.words[first + j][inverse]) for j in range(n)):
-        _, first, counts = np.unique(np.stack([run.words[at + j] for j in range(n)], axis=1), axis=0, return_index=True, return_counts=True)
-        first = at[first]
-    return zip(first.tolist(), counts.tolist())
-
-
-def _texts(batches, longest: int, maps: Broadcast, held: int = HELD_PHRASES):
-    """(lang, words, phrase, count) of the phrases with frequent fingerprints, and (lang, 0, null, all its words)."""
-    found, all_words, known = Counter(), Counter(), maps.value
-
-    def batch(rows):
-        langs, ns, phrases, counts = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(ns, pa.int32()), pa.array(phrases, pa.string()), pa.array(counts, pa.int64())], names=["lang", "words", "phrase", "count"])
-
-    def out():
-        rows = [(lang, n, p.decode("utf-8", "surrogatepass"), c) for (lang, n, p), c in found.items()]
-        for i in range(0, len(rows), 20_000):
-            yield batch(rows[i : i + 20_000])
-        found.clear()
-
-    for lang, run in _by_lang(batches, longest):
-        all_words[lang] += len(run.places(1))
-        for n in range(1, longest + 1):
-            at = run.likely(n, known[n - 2] if n > 1 else None)
-            at = at[on_map(known[n - 1], run.fingerprints(n, at))]
-            if not len(at):
-                break
-            for i, c in distinct(run, n, at):
-                found[lang, n, b" ".join(run.tokens[i : i + n])] += c
-        if len(found) > held:
-            yield from out()
-    yield from out()
-    if all_words:
-        yield batch([(lang, 0, None, c) for lang, c in all_words.items()])
-    release()
+def _before(n: int, base: int):
+    power = np.uint64(pow(base, n - 1, 1 << 64))
+
+    @F.arrow_udf(T.LongType())
+    def before(key: pa.Array, last: pa.Array) -> pa.Array:
+        """The fingerprint of an n-gram without its last word."""
+        k, x = (c.to_numpy(zero_copy_only=False).view(np.uint64) for c in (key, last))
+        return pa.array((k - x * power).view(np.int64))
+
+    return before
+
+
+def _levels(rows: DataFrame, longest: int, least: int, seed: int, base: int) -> tuple[DataFrame, DataFrame] | None:
+    """The frequent phrases and the numbers of words by one polynomial; None if it gave two texts one frequent fingerprint."""
+    sc = rows.sparkSession.sparkContext
+    counted = rows.mapInArrow(partial(_counted, seed=seed), "key long, lang string, hash long, word string, count long")
+    both = F.struct("lang", "word")
+    summed = counted.groupBy("key", F.col("word").isNull().alias("all")).agg(F.sum("count").alias("count"), F.min("hash").alias("hash"), F.min(both).alias("x"), F.max(both).alias("y"))
+    words = materialize(summed.filter(F.col("all") | (F.col("count") >= least)), "words")
+    if not words.filter("x <> y").isEmpty():
+        return None
+    all_words = words.filter("all").select("x.lang", F.col("count").alias("n"))
+    words = words.filter("not all").select("key", "x.lang", "hash", F.col("x.word").alias("phrase"), "count")
+    held, maps = [words.select("key", "lang", F.lit(1).alias("words"), "phrase", "count")], []
+    for n in range(2, longest + 1):
+        maps.append(frequent_map(held[-1].select("key")))
+        counts = rows.mapInArrow(partial(_summed, n=n, maps=sc.broadcast(maps), seed=seed, base=base), "key long, last long, count long")
+        often = counts.groupBy("key").agg(F.sum("count").alias("count"), F.min("last").alias("last"), F.max("last").alias("other")).filter(F.col("count") >= least)
+        often = materialize(often, "frequent")
+        if not often.filter("last <> other").isEmpty():
+            return None
+        shorter = held[-1].select(F.col("key").alias("before"), "lang", F.col("phrase").alias("head"))
+        named = often.withColumn("before", _before(n, base)("key", "last")).join(shorter, "before").join(words.select("lang", F.col("hash").alias("last"), F.col("phrase").alias("word")), ["lang", "last"])
+        held.append(materialize(named.select("key", "lang", F.lit(n).alias("words"), F.concat_ws(" ", "head", "word").alias("phrase"), "count"), "phrases"))
+    found = held[0]
+    for more in held[1:]:
+        found = found.unionByName(more)
+    return found.drop("key"), all_words
 
 
 def frequent(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
     """(lang, words, phrase, count) of all phrases of 1 to `longest` words with `least` occurrences in a language, and
     (lang, n) of all its words."""
-    sc = docs.sparkSession.sparkContext
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(NO_LANG)).alias("lang"), F.col(f"`{text_col}`").alias("text")).filter("text is not null")
-    maps: list[np.ndarray] = []
-    for n in range(1, longest + 1):
-        bits = sc.broadcast(maps[-1]) if maps else None
-        maps.append(frequent_map(rows.mapInArrow(partial(_summed, n=n, bits=bits), "key long, count long"), least))
-    found = rows.mapInArrow(partial(_texts, longest=longest, maps=sc.broadcast(maps)), "lang string, words int, phrase string, count long")
-    summed = found.groupBy("lang", "words", "phrase").agg(F.sum("count").alias("count"))
-    all_ = materialize(summed.filter((F.col("words") == 0) | (F.col("count") >= least)), "phrases")
-    return all_.filter("words > 0"), all_.filter("words = 0").select("lang", F.col("count").alias("n"))
+    return next(found for seed, base in polynomials() if (found := _levels(rows, longest, least, seed, base)) is not None)
 
 
 def _exact(a: str, n: str, l: str, r: str) -> str:

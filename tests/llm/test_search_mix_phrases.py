@@ -185,6 +185,17 @@ def test_phrases_are_brute_force(spark, odd_docs, rows, least, k, contained):
     assert want and as_rows(got, "*") == want
 
 
+SEED, BASE = next(phrases.polynomials())
+
+
+def run_of(tokens, own=None, lang=7):
+    return phrases._Run(tokens, len(tokens) if own is None else own, lang, SEED, BASE)
+
+
+def everything():
+    return [np.full(1 << 13, 255, np.uint8)] * 4
+
+
 def test_phrase_runs_hold_every_ngram_once():
     """Long texts cut into short runs give the n-grams of the whole text."""
     rng = random.Random(1)
@@ -193,39 +204,50 @@ def test_phrase_runs_hold_every_ngram_once():
         whole = Counter(tuple(w[i : i + 3]) for w in pieces(text) for i in range(len(w) - 2))
         got = Counter()
         for tokens, own in phrases.runs([text], size=rng.randrange(5, 60), longest=3):
-            run = phrases._Run(tokens, own, 7)
-            got.update(tuple(x.decode() for x in tokens[i : i + 3]) for i in run.places(3).tolist())
+            got.update(tuple(x.decode() for x in tokens[i : i + 3]) for i in run_of(tokens, own).likely(3, everything()).tolist())
         assert got == whole
 
 
-def test_phrases_of_one_fingerprint_are_told_apart(monkeypatch):
-    tokens = b"a b a b c d a b".split()
-    run = phrases._Run(tokens, len(tokens), 7)
-    at = run.places(2)
-    plain = {(i, c) for i, c in phrases.distinct(run, 2, at)}
-    monkeypatch.setattr(phrases._Run, "fingerprints", lambda self, n, at: np.zeros(len(at), np.uint64))
-    assert {(i, c) for i, c in phrases.distinct(run, 2, at)} == plain
-    assert {(tokens[i], tokens[i + 1]): c for i, c in plain} == {(b"a", b"b"): 3, (b"b", b"a"): 1, (b"b", b"c"): 1, (b"c", b"d"): 1, (b"d", b"a"): 1}
-
-
 def test_fingerprints_follow_the_words_alone():
-    a = phrases._Run(b"x y z w".split(), 4, 7)
-    b = phrases._Run(b"q q q x y z".split(), 6, 7)
-    c = phrases._Run(b"x y z".split(), 3, 8)
+    a, b, c = run_of(b"x y z w".split()), run_of(b"q q q x y z".split()), run_of(b"x y z".split(), lang=8)
     at = np.array([0])
     assert a.fingerprints(3, at) == b.fingerprints(3, np.array([3])) != c.fingerprints(3, at)
     assert a.fingerprints(2, at) != a.fingerprints(2, np.array([1]))
 
 
+def test_an_ngram_needs_all_its_parts():
+    """On the map of the longest parts by chance, with a word that is on none, an n-gram is left out."""
+    run = run_of(b"a b c".split())
+    words, pairs = np.zeros(1 << 13, np.uint8), np.full(1 << 13, 255, np.uint8)
+    for i in (1, 2):
+        k = int(run.fingerprints(1, np.array([i]))[0]) >> 48
+        words[k >> 3] |= 1 << (k & 7)
+    assert run.likely(2, [words, pairs]).tolist() == [1] and run.likely(3, [words, pairs]).tolist() == []
+
+
+@pytest.mark.parametrize("weak", [True, False])
+def test_shared_fingerprints_are_seen_and_mended(spark, monkeypatch, weak):
+    """A base of 1 gives a b and b a one fingerprint; that polynomial is not used then."""
+    docs = spark.createDataFrame([("en", "a b a b a b a b"), ("en", "b a. b a"), ("fr", "a b a b a b a b")] * 3, "lang string, text string")
+    tried, plain = [], phrases.polynomials
+
+    def polynomials():
+        for seed, base in plain():
+            tried.append(seed)
+            yield seed, 1 if seed == 0 and weak else base
+
+    monkeypatch.setattr(phrases, "polynomials", polynomials)
+    assert as_rows(phrases.collocations(docs, least=3), "*") == mined([(r["lang"], r["text"]) for r in docs.collect()], 3, 2000)
+    assert tried == ([0, 1] if weak else [0])
+
+
 def test_frequent_map_misses_none(spark):
     rng = random.Random(8)
     keys = [rng.getrandbits(64) - 2**63 for _ in range(4000)]
-    counts = spark.createDataFrame([(k, 1 + i % 3) for i, k in enumerate(keys)] + [(k, 1) for k in keys[:500]], "key long, count long")
-    often = {k for i, k in enumerate(keys) if 1 + i % 3 + (i < 500) >= 3}
-    bits = phrases.frequent_map(counts, 3)
-    on = phrases.on_map(bits, np.array(keys).view(np.uint64))
-    assert all(x for k, x in zip(keys, on) if k in often)
-    assert sum(on) < len(often) + 200
+    bits = phrases.frequent_map(spark.createDataFrame([(k,) for k in keys], "key long"))
+    assert phrases.on_map(bits, np.array(keys).view(np.uint64)).all()
+    others = np.array([rng.getrandbits(64) for _ in range(4000)], np.uint64)
+    assert phrases.on_map(bits, others).sum() < 200
 
 
 def test_tasks_pass_on_what_they_hold(spark, odd_docs, monkeypatch):
@@ -234,15 +256,21 @@ def test_tasks_pass_on_what_they_hold(spark, odd_docs, monkeypatch):
 
     texts = [r["text"] for r in odd_docs.select("text").collect() if r["text"]]
     batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts)], names=["lang", "text"])
-    monkeypatch.setattr(phrases, "RUN_BYTES", 3000)
-
-    def summed(held):
-        out = Counter()
-        for b in phrases._summed([batch], 1, None, held):
-            out.update(dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))) if held > 10**6 else [out.update({k: c}) for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-        return out
-
-    assert summed(50) == summed(10**7)
+    maps = type("Sent", (), {"value": everything()})
+    monkeypatch.setattr(phrases.runs, "__defaults__", (3000, 5))
+
+    def summed(batches, columns):
+        out, rows = Counter(), 0
+        for b in batches:
+            rows += b.num_rows
+            for r in zip(*(b.column(c).to_pylist() for c in columns)):
+                out[r[:-1]] += r[-1]
+        return out, rows
+
+    few, many = (summed(phrases._summed([batch], 2, maps, SEED, BASE, held), ("key", "last", "count")) for held in (50, 10**7))
+    assert few[0] == many[0] and few[1] > many[1]
+    few, many = (summed(phrases._counted([batch], SEED, held), ("key", "word", "count")) for held in (50, 10**7))
+    assert few[0] == many[0] and few[1] > many[1]
 
 
 def test_scores_pass_64_bits(spark):
