@@ -107,10 +107,9 @@ def _apply(t: Table, touched: DataFrame, merged, batch: int, writer: str) -> lis
 def upsert(t: Table, new: DataFrame, batch: int, order: list[str] | None = None, writer: str = "main") -> list[int]:
     """Puts new rows in the place of old ones with the same key; of several new ones of a key the last by `order`, without
     NUL characters. A key that moves to another bucket_key must be removed first. Returns the buckets rewritten."""
-    new = without_nul(new.select(t.schema.names))
     if order:
         new = first_of(new, [t.key], [F.desc(c) for c in order])
-    new = new.withColumn(BUCKET, bucket_of(t, t.bucket_key))
+    new = without_nul(new.select(t.schema.names)).withColumn(BUCKET, bucket_of(t, t.bucket_key))
 
     def merged(old: DataFrame, todo: list[int]) -> DataFrame:
         mine = new.filter(F.col(BUCKET).isin(todo))

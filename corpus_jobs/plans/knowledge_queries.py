@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from ..functions import routing
-from ..operators import analytics, catalog, conversations, marks, ocr
+from ..operators import analytics, bucketed, catalog, conversations, marks, ocr
 from ..sources import files
-from ..streaming import watch
+from ..storage import new_path
+from ..streaming import arrivals, watch
 from .inputs import frame, table
 from .registry import query
 from .routing_sql import holds
@@ -50,13 +51,22 @@ def j6_same_content(spark, sf):
     return catalog.same_content(listing, frame(spark, sf, "catalog")).select("event_id", "same_as")
 
 
+def _stored_rows(spark, name, rows, bucket_key=None):
+    """Rows as a table in buckets, written by a first batch."""
+    t = bucketed.table(spark, new_path(spark, name), rows.schema, "id", bucket_key, buckets=16)
+    bucketed.upsert(t, rows, 1)
+    return t
+
+
 @query("""SELECT 'pages' AS t, o_orderkey AS k FROM orders WHERE o_orderkey % 50 NOT IN (SELECT doc_id FROM documents WHERE source = 'src1')
     UNION ALL SELECT 'records', p_partkey FROM part WHERE p_size NOT IN (SELECT doc_id FROM documents WHERE source = 'src1')""")
 def j7_delete_cascade(spark, sf):
     gone = table(spark, sf, "documents").filter("source = 'src1'").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"))
-    left = catalog.without(gone, pages=(frame(spark, sf, "pages"), "document_id"), records=(frame(spark, sf, "records"), "document_id"))
-    records = left["records"].select(F.lit("records").alias("t"), F.substring("id", 2, 12).cast("long").alias("k"))
-    return left["pages"].select(F.lit("pages").alias("t"), F.col("o_orderkey").alias("k")).unionByName(records)
+    pages = frame(spark, sf, "pages").select(F.col("o_orderkey").cast("string").alias("id"), "document_id", "o_orderkey")
+    tables = {n: _stored_rows(spark, n, rows, "document_id") for n, rows in (("pages", pages), ("records", frame(spark, sf, "records")))}
+    bucketed.cascade(gone, 2, *tables.values())
+    records = tables["records"].rows().select(F.lit("records").alias("t"), F.substring("id", 2, 12).cast("long").alias("k"))
+    return tables["pages"].rows().select(F.lit("pages").alias("t"), F.col("o_orderkey").alias("k")).unionByName(records)
 
 
 @query("""WITH c AS (SELECT 'd' || CAST(doc_id AS STRING) AS document_id, bool_or(doc_id % 5 = 0) AS broken FROM documents WHERE doc_id % 7 > 0 GROUP BY ALL)
@@ -97,7 +107,9 @@ def s6_upsert(spark, sf):
     c = frame(spark, sf, "catalog").select("id", "filename", "status", "size_bytes")
     new = c.filter("size_bytes % 2 = 0").withColumn("status", F.lit("n\0ew"))
     both = new.withColumns({"filename": F.concat("id", F.lit(" v1")), "v": F.lit(1)}).unionByName(new.withColumns({"filename": F.concat("id", F.lit(" v2")), "v": F.lit(2)}))
-    return catalog.upserted(c, both, "id", ["v"]).select("id", "status", "filename")
+    t = _stored_rows(spark, "catalog", c)
+    bucketed.upsert(t, both, 2, ["v"])
+    return t.rows().select("id", "status", "filename")
 
 
 @query("""SELECT doc_id, CASE WHEN p + CASE WHEN g % 3 = 0 THEN 1 ELSE 0 END = 0 THEN 'f' || g || '.txt' ELSE 'f' || g || '_' || CAST(p + CASE WHEN g % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN g % 2 = 0 AND p + CASE WHEN g % 3 = 0 THEN 1 ELSE 0 END >= 2 THEN 1 ELSE 0 END AS STRING) || '.txt' END AS dest
@@ -288,6 +300,22 @@ def t1_watched_files(spark, sf):
     return watch.watched(table(spark, sf, "pages").select("page_id", F.concat("url", end).alias("path"), F.lit("created").alias("kind"))).select("page_id")
 
 
+@query("""SELECT doc_id, sha256(t) AS file_hash, strlen(t) AS size_bytes, 'indexed' AS status FROM (SELECT doc_id, CASE WHEN source = 'src2' THEN text || ' rewritten' ELSE text END AS t FROM documents WHERE source IS DISTINCT FROM 'src1' AND text IS NOT NULL)""")
+def t1_arrival_stream(spark, sf):
+    """All documents arrive as files, those of one source are rewritten later and those of another deleted; the stream takes
+    them in several batches and leaves the tables of the last state."""
+    folder = new_path(spark, "uploads")
+    docs = table(spark, sf, "documents").filter("text is not null").select(F.concat(F.lit("/files/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text", "source")
+    steps = [("created", docs), ("modified", docs.filter("source = 'src2'").withColumn("text", F.concat("text", F.lit(" rewritten")))), ("deleted", docs.filter("source = 'src1'"))]
+    for n, (kind, rows) in enumerate(steps):
+        content = F.encode("text", "UTF-8")
+        rows.select("path", F.lit(kind).alias("kind"), F.timestamp_seconds(F.lit(n)).alias("ts"), F.length(content).cast("long").alias("length"), content.alias("content")).write.parquet(f"{folder}/{n}")
+    stream = spark.readStream.schema("path string, kind string, ts timestamp, length long, content binary").option("maxFilesPerTrigger", 8).parquet(f"{folder}/*")
+    k = arrivals.knowledge(spark, new_path(spark, "knowledge"), buckets=8)
+    arrivals.follow_rows(k, stream, new_path(spark, "progress"), {"availableNow": True}).awaitTermination()
+    return k.documents.rows().select(F.regexp_extract("filename", r"\d+", 0).cast("long").alias("doc_id"), "file_hash", "size_bytes", "status")
+
+
 @query("""WITH RECURSIVE e AS (SELECT event_type, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS p FROM events),
     k AS (SELECT event_type, event_id, us, p FROM e WHERE p = 1
           UNION ALL SELECT x.event_type, x.event_id, x.us, x.p FROM (SELECT e.*, row_number() OVER (PARTITION BY e.event_type ORDER BY e.p) AS r FROM k JOIN e ON e.event_type = k.event_type AND e.p > k.p AND e.us - k.us >= 600000000) x WHERE x.r = 1)
