@@ -18,7 +18,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,7 @@ NO_LANG = "und"
 #: Bytes of text that a task turns into arrays at a time.
 RUN_BYTES = 3 << 20
 #: Distinct fingerprints, and words, that a task sums before it passes them on.
-HELD, HELD_WORDS = 3_000_000, 500_000
+HELD, HELD_WORDS = 1_000_000, 400_000
 #: Words that a worker remembers.
 MAX_WORDS = 400_000
 #: Bits of a map: 64 for each frequent fingerprint, within these bounds. A map is 32 MB at most, wherever it is sent; with
@@ -201,12 +201,11 @@ def _counted(batches, seed: int, held: int = HELD_WORDS):
 
     def out():
         for lang, words in found.items():
-            start, names = lang_hash(lang, seed), list(words)
-            hashes = [word_hash(w, seed) for w in names]
-            columns = [signed([(h + start) & _WRAP for h in hashes]), pa.array([lang] * len(names), pa.string()), signed(hashes), pa.array(names, pa.binary()).cast(pa.string()), pa.array(words.values(), pa.int64())]
-            full = pa.RecordBatch.from_arrays(columns, schema=schema)
-            for i in range(0, len(names), 50_000):
-                yield full.slice(i, 50_000)
+            start, rows = lang_hash(lang, seed), iter(words.items())
+            while part := list(islice(rows, 20_000)):
+                hashes = [word_hash(w, seed) for w, _ in part]
+                columns = [signed([(h + start) & _WRAP for h in hashes]), pa.array([lang] * len(part)), signed(hashes), pa.array([w for w, _ in part], pa.binary()).cast(pa.string()), pa.array([n for _, n in part])]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
             yield pa.RecordBatch.from_arrays([signed([start]), pa.array([lang]), signed([start]), pa.array([None], pa.string()), pa.array([sum(words.values())])], schema=schema)
         found.clear()
 
@@ -295,18 +294,18 @@ def _levels(rows: DataFrame, longest: int, least: int, seed: int, base: int) ->
     """The frequent phrases and the numbers of words by one polynomial; None if it gave two texts one frequent fingerprint."""
     sc = rows.sparkSession.sparkContext
     counted = rows.mapInArrow(partial(_counted, seed=seed), "key long, lang string, hash long, word string, count long")
-    both = F.struct("lang", "word")
-    summed = counted.groupBy("key", F.col("word").isNull().alias("all")).agg(F.sum("count").alias("count"), F.min("hash").alias("hash"), F.min(both).alias("x"), F.max(both).alias("y"))
-    words = materialize(summed.filter(F.col("all") | (F.col("count") >= least)), "words")
-    if not words.filter("x <> y").isEmpty():
+    # dealt by key once; rows of a key are one a task at most, so there is nothing to sum before
+    grouped = materialize(counted.repartition("key").groupBy("key", "lang", "hash", "word").agg(F.sum("count").alias("count")), "words")
+    words = materialize(grouped.filter("word is not null").filter(F.col("count") >= least), "words")
+    if not grouped.filter("word is not null").join(words.select("key"), "key", "left_semi").groupBy("key").count().filter("count > 1").isEmpty():
         return None
-    all_words = words.filter("all").select("x.lang", F.col("count").alias("n"))
-    words = words.filter("not all").select("key", "x.lang", "hash", F.col("x.word").alias("phrase"), "count")
+    all_words = grouped.filter("word is null").select("lang", F.col("count").alias("n"))
+    words = words.select("key", "lang", "hash", F.col("word").alias("phrase"), "count")
     held, maps = [words.select("key", "lang", F.lit(1).alias("words"), "phrase", "count")], []
     for n in range(2, longest + 1):
         maps.append(frequent_map(held[-1].select("key")))
         counts = rows.mapInArrow(partial(_summed, n=n, maps=sc.broadcast(maps), seed=seed, base=base), "key long, last long, count long")
-        often = counts.groupBy("key").agg(F.sum("count").alias("count"), F.min("last").alias("last"), F.max("last").alias("other")).filter(F.col("count") >= least)
+        often = counts.repartition("key").groupBy("key").agg(F.sum("count").alias("count"), F.min("last").alias("last"), F.max("last").alias("other")).filter(F.col("count") >= least)
         often = materialize(often, "frequent")
         if not often.filter("last <> other").isEmpty():
             return None
