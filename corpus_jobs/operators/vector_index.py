@@ -29,9 +29,12 @@ CODES = 256
 SUBSPACES = 16
 ROUNDS = 15
 #: Rows of a part of a list, and questions of a block, that one task call compares.
-PART_ROWS, BLOCK_QUESTIONS = 65_536, 1024
-#: Lists opened for a question, and codes scored exactly for each of the k results.
-PROBES, RESCORE = 8, 8
+PART_ROWS, BLOCK_QUESTIONS = 16_384, 512
+#: Codes scored exactly for each of the k results.
+RESCORE = 20
+#: The lists opened for a question are as many as it takes to have this share of the NEAR nearest vectors of TRIALS
+#: questions out of the sample, each against the whole sample.
+SHARE, NEAR, TRIALS = 0.95, 10, 256
 
 
 @dataclass(frozen=True)
@@ -40,6 +43,7 @@ class Model:
 
     centroids: np.ndarray
     codes: np.ndarray
+    probes: int = 1
 
     def nearest_lists(self, m: np.ndarray, n: int) -> np.ndarray:
         """The n nearest centroids of each row, nearest first."""
@@ -75,7 +79,8 @@ def _means(rows: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
 def fit(vectors: DataFrame, key: str = "chunk_id", lists: int | None = None, subspaces: int = SUBSPACES, sample: int = SAMPLE, seed: int = 1) -> Model | None:
     """Centroids and codes from at most `sample` vectors. By default there is a list for each square root of the number of
     all vectors, at most one for 32 vectors of the sample. Vectors are scaled to unit length; null ones are left out. None
-    for an empty table. The number of dimensions must be a multiple of `subspaces`."""
+    for an empty table. The number of dimensions must be a multiple of `subspaces`. How many lists a search opens is set by
+    the sample as well: few where vectors lie in groups, many where they lie anywhere."""
     rows = vectors.filter("embedding is not null")
     n = rows.count()
     taken = rows.select(F.xxhash64(key).alias("_h"), "embedding").orderBy("_h").limit(sample)
@@ -86,7 +91,16 @@ def fit(vectors: DataFrame, key: str = "chunk_id", lists: int | None = None, sub
     centroids = _means(m, lists or max(1, min(round(n**0.5), len(m) // 32)), rng)
     residuals = m - centroids[Model(centroids, np.zeros((0, 0, 0))).nearest_lists(m, 1)[:, 0]]
     codes = [_means(part, CODES, rng) for part in np.split(residuals, subspaces, axis=1)]
-    return Model(centroids, np.stack(codes))
+    return Model(centroids, np.stack(codes), _probes_for(m, centroids, rng))
+
+
+def _probes_for(m: np.ndarray, centroids: np.ndarray, rng: np.random.Generator) -> int:
+    """How many lists hold SHARE of the nearest vectors, by the sample."""
+    model = Model(centroids, np.zeros((0, 0, 0)))
+    of, asked = model.nearest_lists(m, 1)[:, 0], m[rng.choice(len(m), min(TRIALS, len(m)), replace=False)]
+    place = np.argsort(model.nearest_lists(asked, len(centroids)), axis=1)  # of a list in a question's order
+    near = np.argsort(-(asked @ m.T), axis=1, kind="stable")[:, :NEAR]
+    return int(np.quantile(np.take_along_axis(place, of[near], 1), SHARE, method="higher")) + 1
 
 
 def _assigned(batches, model):
@@ -161,16 +175,16 @@ def cosine(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(np.round((matrix(a) * matrix(b)).sum(1), 9) if len(a) else [], pa.float64())
 
 
-def opened(questions: DataFrame, index: VectorIndex, probes: int = PROBES) -> DataFrame:
+def opened(questions: DataFrame, index: VectorIndex, probes: int | None = None) -> DataFrame:
     """(query_id, list, embedding): the lists that are read for each question."""
     sent = questions.sparkSession.sparkContext.broadcast(index.model)
     kind = T.StructType([questions.schema["query_id"], T.StructField("list", T.IntegerType()), questions.schema["embedding"]])
-    return questions.filter("embedding is not null").select("query_id", "embedding").mapInArrow(partial(_probed, model=sent, probes=probes), kind)
+    return questions.filter("embedding is not null").select("query_id", "embedding").mapInArrow(partial(_probed, model=sent, probes=probes or index.model.probes), kind)
 
 
-def search(questions: DataFrame, index: VectorIndex, k: int = 10, probes: int = PROBES, rescore: int = RESCORE, block: int = BLOCK_QUESTIONS) -> DataFrame:
+def search(questions: DataFrame, index: VectorIndex, k: int = 10, probes: int | None = None, rescore: int = RESCORE, block: int = BLOCK_QUESTIONS) -> DataFrame:
     """questions(query_id, embedding) -> (query_id, key, similarity, position, score), as dense_search, of vectors in the
-    opened lists. Similarities are exact; a near vector in a list that is not opened, or with too distant a code, is missed.
+    opened lists, by default as many as the model says. Similarities are exact; a near vector in a list that is not opened, or with too distant a code, is missed.
     """
     key, spark = index.key, questions.sparkSession
     sent = spark.sparkContext.broadcast(index.model)
@@ -194,7 +208,7 @@ def search(questions: DataFrame, index: VectorIndex, k: int = 10, probes: int =
     return scored.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k).withColumn("score", F.greatest(F.lit(0.0), F.col("similarity")))
 
 
-def rows_read(questions: DataFrame, index: VectorIndex, probes: int = PROBES) -> DataFrame:
+def rows_read(questions: DataFrame, index: VectorIndex, probes: int | None = None) -> DataFrame:
     """(query_id, n_read): vectors of the lists that are opened for each question."""
     sizes = index.rows.groupBy("list").agg(F.count(F.lit(1)).alias("n"))
     return opened(questions, index, probes).join(sizes, "list").groupBy("query_id").agg(F.sum("n").alias("n_read"))
