@@ -36,11 +36,19 @@ def as_bytes(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
-def sliced(batches, rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of fewer rows, so that Python values are made for a few texts at a time."""
+def sliced(batches, rows: int = 500, size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of fewer rows, so that Python values are made for a few texts at a time; with a size, slices of
+    several rows hold no more bytes than that."""
     for b in batches:
         for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+            parts = [b.slice(i, rows)]
+            while parts:
+                part = parts.pop()
+                if size and part.num_rows > 1 and part.get_total_buffer_size() > size and part.nbytes > size:
+                    half = part.num_rows // 2
+                    parts += [part.slice(half), part.slice(0, half)]
+                else:
+                    yield part
 
 
 def with_last(items: Iterable) -> Iterator[tuple[bool, object]]:

@@ -200,7 +200,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
         return docs.filter(F.size(first(F.col(text_col))) == 0)
     name = fresh(docs, "text_hash")
     found = _matches(docs, benchmark, text_col, rate, least, [F.md5(F.col(text_col)).alias(name)]).select(name).distinct()
-    return docs.withColumn(name, F.md5(F.col(text_col))).join(found, name, "left_anti").select(docs.columns)
+    return docs.withColumn(name, F.md5(F.col(text_col))).join(found, name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

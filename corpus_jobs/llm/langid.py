@@ -6,8 +6,9 @@ a text's probability is the product over its words. Piece probabilities are lear
 maximisation from uniform ones: every training document adds the expected number of times that each piece occurs in its
 words (forward-backward), so counts cover all training text. Both passes handle each distinct word of a batch once.
 
-Words and pieces are compared in lower case; pieces that differ in case only are one. Words of up to WORD_CHARS characters
-go through numpy together; longer ones one at a time, in logarithms, so that no product is too small to be told.
+Words and pieces are compared in lower case; pieces that differ in case only are one. Scores are summed in logarithms, so
+that no product is too small to be told. Words of up to WORD_CHARS characters go through numpy together, longer ones one
+at a time; both give the same sums.
 """
 
 from __future__ import annotations
@@ -110,7 +111,7 @@ def long_ones(words: list[str]):
 
 def forward(pieces: Pieces, probs: np.ndarray, chars: np.ndarray, n: int):
     """(alpha, ids): alpha[j] sums all segmentations of the first j characters, a row per word and a column per language;
-    ids holds the pieces of each length."""
+    ids holds the pieces of each length. For uniform probabilities, whose products over WORD_CHARS characters doubles hold."""
     ids = {k: pieces.ids(chars, k) for k in pieces.lengths if k <= n}
     alpha = np.zeros((n + 1, len(chars), probs.shape[1]))
     alpha[0] = 1.0
@@ -128,6 +129,25 @@ def forward(pieces: Pieces, probs: np.ndarray, chars: np.ndarray, n: int):
     return alpha, ids
 
 
+def log_forward(pieces: Pieces, logs: np.ndarray, chars: np.ndarray, n: int) -> np.ndarray:
+    """The logarithm of forward's sum for whole words; logs(piece, language) has the logarithm of UNKNOWN in its last row."""
+    ids = {k: pieces.ids(chars, k) for k in pieces.lengths if k <= n}
+    alpha = np.full((n + 1, len(chars), logs.shape[1]), -np.inf)
+    alpha[0] = 0.0
+    for j in range(1, n + 1):
+        for k, found in ids.items():
+            if k > j:
+                break
+            at = found[:, j - k]
+            if k == 1:
+                alpha[j] = alpha[j - 1] + logs[at]
+            else:
+                some = np.flatnonzero(at < pieces.size)
+                if len(some):
+                    alpha[j, some] = np.logaddexp(alpha[j, some], alpha[j - k, some] + logs[at[some]])
+    return alpha[n]
+
+
 def places(pieces: Pieces, word: str):
     """Yields (place, lengths, pieces) for each character of a word: the pieces that begin there. A character that is no
     piece is the one past the last."""
@@ -205,12 +225,10 @@ def expected(pieces: Pieces, words: list[str], weights: np.ndarray) -> np.ndarra
 
 def log_scores(pieces: Pieces, probs: np.ndarray, words: list[str]) -> np.ndarray:
     """Natural log-probability of each word in each language."""
-    out = np.zeros((len(words), probs.shape[1]))
+    out, logs = np.zeros((len(words), probs.shape[1])), logarithms(pieces, probs)
     for at, chars, n in grouped(words):
-        out[at] = np.log(forward(pieces, probs, chars, n)[0][n])
-    logs = None
+        out[at] = log_forward(pieces, logs, chars, n)
     for i, word in long_ones(words):
-        logs = logarithms(pieces, probs) if logs is None else logs
         out[i] = long_forward(pieces, logs, word)[-1]
     return out
 

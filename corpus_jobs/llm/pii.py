@@ -14,6 +14,8 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ MAX_LABELLED = 600
 SPELLINGS = 4
 #: Words of a stretch on either side of a word with a digit or an @.
 AROUND = 3
+#: Words, padding included, that are decoded together.
+CELLS = 100_000
 #: Words of a labelled stretch; longer ones are not used for training. Decoding has no such bound.
 TRAIN_WORDS = 60
 ROUNDS, RATE, DECAY = 120, 0.2, 1e-3
@@ -95,7 +99,8 @@ _LETTERS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"[0-9]+")
 
 
 def shape(word: str) -> str:
-    word = word.strip(_EDGES)[:64]
+    """A word without edge marks, its runs of letters and digits folded; no part of a long word is left out."""
+    word = word.strip(_EDGES)
     return _DIGITS.sub(lambda m: f"9{min(len(m[0]), 12):x}", _LETTERS.sub("a", word))
 
 
@@ -147,16 +152,21 @@ class Field:
                 if len(self.known) > 50_000:
                     self.known.clear()
                 at = [self.names[f] for f in features(*key) if f in self.names]
-                row = self.known[key] = self.weights[at].sum(0)
+                row = self.weights[at].sum(0)
+                if sum(map(len, key)) < 200:  # odd long ones are not remembered
+                    self.known[key] = row
             rows.append(row)
         return np.array(rows).reshape(len(words), len(LABELS))
 
     def decode(self, batch: list[np.ndarray]) -> list[np.ndarray]:
-        """Viterbi labels of each sequence of emissions; sequences of like length go through numpy together."""
+        """Viterbi labels of each sequence of emissions; sequences of like length go through numpy together, as many as
+        make CELLS words with what the shorter ones are padded by."""
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(batch)
-        order = sorted(range(len(batch)), key=lambda i: len(batch[i]))
-        for i in range(0, len(order), 512):
-            part = order[i : i + 512]
+        order = sorted((i for i in range(len(batch)) if len(batch[i])), key=lambda i: -len(batch[i]))
+        i = 0
+        while i < len(order):
+            part = order[i : i + max(1, CELLS // len(batch[order[i]]))]
+            i += len(part)
             n = np.array([len(batch[j]) for j in part])
             e = np.zeros((len(part), int(n.max()), len(LABELS)))
             for r, j in enumerate(part):
@@ -166,13 +176,13 @@ class Field:
                 step = score[:, :, None] + self.moves
                 back[:, t] = step.argmax(1)
                 score = np.where((t < n)[:, None], step.max(1) + e[:, t], score)
-            at = score.argmax(1)
-            path = np.zeros(e.shape[:2], dtype=np.int64)
+            at, rows = score.argmax(1), np.arange(len(part))
+            path = np.zeros(e.shape[:2], dtype=np.int8)
             for t in range(e.shape[1] - 1, -1, -1):
                 inside = t < n
                 path[inside, t] = at[inside]
                 if t:
-                    at = np.where(inside, back[np.arange(len(part)), t, at], at)
+                    at = np.where(inside, back[rows, t, at], at)
             for r, j in enumerate(part):
                 out[j] = path[r, : n[r]]
         return out
@@ -228,11 +238,15 @@ def train(rows: list[tuple[list[str], list[int]]], rounds: int = ROUNDS) -> Fiel
 def labelled(text: str | None) -> list[tuple[list[str], list[int]]]:
     """The stretches of a text with the patterns' labels: a word has a kind if a span of it covers part of the word."""
     spans = base_spans(text)
-    out = []
+    out, at, open_ = [], 0, []
     for words in stretches(text):
         labels = []
         for a, b, _ in words:
-            labels.append(next((k + 1 for s, k, e in spans if s < b and a < e), 0))
+            while at < len(spans) and spans[at][0] < b:
+                open_.append(spans[at])
+                at += 1
+            open_ = [x for x in open_ if a < x[2]]  # words come in order, so what has ended stays ended
+            labels.append(open_[0][1] + 1 if open_ else 0)
         out.append(([w for _, _, w in words], labels))
     return out
 
@@ -315,6 +329,8 @@ def acceptable(kind: str, s: str) -> bool:
 
 def added_spans(words: list[tuple[int, int, str]], labels: np.ndarray, text: str, taken: list[tuple[int, int, int]]):
     """(start, kind number, end) of the runs of one label that pass their check and overlap no taken span."""
+    starts = [s for s, _, _ in taken]
+    ends = list(accumulate((e for _, _, e in taken), max))  # of all spans up to each
     i = 0
     while i < len(words):
         k, j = int(labels[i]) - 1, i + 1
@@ -326,7 +342,7 @@ def added_spans(words: list[tuple[int, int, str]], labels: np.ndarray, text: str
         a, b = words[i][0], words[j - 1][1]
         a += len(text[a:b]) - len(text[a:b].lstrip(_EDGES))
         b -= len(text[a:b]) - len(text[a:b].rstrip(_EDGES))
-        if acceptable(KINDS[k], text[a:b]) and not any(s < b and a < e for s, _, e in taken):
+        if acceptable(KINDS[k], text[a:b]) and not ((n := bisect_left(starts, b)) and ends[n - 1] > a):
             yield a, k, b
         i = j
 

@@ -1,14 +1,15 @@
 """Quality rules whose strictness depends on the host that a document comes from.
 
-Every document is measured on its own. The base rules reject it outright. Each softer rule only rejects on hosts where
-failing it is the norm: failures are counted by host, the rates are shrunk towards the corpus by a beta prior fitted
-to the hosts' own rates (method of moments), and a host whose shrunk rate exceeds the limit has the rule enforced.
-A document that fails no rule is kept on every host.
+Every document is measured on its own. The base rules reject it outright. The softer rules have limits that a clean
+document may pass a little now and then: by how much depends on its host. Failures are counted by host, the rates are
+shrunk towards the corpus by a beta prior fitted to the hosts' own rates (method of moments), and a host's verdict on a
+rule is an allowance that falls from twice the limit, where hardly a document fails, to the limit itself, where all do.
+It is joined back, and a document beyond its host's allowance is rejected. A document that fails no rule is kept on
+every host.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import pyarrow as pa
@@ -24,14 +25,14 @@ SYMBOLS = b"#*$%&|<>"
 
 MEASURES = T.StructType([T.StructField(c, T.LongType(), False) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")])
 
-#: Soft rules on the measures, as SQL over the struct m: true where the document fails.
+#: Soft rules on the measures, as SQL over the struct m: true where the document is beyond {a} times the limit.
 SOFT_RULES = {
-    "symbols": "m.n_symbols * 10 > m.n_words",
-    "dup_lines": "m.n_dup_lines * 10 > m.n_lines * 3",
-    "word_length": "m.word_chars < 3 * m.n_words or m.word_chars > 10 * m.n_words",
+    "symbols": "m.n_symbols * 10 > {a} * m.n_words",
+    "dup_lines": "m.n_dup_lines * 10 > {a} * m.n_lines * 3",
+    "word_length": "{a} * m.word_chars < 3 * m.n_words or m.word_chars > {a} * 10 * m.n_words",
 }
-#: A rule is enforced on hosts whose shrunk failure rate is above this.
-HOST_LIMIT = 0.5
+#: Share of a limit by which documents of a host without failures may be beyond it.
+LENIENCE = 1.0
 #: Documents that the prior counts for, at least and at most.
 MIN_STRENGTH, MAX_STRENGTH = 10.0, 1e6
 
@@ -74,17 +75,18 @@ def base_failed(m: str = "m") -> Column:
     return (F.col(f"{m}.n_words") < MIN_WORDS) | (100 * F.col(f"{m}.n_repeat_words") > MAX_REPEAT_PERCENT * F.col(f"{m}.n_words"))
 
 
-def fails(rule: str, m: str = "m") -> Column:
-    return F.expr(re.sub(r"\bm\.", f"{m}.", SOFT_RULES[rule]))
+def fails(rule: str, allowed: str = "1") -> Column:
+    return F.expr(SOFT_RULES[rule].format(a=allowed))
 
 
-def host_verdicts(measured: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
-    """measured(host, m) -> one row per host: n, and for each soft rule rate_<rule> (shrunk) and strict_<rule>.
+def host_verdicts(measured: DataFrame, lenience: float = LENIENCE) -> DataFrame:
+    """measured(host, m) -> one row per host: n, and for each soft rule rate_<rule> (shrunk) and allowed_<rule>, how many times
+    the limit its documents may come to.
 
     The beta prior of a rule has the corpus rate p as its mean. Its strength a + b follows from how far the hosts' rates
     lie apart beyond what chance would do (method of moments for unequal sizes): with S = sum n (rate - p)^2 over k
     hosts and N documents, rho = (S / (p (1 - p)) - (k - 1)) / (N - sum n^2 / N - (k - 1)) and a + b = (1 - rho) / rho,
-    held between MIN_STRENGTH and MAX_STRENGTH; so a few documents never condemn a host. A null host is one of its own.
+    held between MIN_STRENGTH and MAX_STRENGTH; so a few documents hardly move a host's verdict. A null host is one of its own.
     """
     counts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(fails(r)).alias(f"f_{r}") for r in SOFT_RULES])
     counts = materialize(counts, "hosts")
@@ -99,20 +101,20 @@ def host_verdicts(measured: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
         rho = F.try_divide(apart, F.col("spare"))
         strength = F.when(rho > 0, F.least(F.lit(MAX_STRENGTH), F.greatest(F.lit(MIN_STRENGTH), (1 - rho) / rho))).otherwise(MAX_STRENGTH)
         rate = (F.col(f"f_{r}") + strength * p) / (F.col("n") + strength)
-        out += [rate.alias(f"rate_{r}"), (rate > limit).alias(f"strict_{r}")]
+        out += [rate.alias(f"rate_{r}"), (1 + lenience * (1 - rate)).alias(f"allowed_{r}")]
     return materialize(both.select(*out), "verdicts")
 
 
 def judged(measured: DataFrame, verdicts: DataFrame) -> DataFrame:
     """measured with its columns, base_failed and kept. The verdict table is read from files, so Spark knows its size:
     it is broadcast below spark.sql.autoBroadcastJoinThreshold, else joined by a shuffle that splits a hot host."""
-    v = verdicts.select(F.col("host").alias("v_host"), *[f"strict_{r}" for r in SOFT_RULES])
+    v = verdicts.select(F.col("host").alias("v_host"), *[f"allowed_{r}" for r in SOFT_RULES])
     # a null host is told apart from an empty one by its own column, which keeps an equality join
     key = lambda c: [F.col(c).isNull(), F.coalesce(F.col(c), F.lit(""))]
     on = [a == b for a, b in zip(key("host"), key("v_host"))]
     soft = F.lit(False)
     for r in SOFT_RULES:
-        soft = soft | (fails(r) & F.coalesce(F.col(f"strict_{r}"), F.lit(False)))
+        soft = soft | fails(r, f"allowed_{r}")
     return measured.join(v, on[0] & on[1], "left").select(*measured.columns, base_failed().alias("base_failed"), (~base_failed() & ~soft).alias("kept"))
 
 

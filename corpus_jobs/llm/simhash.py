@@ -198,7 +198,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     found = components(docs.filter(F.col(id_col).isNotNull()), id_col, text_col)
     stay = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id")).filter("doc_id = component_id")
-    kept = docs.join(stay.select(F.col("doc_id").alias(id_col)), id_col, "left_semi").select(docs.columns)
+    kept = docs.join(stay.select(F.col("doc_id").alias(id_col)), id_col, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
     return kept.unionByName(docs.filter(F.col(id_col).isNull()))
 
 

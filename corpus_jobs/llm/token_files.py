@@ -29,6 +29,9 @@ OPTIONS = {
     "compression": "lz4",
 }
 
+#: Bytes of texts that are encoded into one batch: its offsets have 32 bits, and a text has no more ids than bytes.
+SLICE_BYTES = 128 << 20
+
 
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, end_id: int = END_ID, partitions: int | None = None) -> None:
     """Writes (doc_id, file_start, n_tokens, ids) as ORC files whose names, and rows within them, ascend by doc_id.
@@ -41,7 +44,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
 
     def encode(batches):
         at = 0
-        for b in sliced(batches):
+        for b in sliced(batches, size=SLICE_BYTES):
             done = [x + end for x in encoded(b.column(1).to_pylist(), tokens)]
             n = np.array([len(x) // 4 for x in done], dtype=np.int64)
             starts = at + np.cumsum(n) - n

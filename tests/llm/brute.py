@@ -1,6 +1,7 @@
 """Plain versions of the operators' contracts, one document at a time and all pairs where pairs matter."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -95,3 +96,25 @@ def token_ids(texts, end):
 
 def crc(ids):
     return zlib.crc32(np.array(ids, dtype="<u4").tobytes())
+
+
+def good(rows):
+    """Which of (text, host) the base rules and the hosts' allowances keep."""
+    measured, hosts = [], defaultdict(list)
+    for text, host in rows:
+        words, chars, symbols, dup, _, base = quality(text)
+        lines = sum(bool(WORD.search(x)) for x in (text or "").split("\n"))
+        degrees = (10 * symbols / words if words else 10 * symbols and math.inf, 10 * dup / (3 * lines) if lines else 0, max(chars / (10 * words), 3 * words / chars) if words else 0)
+        measured.append((host, base, degrees))
+        hosts[host].append(degrees)
+    n, k, allowed = len(rows), len(hosts), {}
+    spare = n - sum(len(v) ** 2 for v in hosts.values()) / n - (k - 1)
+    for r in range(3):
+        failed = {h: sum(d[r] > 1 for d in v) for h, v in hosts.items()}
+        p = sum(failed.values()) / n
+        s = sum(len(v) * (failed[h] / len(v) - p) ** 2 for h, v in hosts.items())
+        rho = (s / (p * (1 - p)) - (k - 1)) / spare if 0 < p < 1 and spare else 0
+        strength = min(1e6, max(10, (1 - rho) / rho)) if rho > 0 else 1e6
+        for h, v in hosts.items():
+            allowed[h, r] = 2 - (failed[h] + strength * p) / (len(v) + strength)
+    return [not base and all(d <= allowed[host, r] for r, d in enumerate(degrees)) for host, base, degrees in measured]

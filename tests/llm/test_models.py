@@ -101,6 +101,63 @@ def test_spellings_are_outside_the_patterns():
             assert not any(pii.KINDS[k] == kind and (a, b) == (0, len(other)) for a, k, b in pii.base_spans(other))
 
 
+#: Written by hand, not by pii.spelled.
+BY_HAND = [
+    ("email", "write to anna.meier(@)posteo.example or ring", "anna.meier(@)posteo.example"), ("email", "mail j_doe@intranet for access", "j_doe@intranet"),
+    ("ip", "the host 192[.]168[.]2[.]77 answers", "192[.]168[.]2[.]77"), ("card", "card 5500.0000.0000.0004 was charged", "5500.0000.0000.0004"),
+    ("card", "number 4012/8888/8888/1881 on file", "4012/8888/8888/1881"), ("phone", "call (415) 555-0132 after noon", "(415) 555-0132"), ("phone", "reach us at 212-555-0187 today", "212-555-0187"),
+]
+
+
+def test_field_finds_spellings_written_by_hand(spark):
+    """Most of them, and nothing in lines of plain numbers, dates and prices."""
+    field = pii.train(pii.with_spellings(pii.labelled_table(documents(spark, "/root/testdata/sf0.01"))))
+
+    def found(text):
+        base = pii.base_spans(text)
+        return [(pii.KINDS[k], text[a:b]) for words in pii.stretches(text) for a, k, b in pii.added_spans(words, field.decode([field.emissions([w for _, _, w in words])])[0], text, base)]
+
+    hit = sum((kind, span) in found(text) for kind, text, span in BY_HAND)
+    assert hit >= 5, [found(text) for _, text, _ in BY_HAND]
+    for text in ("in 1984 there were 12 of 340 left", "it cost 12.50 or 1,300.00 on 2024-03-05", "see page 17, section 3.2.1 of 44"):
+        assert found(text) == []
+
+
+def test_shapes_leave_nothing_out():
+    assert pii.shape("x" * 70 + "1@host") == "a91@a" and pii.shape("9" * 100) == "9c"
+    field = pii.Field({}, np.zeros((0, 5)), np.zeros((5, 5)))
+    field.emissions(["a.1" * 1000])
+    assert not field.known
+
+
+def test_labels_are_the_plain_ones():
+    rng = random.Random(6)
+    for _ in range(200):
+        text = " ".join(rng.choice(["a@b.de", "10.0.0.1", "+1 602 555 0417", "4111 1111 1111 1111", "word", "7", "x@y", "\n"]) for _ in range(rng.randrange(30)))
+        spans = pii.base_spans(text)
+        for words, (said, labels) in zip(pii.stretches(text), pii.labelled(text), strict=True):
+            assert said == [w for _, _, w in words]
+            assert labels == [next((k + 1 for s, k, e in spans if s < b and a < e), 0) for a, b, _ in words]
+
+
+def test_a_very_long_line_stays_small():
+    """Decoding pads no short stretch to the length of a long one."""
+    import time
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    field = pii.train(pii.with_spellings([(["call", "+1", "602", "555", "0417", "now"], [0, 4, 4, 4, 4, 0]), (["in", "1984", "there"], [0, 0, 0])]))
+    texts = [" ".join(map(str, rng.integers(0, 99999, 300_000)))] + ["call 602-555-0417 now"] * 511
+    began = time.time()
+    tracemalloc.start()
+    todo = [w for t in texts for w in pii.stretches(t)]
+    paths = field.decode([field.emissions([w for _, _, w in words]) for words in todo])
+    assert tracemalloc.get_traced_memory()[1] < 500e6 and time.time() - began < 120
+    tracemalloc.stop()
+    assert [len(p) for p in paths] == [len(w) for w in todo] and len(paths[0]) == 300_000
+    assert len({tuple(p) for p in paths[1:]}) == 1
+
+
 def test_viterbi_is_exhaustive():
     import itertools
 
@@ -316,6 +373,22 @@ def test_long_words_are_scored_whole(monkeypatch):
     assert np.isfinite(twice).all() and (twice < 1.9 * once).all()
 
 
+def test_no_product_is_too_small(spark):
+    """Words of characters that no language showed, with probabilities as after 10**14 pieces."""
+    pieces = langid.pieces_of(langid.default_path(langid.VOCABULARY))
+    p = np.full((pieces.size + 1, 2), 1e-14)
+    known = set(pieces.words)
+    singles = [w for w in pieces.words if len(w) == 1 and w.isalpha()]
+    a, b = next((a, b) for a in singles for b in singles if a < b and not {a + b, b + a, "▁" + a} & known)
+    p[pieces.words.index(a), 1] = 3e-14
+    word = (a + b) * 14
+    got = langid.log_scores(pieces, p, ["▁" + word])[0]
+    assert np.isfinite(got).all() and got[0] < got[1] < -600
+    docs = spark.createDataFrame([(1, word), (2, f"{word} {word}"), (3, b * 31)], "doc_id long, text string")
+    for r in langid.identify(docs, (["aa", "bb"], p)).collect():
+        assert r["lang_pred"] == ("aa" if r["doc_id"] == 3 else "bb") and 0 <= r["score"] <= 1
+
+
 def test_expected_counts_cover_each_character():
     """Expected pieces, weighted by their length, cover every known character as often as the words occur."""
     pieces = langid.pieces_of(langid.default_path(langid.VOCABULARY))

@@ -81,26 +81,61 @@ def test_deduplicate_keeps_one_of_each_group(spark, odd_docs, rows):
     assert ids == {c for d, _, c in brute.simhash(rows) if c is not None} | {None}
 
 
+def test_columns_with_dots_and_empty_tables(spark, odd_docs):
+    """Operators that give rows back keep columns of any name, and give none of none."""
+    from corpus_jobs.llm import pii, resemblance
+
+    docs = odd_docs.withColumnRenamed("label", "a.b").withColumnRenamed("kept", "a`c").filter("doc_id < 40")
+    docs = docs.drop("a`c")
+    bench = spark.createDataFrame([(1, "a text that is in none of these documents at all")], "item_id long, text string")
+    for f in (simhash.deduplicate, resemblance.deduplicate, quality.keep_good, line_dedup.drop_repeated, lambda d: decontamination.drop_contaminated(d, bench)):
+        out = f(docs)
+        assert out.columns == docs.columns and out.count() > 0
+        assert f(docs.limit(0)).count() == 0
+    assert pii.find(docs.limit(0), pii.train([])).count() == 0
+
+
+def test_slices_are_bounded_by_bytes():
+    import pyarrow as pa
+    from corpus_jobs.llm.common import sliced
+
+    b = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(["x" * (10_000 if i % 9 == 0 else 10) for i in range(40)])], names=["i", "t"])
+    parts = list(sliced([b], rows=15, size=12_000))
+    assert [x for p in parts for x in p.column(0).to_pylist()] == list(range(40))
+    assert all(p.num_rows == 1 or p.nbytes <= 12_000 for p in parts) and len(parts) < 20
+
+
 def test_quality_measures(spark, odd_docs, rows):
     got = as_rows(quality.score(odd_docs), "doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "base_failed")
     assert got == sorted([(d, *brute.quality(t)) for d, t in rows + NO_ID], key=str)
 
 
 def test_host_verdicts_by_hand(spark):
-    """A host that always fails a rule has it enforced, one with a single failure among many hosts has not."""
-    good, symbols = "plain words " * 8, "### $$$ word %%% " * 8 + "other things stand here too and more of them so it is no repeat"
-    data = [(i, good + f"number {i}", f"good{i % 20}") for i in range(400)] + [(1000 + i, " ".join(f"#{i}w{j} $" for j in range(20)), "bad") for i in range(60)]
-    data += [(2000, " ".join(f"#w{j} $" for j in range(20)), "good1"), (2001, " ".join(f"clean{j}" for j in range(20)), "bad")]
-    assert symbols
-    data = [(d, " ".join(f"{w}{k}" for k, w in enumerate(t.split())), s) for d, t, s in data]
+    """Documents a little beyond a limit go on a host that always is, and stay on hosts that hardly are; far beyond it they
+    go anywhere, and documents that fail nothing stay anywhere."""
+    text = lambda i, n, symbols: " ".join([f"word{i}x{j}" for j in range(n - symbols)] + ["$"] * symbols)
+    data = [(i, text(i, 30, 0), f"good{i % 20}") for i in range(400)] + [(1000 + i, text(i, 40, 5), "bad") for i in range(60)]
+    data += [(2000, text(2000, 40, 5), "good1"), (2001, text(2001, 40, 0), "bad"), (2002, text(2002, 40, 15), "good2")]
     docs = spark.createDataFrame(data, "doc_id long, text string, source string")
     kept = {r["doc_id"]: r["kept"] for r in quality.score(docs).collect()}
-    assert not any(kept[1000 + i] for i in range(60))
+    assert not any(kept[1000 + i] for i in range(60)) and not kept[2002]
     assert kept[2000] and kept[2001] and all(kept[i] for i in range(400))
+    assert [kept[d] for d, _, _ in data] == brute.good([(t, h) for _, t, h in data])
+
+
+def test_quality_is_brute_force_and_changes_rows(spark):
+    """Verdicts on the small tables: they reject what the base rules keep, and good documents stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id", "left")
+    got = {r["doc_id"]: r for r in quality.score(docs).collect()}
+    rows = docs.select("doc_id", "text", "source", "quality").collect()
+    assert [got[r["doc_id"]]["kept"] for r in rows] == brute.good([(r["text"], r["source"]) for r in rows])
+    assert sum(not x["kept"] and not x["base_failed"] for x in got.values()) > 50
+    clean = [r["doc_id"] for r in rows if r["quality"] == 1]
+    assert sum(got[d]["kept"] for d in clean) >= 0.95 * len(clean)
 
 
 def test_one_failure_does_not_condemn_a_small_host(spark):
-    bad = lambda i: " ".join(f"#{i}w{j} $" for j in range(20))
+    bad = lambda i: " ".join([f"v{i}w{j}" for j in range(35)] + ["$"] * 5)
     data = [(i, bad(i), f"single{i}") for i in range(30)] + [(100 + i, " ".join(f"w{i}x{j}" for j in range(20)), f"host{i}") for i in range(200)] + [(1000 + i, bad(i), "bad") for i in range(80)]
     kept = {r["doc_id"]: r["kept"] for r in quality.score(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()}
     assert all(kept[i] for i in range(30)) and not any(kept[1000 + i] for i in range(80))
