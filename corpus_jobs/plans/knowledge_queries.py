@@ -316,13 +316,15 @@ def t1_arrival_stream(spark, sf):
     return k.documents.rows().select(F.regexp_extract("filename", r"\d+", 0).cast("long").alias("doc_id"), "file_hash", "size_bytes", "status")
 
 
-@query("""WITH RECURSIVE e AS (SELECT event_type, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS p FROM events),
-    k AS (SELECT event_type, event_id, us, p FROM e WHERE p = 1
-          UNION ALL SELECT x.event_type, x.event_id, x.us, x.p FROM (SELECT e.*, row_number() OVER (PARTITION BY e.event_type ORDER BY e.p) AS r FROM k JOIN e ON e.event_type = k.event_type AND e.p > k.p AND e.us - k.us >= 600000000) x WHERE x.r = 1)
-    SELECT event_type, event_id FROM k""")
+@query("""WITH RECURSIVE e AS (SELECT '/data/' || CAST(user_id AS STRING) || '.txt' AS path, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),
+    k AS (SELECT path, event_id, us, p FROM e WHERE p = 1
+          UNION ALL SELECT x.path, x.event_id, x.us, x.p FROM (SELECT e.*, row_number() OVER (PARTITION BY e.path ORDER BY e.p) AS r FROM k JOIN e ON e.path = k.path AND e.p > k.p AND e.us - k.us >= 14400000000) x WHERE x.r = 1)
+    SELECT path, event_id FROM k""")
 def t2_debounce(spark, sf):
-    events = table(spark, sf, "events").select("event_type", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return watch.debounced_batch(events, 600.0, key="event_type").select("event_type", "event_id")
+    """Each user's file; events of one file are hours apart, so the interval is four hours."""
+    path = F.concat(F.lit("/data/"), F.col("user_id").cast("string"), F.lit(".txt"))
+    events = table(spark, sf, "events").select(path.alias("path"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return watch.debounced_batch(events, 14400.0).select("path", "event_id")
 
 
 @query("""SELECT id FROM $catalog WHERE size_bytes % 4 > 0""")

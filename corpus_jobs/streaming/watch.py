@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.catalog import without
@@ -22,6 +24,8 @@ from ..sources.files import file_type
 from ..storage import materialize
 
 DEBOUNCE_SECONDS = 2.0
+#: Events of a part of a table, for debounced_batch.
+PART_EVENTS = 2_000_000
 #: Event time after which a path's last event is forgotten, and how late an event may come; far longer than the debounce.
 STATE_SECONDS = 3600
 
@@ -68,6 +72,72 @@ def debounced(events: DataFrame, seconds: float = DEBOUNCE_SECONDS, keep_state:
     return marked.groupBy("path").applyInPandasWithState(fold, "path string, kind string, ts timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+#: How late an event may come to be put in its place, for debounced_in_order.
+LATE_SECONDS = 10
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _InOrder(StatefulProcessor):
+    """For a path: the events that may still be overtaken, and the last accepted time. An event is judged when the watermark
+    has passed it, in the order of times; once no event is left and the last accepted one is old, all is forgotten."""
+
+    def __init__(self, seconds: float, keep: float):
+        self.gap, self.keep = int(seconds * 1e6), int(keep * 1e6)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", T.StructType([T.StructField("us", T.LongType())]))
+        self.waiting = handle.getListState("waiting", T.StructType([T.StructField("us", T.LongType()), T.StructField("kind", T.StringType())]))
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = [(us, kind) for frame in rows for us, kind in zip(frame["us"].tolist(), frame["kind"].tolist())]
+        yield from self._judge(key, new, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield from self._judge(key, [], timerValues.getCurrentWatermarkInMs())
+
+    def _judge(self, key, new, watermark: int):
+        due, rest = [], []
+        for us, kind in [*self.waiting.get(), *new]:
+            (due if us // 1000 < watermark else rest).append((us, kind))
+        had = self.last.get()[0] if self.last.exists() else None
+        last, out = had, []
+        for us, kind in sorted(due, key=lambda x: (x[0], x[1] or "")):
+            if last is None or us - last >= self.gap:
+                out.append((us, kind))
+                last = us
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(min(us for us, _ in rest) // 1000 + 1)
+        else:
+            self.waiting.clear()
+        if last is not None and (rest or (last + self.keep) // 1000 >= watermark):
+            if last != had:
+                self.last.update((last,))
+            if not rest:
+                self.handle.registerTimer((last + self.keep) // 1000 + 1)
+        elif had is not None:
+            self.last.clear()
+        if out:
+            yield pd.DataFrame({"path": [key[0]] * len(out), "kind": [k for _, k in out], "us": [us for us, _ in out]})
+
+    def close(self) -> None:
+        pass
+
+
+def debounced_in_order(events: DataFrame, seconds: float = DEBOUNCE_SECONDS, late: float = LATE_SECONDS, keep: float | None = None) -> DataFrame:
+    """debounced, but with events of a path judged in the order of their times, whatever batches they come in: the rows are
+    those of one batch over all events, unless an event comes more than `late` seconds after a later one (such an event is
+    dropped). An event is given out when the watermark has passed it. Two times `seconds`, or `keep`, after a path's last
+    accepted event its state is gone. State is in RocksDB, which the session must name as its state store (ROCKSDB); a path's
+    waiting events are those of the last `late` seconds."""
+    marked = events.select("path", "kind", "ts").withWatermark("ts", f"{int(late * 1000)} milliseconds").withColumn("us", F.unix_micros("ts"))
+    kept = marked.groupBy("path").transformWithStateInPandas(_InOrder(seconds, 2 * seconds if keep is None else keep), "path string, kind string, us long", "Append", "EventTime")
+    return kept.select("path", "kind", F.timestamp_micros("us").alias("ts"))
+
+
 def chains(times, seconds: int) -> list[tuple[int, int]]:
     """What the last accepted time before these times (in order, microseconds) makes of the last accepted one among them.
 
@@ -89,7 +159,7 @@ def chains(times, seconds: int) -> list[tuple[int, int]]:
     return sorted((b, last) for last, bounds in open_ for b in bounds)
 
 
-def debounced_batch(events: DataFrame, seconds: float = DEBOUNCE_SECONDS, key: str = "path", micros: str = "us", buckets: int = 64) -> DataFrame:
+def debounced_batch(events: DataFrame, seconds: float = DEBOUNCE_SECONDS, key: str = "path", micros: str = "us", buckets: int | None = None) -> DataFrame:
     """The same over a whole table events(key, us, ...), us being microseconds.
 
     Events are range-partitioned by key and time, so that a key with many events is many parts. Only the first key of a
@@ -98,9 +168,10 @@ def debounced_batch(events: DataFrame, seconds: float = DEBOUNCE_SECONDS, key: s
     """
     gap = int(seconds * 1e6)
     rows = events.select(key, micros, "event_id")
+    buckets = buckets or max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // PART_EVENTS)
     # written once, so that both passes see the same parts
     dealt = materialize(rows.repartitionByRange(buckets, key, micros, "event_id").withColumn("_part", F.spark_partition_id()), "dealt")
-    order = dealt.repartition(buckets, "_part").sortWithinPartitions("_part", key, micros, "event_id")
+    order = dealt.repartitionByRange(buckets, "_part").sortWithinPartitions("_part", key, micros, "event_id")
     carried: dict[int, int] = {}
 
     def parts(batches):
