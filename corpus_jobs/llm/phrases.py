@@ -43,7 +43,7 @@ RUN_BYTES = 3 << 20
 #: Distinct fingerprints, and words, that a task sums before it passes them on.
 HELD, HELD_WORDS = 1_000_000, 400_000
 #: Words that a worker remembers.
-MAX_WORDS = 400_000
+MAX_WORDS = 250_000
 #: Bits of a map: 64 for each frequent fingerprint, within these bounds. A map is 32 MB at most, wherever it is sent; with
 #: more fingerprints than it is meant for, it leaves out less.
 LEAST_BITS, MOST_BITS, BLOCK_BITS = 16, 28, 20
@@ -192,9 +192,9 @@ def lang_hash(lang: str, seed: int) -> int:
 
 
 def _counted(batches, seed: int, held: int = HELD_WORDS):
-    """(key, lang, hash, word, count) of words, summed within the task, and one row a language without a word: all of them."""
+    """(key, lang, word, count) of words, summed within the task, and one row a language without a word: all of them."""
     found: dict[str, Counter] = {}
-    schema = pa.schema([("key", pa.int64()), ("lang", pa.string()), ("hash", pa.int64()), ("word", pa.string()), ("count", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("count", pa.int64())])
 
     def signed(x: list[int]) -> pa.Array:
         return pa.array(np.array(x, np.uint64).view(np.int64))
@@ -203,10 +203,9 @@ def _counted(batches, seed: int, held: int = HELD_WORDS):
         for lang, words in found.items():
             start, rows = lang_hash(lang, seed), iter(words.items())
             while part := list(islice(rows, 20_000)):
-                hashes = [word_hash(w, seed) for w, _ in part]
-                columns = [signed([(h + start) & _WRAP for h in hashes]), pa.array([lang] * len(part)), signed(hashes), pa.array([w for w, _ in part], pa.binary()).cast(pa.string()), pa.array([n for _, n in part])]
+                columns = [signed([(word_hash(w, seed) + start) & _WRAP for w, _ in part]), pa.array([lang] * len(part)), pa.array([w for w, _ in part], pa.binary()).cast(pa.string()), pa.array([n for _, n in part])]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
-            yield pa.RecordBatch.from_arrays([signed([start]), pa.array([lang]), signed([start]), pa.array([None], pa.string()), pa.array([sum(words.values())])], schema=schema)
+            yield pa.RecordBatch.from_arrays([signed([start]), pa.array([lang]), pa.array([None], pa.string()), pa.array([sum(words.values())])], schema=schema)
         found.clear()
 
     for lang, tokens, own in _by_lang(batches):
@@ -290,13 +289,21 @@ def _before(n: int, base: int):
     return before
 
 
+def _hash_of(seed: int):
+    @F.arrow_udf(T.LongType())
+    def hash_of(word: pa.Array) -> pa.Array:
+        return pa.array(np.array([word_hash(as_bytes(w), seed) for w in word.to_pylist()], np.uint64).view(np.int64))
+
+    return hash_of
+
+
 def _levels(rows: DataFrame, longest: int, least: int, seed: int, base: int) -> tuple[DataFrame, DataFrame] | None:
     """The frequent phrases and the numbers of words by one polynomial; None if it gave two texts one frequent fingerprint."""
     sc = rows.sparkSession.sparkContext
-    counted = rows.mapInArrow(partial(_counted, seed=seed), "key long, lang string, hash long, word string, count long")
+    counted = rows.mapInArrow(partial(_counted, seed=seed), "key long, lang string, word string, count long")
     # dealt by key once; rows of a key are one a task at most, so there is nothing to sum before
-    grouped = materialize(counted.repartition("key").groupBy("key", "lang", "hash", "word").agg(F.sum("count").alias("count")), "words")
-    words = materialize(grouped.filter("word is not null").filter(F.col("count") >= least), "words")
+    grouped = materialize(counted.repartition("key").groupBy("key", "lang", "word").agg(F.sum("count").alias("count")), "words")
+    words = materialize(grouped.filter("word is not null").filter(F.col("count") >= least).withColumn("hash", _hash_of(seed)("word")), "words")
     if not grouped.filter("word is not null").join(words.select("key"), "key", "left_semi").groupBy("key").count().filter("count > 1").isEmpty():
         return None
     all_words = grouped.filter("word is null").select("lang", F.col("count").alias("n"))
