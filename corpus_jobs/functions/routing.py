@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..ranges import with_rows_before
 from .text import contains_any, strip
 
 # Patterns, words and intent names that the service recognises.
@@ -98,17 +99,16 @@ def resolve(c: Column, last_id: Column) -> Column:
     return c
 
 
-def history_window(limit: int = HISTORY):
-    return W.partitionBy("conversation_id").orderBy("created_at", "seq").rowsBetween(-limit, -1)
-
-
 def with_history(messages: DataFrame, limit: int = HISTORY) -> DataFrame:
     """messages(conversation_id, created_at, seq, role, content) with last_id, the first identifier of the latest of the
-    limit messages before each, and history, those messages as lines."""
-    w = history_window(limit)
+    limit messages before each, and history, those messages as lines. A long conversation is many ranges of messages, each
+    with the limit messages before it."""
     line = F.concat(F.when(F.col("role") == "user", "User").otherwise("Assistant"), F.lit(": "), F.col("content"))
     seen = messages.withColumn("first_id", F.get(identifiers(F.col("content")), 0)).withColumn("line", line)
-    return seen.withColumn("last_id", F.last("first_id", ignorenulls=True).over(w)).withColumn("history", F.array_join(F.collect_list("line").over(w), "\n")).drop("first_id", "line")
+    rows = with_rows_before(seen, "conversation_id", ["created_at", "seq"], limit)
+    w = W.partitionBy("_part", "conversation_id").orderBy("created_at", "seq").rowsBetween(-limit, -1)
+    told = rows.withColumn("last_id", F.last("first_id", ignorenulls=True).over(w)).withColumn("history", F.array_join(F.collect_list("line").over(w), "\n"))
+    return told.filter("not _before").drop("first_id", "line", "_part", "_before")
 
 
 def expanded(question: Column, history: Column) -> Column:

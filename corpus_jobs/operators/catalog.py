@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from ..functions.text import contains_any, extension
+from ..ranges import row_numbers, running
 from .retrieval import first_of
 
 # Fixed values of the service.
@@ -100,11 +100,11 @@ def numbered_names(uploads: DataFrame, existing: DataFrame) -> DataFrame:
 
     Within one name, uploads take the free numbers in order; number 0 is the bare name. Names that uploads bring along
     count as taken for other stems, so a file called stem_1.ext keeps its name and a copy of stem.ext takes the next.
+    Numbers are found over ranges of uploads, so a name that most of them have is no long task.
     """
     suffix = F.regexp_extract("filename", r"(?<=[^./])\.[^./]+$", 0)
     rows = uploads.withColumns({"_ext": suffix, "_stem": F.expr("substring(filename, 1, length(filename) - length(regexp_extract(filename, '(?<=[^./])\\\\.[^./]+$', 0)))")})
-    place = F.row_number().over(W.partitionBy("filename").orderBy("seq")) - 1
-    rows = rows.withColumn("_place", place)
+    rows = row_numbers(rows, "filename", ["seq"], "_place").withColumn("_place", F.col("_place") - 1)
     ext = F.regexp_extract("name", r"(?<=[^./])\.[^./]+$", 0)
     brought = rows.select(F.col("filename").alias("name"), F.lit(1).alias("least"))
     taken = existing.select(F.col("filename").alias("name"), F.lit(0).alias("least")).unionByName(brought).groupBy("name").agg(F.min("least").alias("least"))
@@ -115,11 +115,10 @@ def numbered_names(uploads: DataFrame, existing: DataFrame) -> DataFrame:
     used = used.join(need, F.col("of") == F.col("filename")).select("filename", "no")
     # the p-th free number is p plus how many used ones have at most p free ones below them: uploads by place and used
     # numbers by the free ones below them stand in one order, and a running count gives the sum
-    below = F.col("no") - (F.row_number().over(W.partitionBy("filename").orderBy("no")) - 1)
-    marks = used.select("filename", below.cast("long").alias("_place"), F.lit(1).alias("_used"))
+    below = F.col("no") - (F.col("_rank") - 1)
+    marks = row_numbers(used, "filename", ["no"], "_rank").select("filename", below.cast("long").alias("_place"), F.lit(1).alias("_used"))
     both = rows.withColumns({"_place": F.col("_place").cast("long"), "_used": F.lit(0)}).unionByName(marks, allowMissingColumns=True)
-    order = W.partitionBy("filename").orderBy("_place", F.desc("_used")).rowsBetween(W.unboundedPreceding, 0)
-    shifts = both.withColumn("_shift", F.sum("_used").over(order)).filter("_used = 0")
+    shifts = running(both, "filename", ["_place", F.desc("_used")], F.col("_used"), "_shift").filter("_used = 0")
     number = F.col("_place") + F.col("_shift")
     dest = F.when(number == 0, F.col("filename")).otherwise(F.concat("_stem", F.lit("_"), number.cast("string"), "_ext"))
     return shifts.select(*uploads.columns, dest.alias("dest"))

@@ -38,7 +38,8 @@ def roll_up(messages: DataFrame, titles: DataFrame | None = None) -> DataFrame:
 
 
 def recent(messages: DataFrame, limit: int = 10) -> DataFrame:
-    """The latest messages of each conversation, numbered from 1 in the order of time."""
+    """The latest messages of each conversation, numbered from 1 in the order of time. Spark takes the limit of every task's own
+    rows before it shuffles them, so a long conversation is no long task."""
     back = W.partitionBy("conversation_id").orderBy(F.desc("created_at"), F.desc("seq"))
     kept = messages.withColumn("_back", F.row_number().over(back)).filter(F.col("_back") <= limit)
     return kept.withColumn("n", F.row_number().over(W.partitionBy("conversation_id").orderBy("created_at", "seq"))).drop("_back")

@@ -54,11 +54,12 @@ def record_lookup(asked: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def identifier_lookup(asked: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
-    """asked(query_id, ident) with at most k chunks whose metadata carry the identifier, score 10."""
+    """asked(query_id, ident) with at most k chunks whose metadata carry the identifier, score 10. Chunks are cut to k for each
+    identifier before they meet the questions, in every task before the shuffle too, so a common one is no long list."""
     keyed = asked.select("query_id", "ident", canonical_id(F.col("ident")).alias("key"))
-    both = [chunks.withColumn("key", canonical_id(F.col(c))) for c in ("identifier", "ps_code")]
-    found = keyed.join(union(both).filter("key <> ''").dropDuplicates(["key", "chunk_id"]), "key").drop("key")
-    return top(found, ["query_id", "ident"], ["chunk_id"], k).withColumn("score", F.lit(SCORES["identifier"]))
+    both = F.array_distinct(F.array(*[canonical_id(F.col(c)) for c in ("identifier", "ps_code")]))
+    some = top(chunks.withColumn("key", F.explode(both)).filter("key <> ''"), ["key"], ["chunk_id"], k)
+    return keyed.join(some, "key").drop("key").withColumn("score", F.lit(SCORES["identifier"]))
 
 
 def variants(asked: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.text import clean_text, count_contained, extension, strip
-from ..storage import materialize
+from ..ranges import row_numbers
 
 # Known extensions and their types, size limit, block sizes, keywords.
 EXTENSIONS = {
@@ -86,22 +86,6 @@ def row_text(columns: list[str]) -> Column:
     return F.nullif(F.concat_ws("\n", *cells), F.lit(""))
 
 
-def row_numbers(rows: DataFrame, group: str, order: list[str], number: str) -> DataFrame:
-    """Numbers rows from 1 within each group by the order columns, without gathering a large group in one task.
-
-    Rows are range-partitioned by group and order; a partition numbers its own rows, and the counts of the partitions
-    before it, one row per partition and group, are added.
-    """
-    # written once, so that both uses below see the same partitions
-    dealt = materialize(rows.repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id()), "dealt")
-    own = W.partitionBy("_part", group).orderBy(*order)
-    dealt = dealt.withColumn("_own", F.row_number().over(own))
-    counts = dealt.groupBy("_part", group).agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    base = counts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return dealt.join(base, ["_part", group]).withColumn(number, F.col("_own") + F.col("_base")).drop("_part", "_own", "_base")
-
-
 def table_sections(rows: DataFrame, group: str, order: list[str], columns: list[str], source_type: str = "csv", size: int = ROWS_PER_SECTION) -> DataFrame:
     """Rows of tables -> sections of `size` non-empty rows each, with the table's columns and the range of rows."""
     texts = rows.select(group, *order, row_text(columns).alias("row")).filter("row is not null")
