@@ -96,6 +96,9 @@ def table_sections(rows: DataFrame, group: str, order: list[str], columns: list[
     return blocks.select(group, "section_index", body.alias("text"), F.lit(source_type).alias("source_type"), F.lit(", ".join(columns)).alias("columns"), span.alias("row_range")).filter("text <> ''")
 
 
+csv.field_size_limit((1 << 31) - 1)  # a cell may be any text
+
+
 def csv_blocks(content: bytes, size: int = ROWS_PER_SECTION) -> Iterator[tuple[str, str, str]]:
     """(text, columns, range of rows) of each `size` non-empty rows of a CSV file, which has a header of its own. Values
     keep their spelling; rows with more cells than the header are left out, missing cells are empty."""
