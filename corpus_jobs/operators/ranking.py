@@ -12,10 +12,13 @@ from pyspark.sql import Window as W
 
 from ..functions.routing import words
 from ..functions.text import canonical_id, squeezed
+from ..storage import materialize
 
 # Fixed values of the service.
 KEEP = 5
 THRESHOLD = 0.70
+#: Pairs that a scorer gets at a time.
+PAIRS = 256
 TRUSTED = ["structured_record", "identifier_exact", "identifier_fts"]
 
 
@@ -29,6 +32,41 @@ def pair_scores(rows: DataFrame, scorer: Callable[[list[tuple[str, str]]], list[
     return rows.withColumn("model_score", of(F.col(question), F.col(text)))
 
 
+def scored_by_length(rows: DataFrame, scorer: Callable[[list[tuple[str, str]]], list[float]], question: str = "question", text: str = "text", batch: int = PAIRS) -> DataFrame:
+    """(pair, model_score, length, padded) of each distinct pair of rows. Pairs are dealt over tasks by length and scored in
+    its order, so a model that pads a batch to its longest pair (`padded`) pads little; no pair is scored twice."""
+    q, t = (F.coalesce(F.col(c), F.lit("")) for c in (question, text))
+    pairs = rows.select(pair_key(q, t).alias("pair"), q.alias("q"), t.alias("t")).dropDuplicates(["pair"])
+    pairs = pairs.withColumn("length", (F.length("q") + F.length("t")).cast("long"))
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, batch):
+                part = b.slice(i, batch)
+                scores = scorer(list(zip(part.column(1).to_pylist(), part.column(2).to_pylist())))
+                longest = max(part.column(3).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([float(x) for x in scores], pa.float64()), part.column(3), pa.array([longest] * part.num_rows, pa.int64())], names=["pair", "model_score", "length", "padded"])
+
+    dealt = pairs.repartitionByRange("length", "pair").sortWithinPartitions("length", "pair")
+    return materialize(dealt.mapInArrow(run, "pair string, model_score double, length long, padded long"), "scores")
+
+
+def pair_key(question: Column, text: Column) -> Column:
+    return F.sha2(F.concat(F.length(question).cast("string"), F.lit(":"), question, text), 256)
+
+
+def with_scores(rows: DataFrame, scores: DataFrame, question: str = "question", text: str = "text") -> DataFrame:
+    """rows with model_score from scored_by_length, put back by the pair's key."""
+    key = pair_key(F.coalesce(F.col(question), F.lit("")), F.coalesce(F.col(text), F.lit("")))
+    return rows.withColumn("_pair", key).join(scores.select(F.col("pair").alias("_pair"), "model_score"), "_pair").drop("_pair")
+
+
+def scoring_report(rows: DataFrame, scores: DataFrame) -> DataFrame:
+    """(n_rows, n_pairs, padding): pairs asked and scored, and the share of a model's input that is padding."""
+    made = scores.agg(F.count(F.lit(1)).alias("n_pairs"), (1 - F.try_divide(F.sum("length"), F.sum("padded"))).alias("padding"))
+    return rows.agg(F.count(F.lit(1)).alias("n_rows")).crossJoin(made)  # one row each
+
+
 def is_exact(identifiers: Column, text: Column, identifier: Column, ps_code: Column, origin: Column) -> Column:
     """Whether the chunk carries one of the identifiers, or holds it and comes from an identifier strategy."""
     own, code = (F.upper(F.translate(F.coalesce(c, F.lit("")), " ", "")) for c in (identifier, ps_code))

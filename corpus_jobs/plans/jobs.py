@@ -117,7 +117,8 @@ def answer(questions: DataFrame, chunks: DataFrame, records: DataFrame, scorer:
     rows = retrieval.hybrid(fused.join(full, "chunk_id").join(asks, "query_id"), "search", k)
     rows = retrieval.isolate_images(rows.withColumn("is_image", retrieval.is_image_chunk(F.col("file_type"), F.col("file_name"), F.col("source_type"))))
     rows = rows.withColumn("is_exact", ranking.is_exact(F.col("identifiers"), F.col("text"), F.col("identifier"), F.col("ps_code"), F.col("origin")))
-    rows = materialize(ranking.pair_scores(rows, scorer, "search"), "scored")
+    rows = materialize(rows, "merged")
+    rows = materialize(ranking.with_scores(rows, ranking.scored_by_length(rows, scorer, "search"), "search"), "scored")
     top = ranking.rerank(rows).withColumn("has_id", F.coalesce(retrieval.has_identifier(F.col("identifiers"), F.col("text"), F.coalesce("identifier", F.lit("")), F.coalesce("ps_code", F.lit(""))), F.lit(False)))
     top = materialize(top, "reranked")
     conf = ranking.confidence(plans.select("query_id", "question", "intent"), top)

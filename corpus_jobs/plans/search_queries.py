@@ -348,6 +348,14 @@ def x3_pair_scorer(spark, sf):
     return ranking.pair_scores(rows, lambda pairs: [len(t) / 10 for _, t in pairs]).select("p_partkey", F.round("model_score", 6).alias("model_score"))
 
 
+@query("SELECT conv_id, turn, round((length(role) + 2 * length(text)) / 10.0, 6) AS model_score FROM conversations")
+def k10_batched_scores(spark, sf):
+    """Pairs scored in batches of like length, each distinct one once."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    scores = ranking.scored_by_length(rows, lambda pairs: [(len(q) + 2 * len(t)) / 10 for q, t in pairs], "role")
+    return ranking.with_scores(rows, scores, "role").select("conv_id", "turn", F.round("model_score", 6).alias("model_score"))
+
+
 def minimum_slice(spark, sf):
     """Documents -> chunks -> stemmed postings -> phrase search with spans of the benchmark -> source cards."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.lit(0).alias("section_index"), "text", F.col("source").alias("file_name"))

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, records, routing, text
 from ..operators import chunking, marks
-from ..sources import files
+from ..sources import csv_files, files
+from ..storage import new_path
 from .inputs import frame, table
 from .registry import query
 from .routing_sql import PLANNED
@@ -238,6 +239,18 @@ def s4_csv_source(spark, sf):
     return found.select(F.col("file_path").alias("f"), "section_index", "text", "columns", "row_range")
 
 
+@query("""WITH r AS (SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn, 'key: ' || CAST(p_partkey AS STRING) || chr(10) || 'name: ' || p_name || chr(10) || 'note: size "' || CAST(p_size AS STRING) || '",' || chr(10) || p_type AS t FROM part)
+    SELECT substr(p_brand, 7) AS brand, CAST((rn - 1) // 20 AS INT) AS section_index, string_agg(t, chr(10) || chr(10) ORDER BY rn) AS text, 'key, name, note' AS columns, CAST(min(rn) AS STRING) || '-' || CAST(max(rn) AS STRING) AS row_range FROM r GROUP BY p_brand, (rn - 1) // 20""")
+def s4_split_csv(spark, sf):
+    """A file for each brand, with quoted line feeds, commas and quotes, written by Spark and read in splits."""
+    note = F.concat(F.lit('size "'), F.col("p_size").cast("string"), F.lit('",\n'), "p_type")
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), note.alias("note"), F.substring("p_brand", 7, 9).alias("brand"))
+    folder = new_path(spark, "csv")
+    rows.repartition("brand").sortWithinPartitions("brand", "key").write.partitionBy("brand").csv(folder, header=True, quote='"', escape='"', lineSep="\n")
+    found = csv_files.sections(spark, f"{folder}/*/*.csv", piece=1 << 16)
+    return found.select(F.regexp_extract("file_path", "brand=([0-9]+)", 1).alias("brand"), "section_index", "text", "columns", "row_range")
+
+
 @query("""SELECT event_id, 0 AS section_index, 'event.type: ' || event_type || chr(10) || 'list[0]: 1' || chr(10) || 'list[1].user: ' || CAST(user_id AS STRING) || chr(10) || 'none: None' AS text FROM events""")
 def s5_json_source(spark, sf):
     body = F.concat(F.lit('{"event": {"type": "'), "event_type", F.lit('", "empty": {}}, "list": [1, {"user": '), F.col("user_id").cast("string"), F.lit('}], "none": null}'))

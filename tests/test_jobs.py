@@ -69,3 +69,16 @@ def test_answers(spark, tables):
     assert cards[1, "plan.pdf"]["page"] == 1 and cards[5, "plan.pdf"]["pages"][-1] == 2
     # an exact identifier that is found takes no keyword rows
     assert out["candidates"].filter("query_id = 5 and list_no > 2").count() == 0
+
+
+def test_pairs_are_scored_once_and_by_length(spark):
+    from corpus_jobs.operators import ranking
+
+    rows = spark.createDataFrame([(i, f"q{i % 2}", "word " * (1 + i * 7 % 400)) for i in range(1600)] + [(1600, None, "x"), (1601, "", "x"), (1602, "x", None)], "id long, question string, text string").repartition(5)
+    scores = ranking.scored_by_length(rows, lambda pairs: [len(q) * 1000 + len(t) for q, t in pairs], batch=32)
+    got = {r["id"]: r["model_score"] for r in ranking.with_scores(rows, scores).collect()}
+    assert got == {r["id"]: len(r["question"] or "") * 1000.0 + len(r["text"] or "") for r in rows.collect()}
+    report = ranking.scoring_report(rows, scores).first()
+    distinct = len({(r["question"] or "", r["text"] or "") for r in rows.collect()})
+    assert (report["n_rows"], report["n_pairs"]) == (1603, distinct) and report["padding"] < 0.1
+    assert ranking.with_scores(rows.limit(0), ranking.scored_by_length(rows.limit(0), len)).count() == 0
