@@ -17,23 +17,34 @@ LABELS = {
     "sponsoring_ministry": ["sponsoring ministry", "organization", "sponsor", "ministry", "funded by"],
 }
 VALUE_END = r"(?=\n|\||\b(?:Track|Theme|Title|Sponsor|Ministry|PS Code|Category|Description|Problem Statement)[:|]|$)"
+STATEMENT_LABELS = ["problem statement", "description", "details"]
 STATEMENT = r"(?isU)\b(?:problem statement|description|details)\s*[:|]\s*(.+)"
 CHUNK_LABELS = [("PS CODE", "ps_code"), ("TITLE", "problem_statement_title"), ("TRACK", "track"), ("THEME", "theme"), ("SPONSOR", "sponsoring_ministry"), ("PROBLEM STATEMENT", "problem_statement")]
 
 
-def field_value(text: Column, labels: list[str]) -> Column:
-    """The value after the first label that has one; empty if none has."""
-    found = []
+def folded(text: Column) -> Column:
+    """Text in which a plain search finds what the case-blind patterns may: with the letters that fold to s, i and k."""
+    return F.lower(F.translate(text, "\u017f\u0131\u0130\u212a", "siik"))
+
+
+def field_value(text: Column, labels: list[str], plain: Column | None = None) -> Column:
+    """The value after the first label that has one; empty if none has. A label's pattern is tried only where the text,
+    folded once for all labels (`plain`), holds it."""
+    found, plain = [], folded(text) if plain is None else plain
     for label in labels:
-        value = F.regexp_extract(text, rf"(?isU)\b{label}\s*[:|]\s*(.+?){VALUE_END}", 1)
+        value = F.when(plain.contains(label), F.regexp_extract(text, rf"(?isU)\b{label}\s*[:|]\s*(.+?){VALUE_END}", 1)).otherwise(F.lit(""))
         found.append(strip(F.substring_index(F.substring_index(strip(value), "|", 1), "\n", 1)))
     # an array, so that each value is worked out once
     return F.coalesce(F.get(F.filter(F.array(*found), lambda v: v != ""), F.lit(0)), F.lit(""))
 
 
-def problem_text(block: Column) -> Column:
+def problem_text(block: Column, plain: Column | None = None) -> Column:
     """What follows the statement's label, else the first 1000 characters."""
-    return F.when(block.rlike(STATEMENT), strip(F.regexp_extract(block, STATEMENT, 1))).otherwise(F.substring(block, 1, 1000))
+    plain = folded(block) if plain is None else plain
+    some = plain.contains(STATEMENT_LABELS[0])
+    for label in STATEMENT_LABELS[1:]:
+        some = some | plain.contains(label)
+    return F.when(some & block.rlike(STATEMENT), strip(F.regexp_extract(block, STATEMENT, 1))).otherwise(F.substring(block, 1, 1000))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -43,7 +54,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     # blocks are made before the rows are, so that no later expression repeats the work
     made = F.transform(F.filter(F.split("text", f"(?={CODE})"), lambda p: p.rlike(f"^{CODE}")), strip)
-    blocks = pages.select("document_id", F.col("file_name").alias("source_document"), "page_number", F.posexplode(made).alias("n", "block"))
+    both = F.transform(made, lambda b: F.struct(b.alias("block"), folded(b).alias("plain")))
+    blocks = pages.select("document_id", F.col("file_name").alias("source_document"), "page_number", F.posexplode(both).alias("n", "b")).select("*", "b.*").drop("b")
     code = F.concat(F.lit("SIH"), F.regexp_replace(F.regexp_extract("block", f"^{CODE}", 0), r"\D", ""))
     rows = blocks.select(
         F.concat_ws("_", "document_id", code, F.col("page_number").cast("string")).alias("id"),
@@ -51,8 +63,8 @@ def extract(pages: DataFrame) -> DataFrame:
         F.lit("sih_problem_statement").alias("record_type"),
         code.alias("identifier"),
         code.alias("ps_code"),
-        *[field_value(F.col("block"), labels).alias(name) for name, labels in LABELS.items()],
-        problem_text(F.col("block")).alias("problem_statement"),
+        *[field_value(F.col("block"), labels, F.col("plain")).alias(name) for name, labels in LABELS.items()],
+        problem_text(F.col("block"), F.col("plain")).alias("problem_statement"),
         "source_document",
         "page_number",
         F.substring("block", 1, 1500).alias("raw_text"),

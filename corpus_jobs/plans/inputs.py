@@ -54,7 +54,7 @@ SQL = {
         FROM {part}""",
     "chunks": """
         SELECT 'c' || CAST(p_partkey AS STRING) AS chunk_id, 'd' || CAST(p_size AS STRING) AS document_id, p_brand AS file_name, p_size AS page_number,
-               CASE WHEN p_partkey % 2 = 0 THEN 'About sih ' || CAST(10000 + p_partkey % 89999 AS STRING) || ' ' || p_name ELSE p_name END AS text,
+               CASE WHEN p_partkey % 6 = 0 THEN 'About sih: ' || CAST(10000 + p_partkey % 89999 AS STRING) || ' ' || p_name WHEN p_partkey % 2 = 0 THEN 'About sih ' || CAST(10000 + p_partkey % 89999 AS STRING) || ' ' || p_name ELSE p_name END AS text,
                CASE WHEN p_partkey % 4 = 1 THEN 'SIH' || CAST(10000 + p_partkey % 89999 AS STRING) ELSE '' END AS identifier, '' AS ps_code,
                CASE WHEN p_size % 2 = 0 THEN 'png' ELSE 'pdf' END AS file_type, CASE WHEN p_partkey % 10 = 0 THEN 'image' ELSE 'pdf' END AS source_type
         FROM {part}""",
