@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import contains_any, extension
+from ..functions.text import contains_any
 from ..ranges import row_numbers, running
 from .retrieval import first_of
 

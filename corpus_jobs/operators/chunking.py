@@ -9,8 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
+
+from ..storage import materialize
 
 SIZE, OVERLAP = 800, 120
+#: Characters from which a section is dealt in parts, and of a part.
+PART = 1 << 20
 
 
 def _packed(parts: Iterator[str], glue: str, size: int, overlap: int) -> Iterator[str]:
@@ -76,6 +81,42 @@ def chunk_sections(sections: DataFrame, size: int = SIZE, overlap: int = OVERLAP
     return rows.withColumn("chunk_id", F.concat_ws("_", "document_id", F.col("section_index").cast("string"), F.col("chunk_index").cast("string")))
 
 
+def parts(text: str | None, part: int, size: int = SIZE) -> list[str]:
+    """A text in parts of at least `part` characters, cut behind paragraphs longer than `size`. Nothing is handed on there, so
+    the chunks of the parts, one after the other, are those of the text."""
+    out, held, n = [], [], 0
+    for para in (text or "").split("\n\n"):
+        held.append(para)
+        n += len(para) + 2
+        if n >= part and len(para.strip()) > size:
+            out.append("\n\n".join(held))
+            held, n = [], 0
+    return out + ["\n\n".join(held)] if held else out
+
+
+def chunk_long_sections(sections: DataFrame, size: int = SIZE, overlap: int = OVERLAP, part: int = PART) -> DataFrame:
+    """chunk_sections for tables in which some sections are very long: those are dealt over tasks in parts, and numbered by the
+    counts of the parts before. Only keys, part and chunks of long sections are shuffled; a section without a paragraph
+    longer than `size` is one part."""
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def of(text: pa.Array) -> pa.Array:
+        return pa.array([parts(t.as_py(), part, size) for t in text], type=pa.list_(pa.string()))
+
+    keys = ["document_id", "section_index"]
+    short = chunk_sections(sections.filter(F.coalesce(F.length("text"), F.lit(0)) <= part), size, overlap)
+    long = sections.filter(F.length("text") > part)
+    dealt = long.select(*keys, F.posexplode(of("text")).alias("part", "t")).repartition(*keys, "part")
+    done = materialize(dealt.select(*keys, "part", chunks_of(size, overlap)("t").alias("c")), "parts")
+    before = W.partitionBy(*keys).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    base = done.select(*keys, "part", F.coalesce(F.sum(F.size("c")).over(before), F.lit(0)).cast("int").alias("base"))  # a row for each part
+    rows = done.join(base, [*keys, "part"]).select(*keys, "base", F.posexplode("c").alias("i", "text"))
+    rest = [c for c in sections.columns if c not in (*keys, "text")]
+    rows = rows.select(*keys, (F.col("base") + F.col("i")).alias("chunk_index"), "text").join(long.select(*keys, *rest), keys)
+    rows = rows.withColumn("chunk_id", F.concat_ws("_", "document_id", F.col("section_index").cast("string"), F.col("chunk_index").cast("string")))
+    return short.unionByName(rows.select(short.columns))
+
+
 def simple_metadata(df: DataFrame, columns: list[str]) -> DataFrame:
     """Metadata columns without nulls and nesting: text and nested values become text, null becomes empty text."""
     kinds = dict(df.dtypes)

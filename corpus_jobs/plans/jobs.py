@@ -59,7 +59,7 @@ def ingest(listing: DataFrame, known: DataFrame, parsers: dict[str, Callable] |
     full = full.drop("_filename", "_file_type", "_dataset_type")
     pages = full.filter("file_type = 'pdf' and page_number is not null").select("document_id", "file_name", "page_number", "text")
     records = materialize(rec.extract(pages), "records")
-    chunks = chunking.chunk_sections(full.drop("chunk_index"))
+    chunks = chunking.chunk_long_sections(full.drop("chunk_index"))
     own = with_columns_of(rec.record_chunks(records), _META).select("chunk_id", "document_id", "text", *[n for n, _ in _META])
     chunks = materialize(chunks.select("chunk_id", "document_id", "text", *[n for n, _ in _META]).unionByName(own), "chunks")
     n = chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))

@@ -86,3 +86,21 @@ def test_a_common_identifier_is_cut_before_the_join(spark):
     got = retrieval.identifier_lookup(asked, chunks, 3)
     assert sorted((r["query_id"], r["chunk_id"]) for r in got.collect()) == sorted([(q, f"c{i:03}") for q in range(50) for i in range(3)] + [(99, "d"), (99, "e")])
     assert {r["rank"] for r in got.collect()} == {1, 2, 3}
+
+
+def test_a_long_section_is_chunked_in_parts(spark):
+    from corpus_jobs.operators import chunking
+
+    rng = random.Random(9)
+    words = lambda n: " ".join(rng.choice(["one", "two.", "three"]) for _ in range(n))
+    text = lambda n: "\n\n".join(words(rng.choice([0, 1, 20, 150, 500])) + rng.choice(["", " ", "\n"]) for _ in range(n))
+    data = [("d1", 0, text(400), "f"), ("d1", 1, text(3), "f"), ("d2", 0, None, "g"), ("d2", 1, "", "g"), ("d3", 0, "short " * 4000, "h"), ("d3", 1, words(40_000), "h")]
+    sections = spark.createDataFrame(data, "document_id string, section_index int, text string, file_name string")
+    assert len(chunking.parts(data[0][2], 5000)) > 10
+    plain = sorted(map(tuple, chunking.chunk_sections(sections).collect()), key=str)
+    got = chunking.chunk_long_sections(sections, part=5000)
+    assert got.columns == chunking.chunk_sections(sections).columns
+    assert sorted(map(tuple, got.collect()), key=str) == plain
+    for _, _, t, _ in data:
+        for part in (1, 500, 10**6):
+            assert [c for p in chunking.parts(t, part) for c in chunking.chunk(p)] == chunking.chunk(t)
