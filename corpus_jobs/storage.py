@@ -43,6 +43,11 @@ def _delete(spark: SparkSession, paths: list[str]) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes one table that nothing reads any more."""
+    _delete(spark, [path])
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes at its end what this thread has written to the shared folder within it; results must be stored elsewhere by then."""
