@@ -81,3 +81,16 @@ def test_pipeline_is_brute_force(spark):
     n = {d: len(x) for d, x in zip(rows, brute.token_ids(rows.values(), packing.END_ID))}
     assert {p["doc_id"]: p["doc_tokens"] for p in pieces} == n
     assert sum(p["length"] for p in pieces) == sum(n.values())
+
+
+def test_pipeline_leaves_its_last_table_only(spark, tmp_path):
+    import os
+
+    from corpus_jobs.storage import shared_dir
+
+    at = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(at)) if os.path.isdir(at) else set()
+    out = corpus_pipeline.run(spark, SMALL)
+    assert out.count() > 0
+    new = set(os.listdir(at)) - before
+    assert len(new) == 1 and all(x.startswith("stage-pack") for x in new)
