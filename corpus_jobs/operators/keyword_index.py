@@ -5,19 +5,20 @@ Chunks are dealt into blocks of about BLOCK. A term is frequent if it has at lea
 are at most BLOCK / OFTEN times as many frequent terms as a chunk has distinct terms on average, whatever the table, so
 that set may be broadcast. Five tables, all joined by equality:
 
-    rare     term, block, chunk_id, n_tokens, tf, part, places     of the other terms; bucketed by term
+    rare     term, block, chunk_id, n_tokens, tf, places     of the other terms; bucketed by term
     often    the same of frequent terms; bucketed by term and block, so that no task gets all of a common word
     maxima   term, block, best     the largest part of a frequent term in a block; bucketed alike
     terms    term, df, frequent, best
     totals   n_rows, mean_len     one row
 
-part is a posting's BM25 contribution before the term's idf. places are column * 2**32 + position.
+A part is a posting's BM25 contribution before the term's idf. places are column * 2**32 + position.
 """
 
 from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,7 +38,7 @@ COLUMN = 1 << 32
 #: Sums of the same parts in another order differ by less; bounds are taken that much higher.
 SLACK = 1e-6
 
-TABLES = ("rare", "often", "maxima", "terms", "totals")
+TABLES = ("rare", "often", "maxima", "terms")
 
 
 @dataclass(frozen=True)
@@ -46,51 +47,64 @@ class Index:
     often: DataFrame
     maxima: DataFrame
     terms: DataFrame
-    totals: DataFrame
+    n_rows: int
+    mean_len: float
     stemmed: bool
 
-
-_ENTRIES = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("places", T.ArrayType(T.LongType()))]))
-
-
-def _entries(stemmed: bool):
-    """The terms of a row's columns with their places, so that postings need no shuffle to be gathered."""
-    @F.arrow_udf(_ENTRIES)
-    def entries(*columns: pa.Array) -> pa.Array:
-        terms, places, ends, rows = [], [], [0], [0]
-        words = [stem_lists(token_lists(c)) if stemmed else token_lists(c) for c in columns]
-        for values in zip(*words):
-            mine: dict[str, list[int]] = {}
-            for col, toks in enumerate(values):
-                for pos, t in enumerate(toks):
-                    mine.setdefault(t, []).append(col * COLUMN + pos)
-            for t, at in mine.items():
-                terms.append(t)
-                places += at
+    def part(self) -> Column:
+        return contribution(F.col("tf"), F.col("n_tokens"), self.mean_len)
+
+    def idf(self) -> Column:
+        return F.greatest(F.lit(LEAST_IDF), F.ln((self.n_rows - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+
+
+def contribution(tf: Column, n_tokens: Column, mean_len: float) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * n_tokens / F.lit(mean_len)))
+
+
+def _postings(batches, stemmed: bool):
+    """(chunk_id, n_tokens, term, places): a row for each term of a chunk, gathered without a shuffle, and one without a term
+    for the chunk itself."""
+    for b in batches:
+        for low in range(0, b.num_rows, 1000):
+            part = b.slice(low, 1000)
+            words = [token_lists(part.column(c)) for c in range(1, part.num_columns)]
+            words = [stem_lists(w) for w in words] if stemmed else words
+            rows, lengths, terms, places, ends = [], [], [], [], [0]
+            for i, values in enumerate(zip(*words)):
+                mine: dict[str, list[int]] = {}
+                for col, toks in enumerate(values):
+                    for pos, t in enumerate(toks, col * COLUMN):
+                        if t in mine:
+                            mine[t].append(pos)
+                        else:
+                            mine[t] = [pos]
+                terms.append(None)
                 ends.append(len(places))
-            rows.append(len(terms))
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int64()))
-        return pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.StructArray.from_arrays([pa.array(terms, pa.string()), lists], names=["term", "places"]))
-
-    return entries
+                for t, at in mine.items():
+                    terms.append(t)
+                    places += at
+                    ends.append(len(places))
+                rows += [i] * (len(mine) + 1)
+                lengths += [sum(map(len, values))] * (len(mine) + 1)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int32())), pa.array(lengths, pa.int32()), pa.array(terms, pa.string()), lists], names=["chunk_id", "n_tokens", "term", "places"])
 
 
 def build(chunks: DataFrame, name: str | None = None, stemmed: bool = True, columns: tuple[str, ...] = COLUMNS, block: int = BLOCK) -> Index:
     """Writes the index of chunks(chunk_id, *columns) as tables of the session's catalogue, `name`_rare and so on, in the shared
     folder. Chunk ids are unique and not null; the texts of columns may be null or empty."""
     spark, name = chunks.sparkSession, name or f"index_{uuid.uuid4().hex}"
-    found = chunks.select("chunk_id", _entries(stemmed)(*[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in columns]).alias("e"))
-    n_tokens = F.aggregate("e", F.lit(0), lambda n, x: n + F.size(x["places"]))
-    rows = materialize(found.withColumn("n_tokens", n_tokens), "entries")
-    totals = materialize(rows.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.avg("n_tokens"), F.lit(1.0)).alias("mean_len"), F.coalesce(F.sum(F.size("e")), F.lit(0)).alias("n_postings")), "totals")
+    texts = chunks.select("chunk_id", *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(f"_{i}") for i, c in enumerate(columns)])
+    kind = T.StructType([chunks.schema["chunk_id"], T.StructField("n_tokens", T.IntegerType()), T.StructField("term", T.StringType()), T.StructField("places", T.ArrayType(T.LongType()))])
+    rows = materialize(texts.mapInArrow(partial(_postings, stemmed=stemmed), kind), "postings")
+    totals = materialize(rows.filter("term is null").agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.avg("n_tokens"), F.lit(1.0)).alias("mean_len")), "totals")
     known = totals.first()
     blocks = max(1, -(-known["n_rows"] // block))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), known["n_postings"] // BUCKET_ROWS)
-    posts = rows.select(F.explode("e").alias("x"), F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).alias("block"), "chunk_id", "n_tokens")
-    tf = F.size("x.places")
-    part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n_tokens") / F.lit(known["mean_len"])))
-    posts = posts.select("x.term", "block", "chunk_id", "n_tokens", tf.alias("tf"), part.alias("part"), "x.places")
-    terms = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("part").alias("best"))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (rows.count() - known["n_rows"]) // BUCKET_ROWS)
+    part = contribution(F.col("tf"), F.col("n_tokens"), known["mean_len"])
+    posts = rows.filter("term is not null").select("term", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).alias("block"), "chunk_id", "n_tokens", F.size("places").alias("tf"), "places")
+    terms = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max(part).alias("best"))
     terms = materialize(terms.withColumn("frequent", F.col("df") >= OFTEN * blocks), "terms")
     frequent = F.broadcast(terms.filter("frequent").select("term"))  # bounded, see above
 
@@ -101,7 +115,7 @@ def build(chunks: DataFrame, name: str | None = None, stemmed: bool = True, colu
 
     stored(posts.join(frequent, "term", "left_anti"), "rare", "term")
     often = stored(posts.join(frequent, "term", "left_semi"), "often", "term", "block")
-    stored(often.groupBy("term", "block").agg(F.max("part").alias("best")), "maxima", "term", "block")
+    stored(often.groupBy("term", "block").agg(F.max(part).alias("best")), "maxima", "term", "block")
     stored(terms, "terms", "term")
     totals.write.option("path", new_path(spark, "totals")).saveAsTable(f"{name}_totals")
     return opened(spark, name, stemmed)
@@ -109,11 +123,8 @@ def build(chunks: DataFrame, name: str | None = None, stemmed: bool = True, colu
 
 def opened(spark: SparkSession, name: str, stemmed: bool = True) -> Index:
     """The index that was built under a name, with the same stemming."""
-    return Index(*[spark.table(f"{name}_{t}") for t in TABLES], stemmed)
-
-
-def idf(df: Column, n_rows: Column) -> Column:
-    return F.greatest(F.lit(LEAST_IDF), F.ln((n_rows - df + 0.5) / (df + 0.5)))
+    totals = spark.table(f"{name}_totals").first()
+    return Index(*[spark.table(f"{name}_{t}") for t in TABLES], totals["n_rows"], totals["mean_len"], stemmed)
 
 
 def phrase_search(questions: DataFrame, index: Index, k: int = 10) -> DataFrame:
@@ -154,9 +165,8 @@ def phrase_search(questions: DataFrame, index: Index, k: int = 10) -> DataFrame:
     found = one.unionByName(pairs).unionByName(holding(two, words.filter("no > 2")))
     hits = materialize(found.groupBy("query_id", "chunk_id", "n_tokens").agg(F.count(F.lit(1)).alias("tf")), "hits")
     df = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("df"))
-    scored = hits.join(df, "query_id").join(F.broadcast(index.totals))  # one row
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.col("mean_len")))
-    return best_rows(scored.select("query_id", "chunk_id", (-idf(F.col("df"), F.col("n_rows")) * part).alias("rank")), k)
+    scored = hits.join(df, "query_id").select("query_id", "chunk_id", (-index.idf() * index.part()).alias("rank"))
+    return best_rows(scored, k)
 
 
 def _kth(scores: DataFrame, k: int) -> DataFrame:
@@ -177,16 +187,15 @@ class Reads:
 
 def _any_term(questions: DataFrame, index: Index, k: int) -> Reads:
     asked = questions.select("query_id", F.explode(F.array_distinct(analysed(F.col("question"), index.stemmed))).alias("term"))
-    asked = asked.join(index.terms, "term").join(F.broadcast(index.totals.select("n_rows")))  # one row
-    asked = materialize(asked.select("query_id", "term", "frequent", "best", idf(F.col("df"), F.col("n_rows")).alias("idf")), "asked")
+    asked = materialize(asked.join(index.terms, "term").select("query_id", "term", "frequent", "best", index.idf().alias("idf")), "asked")
     often = asked.filter("frequent").select("query_id", "term", "idf")
     # chunks with a rare term, and the score that k of them reach without the frequent ones
-    rare = asked.filter("not frequent").select("query_id", "term", "idf").join(index.rare.select("term", "block", "chunk_id", "part"), "term")
-    partial = materialize(rare.groupBy("query_id", "block", "chunk_id").agg(F.sum(F.col("idf") * F.col("part")).alias("score")), "partial")
+    rare = asked.filter("not frequent").select("query_id", "term", "idf").join(index.rare.select("term", "block", "chunk_id", index.part().alias("part")), "term")
+    rare_scores = materialize(rare.groupBy("query_id", "block", "chunk_id").agg(F.sum(F.col("idf") * F.col("part")).alias("score")), "partial")
     loose = asked.filter("frequent").groupBy("query_id").agg(F.sum(F.col("idf") * F.col("best")).alias("loose"))
-    sure = loose.join(_kth(partial, k), "query_id").filter(F.col("least") > F.col("loose") + SLACK).select("query_id", "least", "loose")
+    sure = loose.join(_kth(rare_scores, k), "query_id").filter(F.col("least") > F.col("loose") + SLACK).select("query_id", "least", "loose")
     sure = materialize(sure, "sure")  # no chunk without a rare term can be among the best of these
-    most = partial.groupBy("query_id", "block").agg(F.max("score").alias("bound"))
+    most = rare_scores.groupBy("query_id", "block").agg(F.max("score").alias("bound"))
     near = most.join(sure, "query_id").filter(F.col("bound") + F.col("loose") + SLACK >= F.col("least")).select("query_id", "block")
     maxima = index.maxima.select("term", "block", "best")
     wide = often.join(sure, "query_id", "left_anti").join(maxima, "term")
@@ -199,8 +208,8 @@ def _any_term(questions: DataFrame, index: Index, k: int) -> Reads:
 
     def scored(pairs: DataFrame) -> DataFrame:
         """Whole scores of all chunks of these blocks that hold any asked term."""
-        more = pairs.join(often, "query_id").join(index.often.select("term", "block", "chunk_id", "part"), ["term", "block"])
-        parts = partial.join(pairs, ["query_id", "block"], "left_semi").select("query_id", "chunk_id", "score")
+        more = pairs.join(often, "query_id").join(index.often.select("term", "block", "chunk_id", index.part().alias("part")), ["term", "block"])
+        parts = rare_scores.join(pairs, ["query_id", "block"], "left_semi").select("query_id", "chunk_id", "score")
         both = parts.unionByName(more.select("query_id", "chunk_id", (F.col("idf") * F.col("part")).alias("score")))
         return both.groupBy("query_id", "chunk_id").agg(F.sum("score").alias("score"))
 
