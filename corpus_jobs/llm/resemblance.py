@@ -1,18 +1,24 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, found by minimum hashing and verified exactly.
+"""Near-duplicates by SimHash and multi-index hashing, verified by the exact Jaccard similarity of word shingles.
 
-A text is the set of its five-word shingles. A band is a few minima of the set under seeded hash functions; two sets of
-similarity s share a band with probability s^ROWS, so of pairs at 0.8 fewer than one in two million shares none of BANDS,
-and fewer still the more alike they are. Sets that share a band are compared in full: the similarity of every link is exact.
+A text is the set of its five-word shingles. Sets of similarity 0.8 differ in about 15 of 100 SimHash bits, too many for
+operator 1's 64 bits and radius, so fingerprints here are longer: they are cut into segments of at least 16 bits, and under
+each a set enters a table with the ball of its doubtful bits, those with the closest votes, where near sets differ first.
+Those that meet under a value are compared by 128 other bits of the fingerprint, and those within RADIUS by their sets: the similarity of
+every link is exact. A pair at 0.8 meets nowhere about once in a million (a few millions for some sizes of small sets), by
+calculation, and more alike pairs far more seldom.
 
-Groups never expand into pairs, and no pair is given up for that. Equal sets are one node. Under each band, members are
+Groups never expand into pairs, and no pair is given up for that. Equal sets are one node. Nodes under a value that near
+fingerprints connect are a family, and families of the same members are one. Under each family, members are
 first compared with a centre only, and these links give provisional groups; two members of one group need no further
-link. Bands that still hold several groups are looked at again: the members outside the largest group are compared with
-all of other groups, in the task that reads the band. Where there are over CROWD members, they enter more and longer bands
-first (FINE_BANDS of FINE_ROWS minima), which similar pairs share as surely and others far more seldom.
+link. Families that still hold several groups are looked at again: the members outside the largest group are compared with
+all of other groups, in the task that reads the family. Where there are over CROWD members, they enter more and longer
+segments first, which similar pairs share as surely and others far more seldom.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -20,24 +26,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, materialize, release, sliced
+from .common import as_bytes, materialize, release, sliced, with_last
 from .simhash import connected
 
 SHINGLE_WORDS = 5
 #: Least similarity of a link, as a fraction of whole numbers.
 OVER, UNDER = 4, 5
-BANDS, ROWS = 80, 8
-#: A band with more members of several groups is split by longer bands; this bounds work, not results.
+#: Bits of a segment, at least, and segments of that length. A bit more makes similar sets share a segment 1.17 times more seldom.
+BITS, SEGMENTS, MORE = 16, 34, 1.17
+#: Bits of a segment with the closest votes: a set enters under all values that changes of these make.
+DOUBTFUL = 2
+#: Bits that are compared, and how many of them may differ; about 19 do at 0.8, and 64 of unlike sets.
+COMPARED, RADIUS = 128, 42
+#: A family with more members of several groups is split by longer segments; this bounds work, not results.
 CROWD = 1000
 #: Members outside the largest group that a task holds at once.
 HELD = 200
-FINE_BANDS, FINE_ROWS = 600, 16
-
-_seeds = np.random.default_rng(42)
-_TIMES, _PLUS = (_seeds.integers(1 << 32, size=max(BANDS * ROWS, FINE_BANDS * FINE_ROWS), dtype=np.uint32) for _ in range(2))
-_TIMES |= np.uint32(1)
+FINE_BITS, FINE_SEGMENTS, FINE_DOUBTFUL = 28, 104, 3
+#: Nodes of one value that a task compares by their distances; of more, all are one family.
+WIDE = 20000
 
-PRINT = T.StructType([T.StructField("node", T.BinaryType(), False), T.StructField("n", T.LongType(), False), T.StructField("bands", T.ArrayType(T.LongType(), False), False)])
+PRINTS = [f"f{i}" for i in range(COMPARED // 64)]
+PRINT = T.StructType([T.StructField(f, T.LongType(), False) for f in PRINTS] + [T.StructField("segments", T.ArrayType(T.LongType(), False), False)])
+NODE = T.StructType([T.StructField("node", T.BinaryType(), False), T.StructField("n", T.LongType(), False), *PRINT])
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -56,28 +67,159 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.array([digest(whole[a : b - 1], 42) for a, b in zip(starts, starts[SHINGLE_WORDS:])], dtype="<u8"))
 
 
-def bands(found: np.ndarray, count: int = BANDS, rows: int = ROWS) -> list[int]:
-    """A signed 64-bit key for each band of a set; the keys of different bands differ by their number."""
-    if not len(found):
-        return []
-    least = np.full(count * rows, np.iinfo(np.uint32).max, dtype=np.uint32)
-    times, plus, folded = _TIMES[: len(least), None], _PLUS[: len(least), None], (found >> np.uint64(32)).astype(np.uint32)
-    for i in range(0, len(folded), 1 << 8):  # stays in the cache
-        np.minimum(least, (times * folded[None, i : i + (1 << 8)] + plus).min(1), out=least)
-    minima = least.astype("<u4").reshape(count, rows)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(minima)], dtype="<u8").view("<i8").tolist()
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit numbers as other ones that look random."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-@F.arrow_udf(PRINT)
-def prints_of(text: pa.Array) -> pa.Array:
-    nodes, sizes, keys = [], [], []
-    for t in text:
-        found = shingles(t.as_py())
-        nodes.append(xxhash.xxh3_128_digest(found.tobytes()))
-        sizes.append(len(found))
-        keys.append(bands(found))
-    release()
-    return pa.StructArray.from_arrays([pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=PRINT.names)
+def fingerprint(found: np.ndarray, bits: int = BITS, count: int = SEGMENTS, doubtful: int = DOUBTFUL) -> tuple[list[int], list[int]]:
+    """(The compared bits as signed 64-bit numbers, the segments) of a set's SimHash.
+
+    A segment is its value, with the places of its doubtful bits from bit 32 on, five bits each. Votes of small sets are
+    close, so they have more segments; under four shingles only equal sets are similar, and there are none.
+    """
+    if len(found) < OVER:
+        return [0] * (COMPARED // 64), []
+    count *= 6 if len(found) < 8 else 3 if len(found) < 40 else 1
+    steps = np.arange(1, -(-(COMPARED + bits * count) // 64) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    votes = np.zeros(64 * len(steps), dtype=np.int64)
+    for i in range(0, len(found), 255):  # a byte counts as far
+        h = _mixed(found[i : i + 255, None] + steps)
+        votes += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    votes = 2 * votes - len(found)
+    compared = np.packbits(votes[:COMPARED] > 0, bitorder="little").view("<i8").tolist()
+    votes = votes[COMPARED : COMPARED + bits * count].reshape(count, bits)
+    values = (votes > 0) @ (1 << np.arange(bits))
+    places = np.argsort(np.abs(votes), axis=1, kind="stable")[:, :doubtful]
+    return compared, (values | (places << (32 + 5 * np.arange(doubtful))).sum(1)).tolist()
+
+
+def _columns(made: list[tuple[list[int], list[int]]]) -> list[pa.Array]:
+    return [*(pa.array([m[0][i] for m in made], pa.int64()) for i in range(len(PRINTS))), pa.array([m[1] for m in made], pa.list_(pa.int64()))]
+
+
+def prints_of(text: Column, bits: int) -> Column:
+    """The node of a text, the size of its set and the set's fingerprint."""
+    count = math.ceil(SEGMENTS * MORE ** (bits - BITS))
+
+    @F.arrow_udf(NODE)
+    def of(text: pa.Array) -> pa.Array:
+        nodes, sizes, made = [], [], []
+        for t in text:
+            found = shingles(t.as_py())
+            nodes.append(xxhash.xxh3_128_digest(found.tobytes()))
+            sizes.append(len(found))
+            made.append(fingerprint(found, bits, count, DOUBTFUL))
+        release()
+        return pa.StructArray.from_arrays([pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), *_columns(made)], names=NODE.names)
+
+    return of(text)
+
+
+def finer(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """nodes(node, n) with the fingerprints of long segments."""
+
+    @F.arrow_udf(PRINT)
+    def of(s: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays(_columns([fingerprint(np.array(x.as_py(), dtype="<i8").view("<u8"), FINE_BITS, FINE_SEGMENTS, FINE_DOUBTFUL) for x in s]), names=PRINT.names)
+
+    return nodes.join(sets, "node").select("node", "n", of("s").alias("p")).select("node", "n", "p.*")
+
+
+def _changed(values: Column, bit: Column) -> Column:
+    """The values as they are and with the bit changed."""
+    return F.concat(values, F.transform(values, lambda v: v.bitwiseXOR(bit)))
+
+
+def table_of(nodes: DataFrame, doubtful: int = DOUBTFUL) -> DataFrame:
+    """nodes(f0, f1, segments) -> (key, f0, f1), a row per value that a set enters under."""
+    rows = nodes.select(*PRINTS, F.posexplode("segments").alias("i", "x"))
+    values = F.array(F.col("x").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
+    for d in range(doubtful):
+        place = F.shiftright("x", 32 + 5 * d).bitwiseAND(F.lit(31).cast("long")).cast("int")
+        values = _changed(values, F.call_function("shiftleft", F.lit(1).cast("long"), place))
+    key = F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("value"))
+    return rows.withColumn("value", F.explode(values)).select(key.alias("key"), *PRINTS)
+
+
+def labelled(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of so many members the least one that it reaches over the links (a, b)."""
+    labels = np.arange(size)
+    while True:
+        least, new = np.minimum(labels[a], labels[b]), labels.copy()
+        for x in (labels[a], labels[b]):
+            np.minimum.at(new, x, least)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == labels).all():
+            return labels
+        labels = new
+
+
+def near(prints: list[np.ndarray], i, j) -> np.ndarray:
+    """Whether members i and j are within the radius."""
+    return sum(np.bitwise_count(f[i] ^ f[j]) for f in prints) <= RADIUS
+
+
+def family_of(key: np.ndarray, prints: list[np.ndarray], few: int = 256) -> np.ndarray:
+    """For each row of sorted keys the first row of its key that it reaches over near ones."""
+    cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+    sizes = np.diff(cuts)
+    ends = np.repeat(cuts[1:], sizes)
+    at, step, a, b = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= few), sizes)), 1, [], []
+    while len(at := at[at + step < ends[at]]):
+        close = at[near(prints, at, at + step)]
+        a.append(close), b.append(close + step)
+        step += 1
+    labels = labelled(len(key), *(np.concatenate([np.empty(0, np.int64), *x]) for x in (a, b)))
+    for k in np.flatnonzero(sizes > few).tolist():
+        left = np.arange(cuts[k], cuts[k + 1])
+        while len(left):
+            first, todo, left = left[0], left[:1], left[1:]
+            while len(todo) and len(left):  # some members at a time are held against all that are left
+                some = max(1, (1 << 16) // len(left))
+                now, todo = todo[:some], todo[some:]
+                met = near(prints, now[:, None], left[None, :]).any(0)
+                labels[left[met]] = first
+                todo, left = np.concatenate([todo, left[met]]), left[~met]
+    return labels
+
+
+def families(table: DataFrame, nodes: DataFrame) -> DataFrame:
+    """table(key, f0, f1), nodes(node, n, f0, f1) -> (key, node, n): the members of each family of two or more, under a key
+    that is made of the members, so that it comes once whatever number of values they meet under. The table holds no
+    nodes, and those with a family's fingerprints are its members."""
+
+    def run(batches):
+        held, wide = None, None
+        for last, b in with_last(batches):
+            rows = [b.column(i).to_numpy() for i in range(b.num_columns)]
+            key, *prints = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
+            if not len(key):
+                continue
+            begin = 0 if wide is None else int(np.searchsorted(key, wide, side="right"))
+            end = len(key) if last else max(begin, int(np.searchsorted(key, key[-1])))  # the last key goes on in the next batch
+            rest = len(key)
+            if len(key) - end > WIDE:
+                wide, rest = key[-1], end
+            prints = [f.view(np.uint64) for f in prints]
+            done = [f[begin:end] for f in prints]
+            labels = family_of(key[begin:end], done)
+            members = np.flatnonzero(np.bincount(labels, minlength=len(labels))[labels] > 1)
+            marks = _mixed(done[0] + _mixed(done[1]))
+            sums = np.zeros(len(labels), dtype=np.uint64)
+            np.add.at(sums, labels, marks)
+            whole = np.concatenate([np.arange(begin), np.arange(rest, len(key))])  # rows of values with too many nodes
+            found = [np.concatenate([sums[labels[members]], _mixed(key[whole].view(np.uint64))])]
+            found += [np.concatenate([d[members], f[whole]]) for d, f in zip(done, prints)]
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in found], names=["key", *PRINTS])
+            held = [key[end:rest], *(f[end:rest].view(np.int64) for f in prints)]
+        release()
+
+    found = table.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, f0 long, f1 long").distinct()
+    return found.join(nodes.select("node", "n", *PRINTS), PRINTS).select("key", "node", "n")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -105,13 +247,14 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(shared * (OVER + UNDER) >= OVER * (F.size("sa") + F.size("sb"))).select("a", "b")
 
 
-def unresolved(buckets: DataFrame, group: DataFrame, name: str) -> DataFrame:
+def unresolved(buckets: DataFrame, group: DataFrame, name: str, settled: int = 1) -> DataFrame:
     """buckets(key, node, n) -> the rows of keys that hold several groups of group(node, label), with label, outside (not
-    of the key's largest group), and per key the number m of rows and the number others of those outside."""
+    of the key's largest group), and per key the number m of rows and the number others of those outside. Keys with as
+    many members as settled, or fewer, are left out."""
     held = buckets.join(group, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
     parts = held.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
     largest = F.max(F.struct("m", "label"))
-    mains = parts.groupBy("key").agg(largest.alias("x"), F.sum("m").alias("m"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
+    mains = parts.groupBy("key").agg(largest.alias("x"), F.sum("m").alias("m"), F.count(F.lit(1)).alias("groups")).filter(f"groups > 1 and m > {settled}")
     mains = mains.select("key", F.col("x.label").alias("main"), "m", (F.col("m") - F.col("x.m")).alias("others"))
     return materialize(held.join(mains, "key").select("key", "node", "n", "label", (F.col("label") != F.col("main")).alias("outside"), "m", "others"), name)
 
@@ -171,28 +314,19 @@ def compared(mixed: DataFrame, sets: DataFrame) -> DataFrame:
     return streams.repartition("key", "part").sortWithinPartitions("key", "part", "turn").mapInArrow(run, "a binary, b binary")
 
 
-def finer(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """nodes(node, n) -> (key, node, n), a row per long band."""
-
-    @F.arrow_udf(T.ArrayType(T.LongType()))
-    def of(s: pa.Array) -> pa.Array:
-        return pa.array([bands(np.array(x.as_py(), dtype="<i8").view("<u8"), FINE_BANDS, FINE_ROWS) for x in s], pa.list_(pa.int64()))
-
-    return nodes.join(sets, "node").select("node", "n", F.explode(of("s")).alias("key"))
-
-
 def links_of(docs: DataFrame, nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """Edges (a, b) between nodes whose components are those of all pairs that share a band and are similar enough."""
-    table = nodes.select("node", "n", F.explode("bands").alias("key"))
-    full = table.groupBy("key").agg(F.min(F.struct("node", "n")).alias("c"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    met = materialize(table.join(full.select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n")), "key"), "met")
+    """Edges (a, b) between nodes whose components are those of all pairs that meet and are similar enough."""
+    met = materialize(families(table_of(nodes), nodes), "met")
     sets = materialize(sets_of(docs, nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "least")), "sets")
-    near = met.filter((F.col("node") != F.col("centre")) & _sized("n", "centre_n")).select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    stars = materialize(alike(near, sets), "stars")
+    centres = met.groupBy("key").agg(F.min(F.struct("node", "n")).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n"))
+    pairs = met.join(centres, "key").filter((F.col("node") != F.col("centre")) & _sized("n", "centre_n")).select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    stars = materialize(alike(pairs, sets), "stars")
     group = materialize(connected(stars).select("node", "label"), "group")
-    mixed = unresolved(met.select("key", "node", "n"), group, "mixed")
+    mixed = unresolved(met, group, "mixed", settled=2)  # of two members one is the centre
     crowded = materialize(mixed.filter(F.col("m") > crowd).select("node", "n").distinct(), "crowded")
-    return stars.unionByName(compared(mixed.filter(F.col("m") <= crowd), sets)).unionByName(compared(unresolved(finer(crowded, sets), group, "fine"), sets))
+    long = materialize(finer(crowded, sets), "long")
+    fine = families(table_of(long, FINE_DOUBTFUL), long)
+    return stars.unionByName(compared(mixed.filter(F.col("m") <= crowd), sets)).unionByName(compared(unresolved(fine, group, "fine"), sets))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
@@ -201,8 +335,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts without words are equal. Repeated rows come out as often as they go in.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
-    prints = materialize(docs.select("doc_id", prints_of("text").alias("p")).select("doc_id", "p.*"), "prints")
-    nodes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    # segments grow with the number of documents, so that a value has some tens of unlike sets whatever the size
+    bits = min(32, max(BITS, docs.count().bit_length() - 4))
+    prints = materialize(docs.select("doc_id", prints_of(F.col("text"), bits).alias("p")).select("doc_id", "p.*"), "prints")
+    nodes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", *PRINTS, "segments")]), "nodes")
     labels = connected(links_of(docs, nodes, crowd))
     named = materialize(nodes.select("node", "least").join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label")), "named")
     ids = named.groupBy("label").agg(F.min("least").alias("component_id"))

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from corpus_jobs.llm import resemblance, simhash
 
@@ -91,3 +92,49 @@ def test_stage_finds_pairs_that_fingerprints_miss(spark, texts):
     left = {r["doc_id"] for r in stage(spark, docs, "").collect()}
     assert left == {d for d, c in all_pairs(texts[:200]) if d == c}
     assert {r["doc_id"] for r in simhash.deduplicate(docs).collect()} - left
+
+
+def test_pairs_at_the_limit_meet(spark, monkeypatch):
+    """Pairs at exactly 0.8 meet in the multi-index table and are linked, few and many shingles."""
+    rng, rows = random.Random(5), []
+    for i, n in enumerate([5] * 20 + [15] * 20 + [40] * 20 + [250] * 60):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(n + 4)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: len(words) - n // 5]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(len(a & b) * 5 == len(a | b) * 4 for a, b in ((shingles(x), shingles(y)) for (_, x), (_, y) in zip(rows[::2], rows[1::2])))
+    nodes = docs.select("doc_id", resemblance.prints_of(docs["text"], resemblance.BITS).alias("p")).select("doc_id", "p.*")
+    for wide in (resemblance.WIDE, 0):
+        monkeypatch.setattr(resemblance, "WIDE", wide)
+        met = {}
+        for r in resemblance.families(resemblance.table_of(nodes), nodes).join(nodes.select("node", "doc_id"), "node").collect():
+            met.setdefault(r["key"], set()).add(r["doc_id"])
+        assert all(any({2 * i, 2 * i + 1} <= m for m in met.values()) for i in range(len(rows) // 2))
+    assert sorted(tuple(r) for r in resemblance.components(docs).collect()) == sorted((d, d // 2 * 2) for d, _ in rows)
+
+
+def test_table_holds_the_ball_of_doubtful_bits(spark):
+    found = resemblance.shingles(" ".join(f"w{i}" for i in range(100)))
+    compared, segments = resemblance.fingerprint(found)
+    nodes = spark.createDataFrame([(*compared, segments)], "f0 long, f1 long, segments array<long>")
+    expected = set()
+    for i, x in enumerate(segments):
+        value, a, b = x & 0xFFFFFFFF, 1 << (x >> 32 & 31), 1 << (x >> 37 & 31)
+        expected |= {(i << 32 | v, *compared) for v in (value, value ^ a, value ^ b, value ^ a ^ b)}
+    rows = [tuple(r) for r in resemblance.table_of(nodes).collect()]
+    assert len(rows) == len(expected) == 4 * resemblance.SEGMENTS and set(rows) == expected
+
+
+def test_families_are_what_near_fingerprints_connect():
+    rng = np.random.default_rng(4)
+    key = np.sort(rng.integers(12, size=300))
+    prints = [rng.integers(1 << 63, size=300, dtype=np.uint64) & np.uint64(0x3FFFFFFFFFFFF) for _ in range(2)]
+    near = [[sum(int(f[i] ^ f[j]).bit_count() for f in prints) <= resemblance.RADIUS and key[i] == key[j] for j in range(300)] for i in range(300)]
+    labels = list(range(300))
+    for _ in range(300):
+        new = [min(labels[j] for j in range(300) if near[i][j]) for i in range(300)]
+        if new == labels:
+            break
+        labels = new
+    assert len(set(key)) < len(set(labels)) < 300
+    for few in (2, 20, 256):
+        assert resemblance.family_of(key, prints, few).tolist() == labels
