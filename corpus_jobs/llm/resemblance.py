@@ -8,11 +8,13 @@ every link is exact. A pair at 0.8 meets nowhere about once in a million (a few
 calculation, and more alike pairs far more seldom.
 
 Groups never expand into pairs, and no pair is given up for that. Equal sets are one node. Nodes under a value that near
-fingerprints connect are a family, and families of the same members are one. Under each family, members are
-first compared with a centre only, and these links give provisional groups; two members of one group need no further
-link. Families that still hold several groups are looked at again: the members outside the largest group are compared with
-all of other groups, in the task that reads the family. Where there are over CROWD members, they enter more and longer
-segments first, which similar pairs share as surely and others far more seldom.
+fingerprints connect are a family. The task that reads a value gives the pairs of a family's members with its centre only;
+of a node's centres the least is kept, and the others are paired with that one, so that there are about as many pairs as
+nodes, however many values they meet under. Those that are similar give provisional groups; two members of one group need no further link. Groups that pairs connect are a
+cluster, which holds all that meet: every node is in one. In it the members outside the largest group are compared with all
+of other groups, in tasks that take some of them each. Only of clusters with very many outside are the families themselves
+looked at, and where these have over CROWD members, they enter more and longer segments first, which similar pairs share as
+surely and others far more seldom.
 """
 
 from __future__ import annotations
@@ -38,15 +40,17 @@ BITS, SEGMENTS, MORE = 16, 34, 1.17
 DOUBTFUL = 2
 #: Bits that are compared, and how many of them may differ; about 19 do at 0.8, and 64 of unlike sets.
 COMPARED, RADIUS = 128, 42
-#: A family with more members of several groups is split by longer segments; this bounds work, not results.
-CROWD = 1000
-#: Members outside the largest group that a task holds at once.
-HELD = 200
+#: A family with more members of several groups is split by longer segments, and a cluster with WHOLE times as many outside
+#: its largest group by its families; this bounds work, not results.
+CROWD, WHOLE = 1000, 10
+#: Members outside the largest group that a task holds at once, the shingles that these have, and members it holds them against.
+HELD, HELD_SHINGLES, BLOCK = 500, 1000000, 1000
 FINE_BITS, FINE_SEGMENTS, FINE_DOUBTFUL = 28, 104, 3
 #: Nodes of one value that a task compares by their distances; of more, all are one family.
 WIDE = 20000
 
 PRINTS = [f"f{i}" for i in range(COMPARED // 64)]
+CENTRE = [f"c{i}" for i in range(COMPARED // 64)]
 PRINT = T.StructType([T.StructField(f, T.LongType(), False) for f in PRINTS] + [T.StructField("segments", T.ArrayType(T.LongType(), False), False)])
 NODE = T.StructType([T.StructField("node", T.BinaryType(), False), T.StructField("n", T.LongType(), False), *PRINT])
 
@@ -187,39 +191,91 @@ def family_of(key: np.ndarray, prints: list[np.ndarray], few: int = 256) -> np.n
     return labels
 
 
+def distinct_pairs(found: list[np.ndarray]) -> np.ndarray:
+    """The columns of the distinct rows (f0, f1, c0, c1) whose fingerprints differ."""
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pairs[(pairs[:, : len(PRINTS)] != pairs[:, len(PRINTS) :]).any(1)].T
+
+
+def read_centres(batches):
+    """Pairs (f0, f1, c0, c1) sorted by member -> pairs that connect the same fingerprints: each member with the least of its
+    centres, and its other centres, which many members share, with that one."""
+    for b in batches:
+        if b.num_rows:
+            pairs = np.stack([b.column(i).to_numpy().view(np.uint64) for i in range(b.num_columns)], 1)
+            member, centre = pairs[:, : len(PRINTS)], pairs[:, len(PRINTS) :]
+            order = np.lexsort((_mixed(centre[:, 0] + _mixed(centre[:, 1])), member[:, 1], member[:, 0]))
+            member, centre = member[order], centre[order]
+            starts = np.flatnonzero(np.append(True, (member[1:] != member[:-1]).any(1)))
+            least = np.repeat(centre[starts], np.diff(np.append(starts, len(order))), axis=0)
+            found = distinct_pairs([np.concatenate([x, least], 1) for x in (member, centre)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).view(np.int64)) for x in found], names=[*PRINTS, *CENTRE])
+    release()
+
+
+def read_families(batches, centres: bool, most: int):
+    """Batches (key, f0, f1) sorted by key -> (key, f0, f1) of the members of families of two or more, under keys that are made
+    of the members, or with centres (f0, f1, c0, c1), the distinct pairs of a member and another one that is its family's centre.
+    A value with more nodes than most is one family."""
+    names = [*PRINTS, *CENTRE] if centres else ["key", *PRINTS]
+    held, wide, middle = None, None, None
+    for last, b in with_last(batches):
+        rows = [b.column(i).to_numpy() for i in range(b.num_columns)]
+        key, *prints = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
+        if not len(key):
+            continue
+        begin = 0 if wide is None else int(np.searchsorted(key, wide, side="right"))
+        end = len(key) if last else max(begin, int(np.searchsorted(key, key[-1])))  # the last key goes on in the next batch
+        rest = len(key)
+        if len(key) - end > most:
+            wide, rest = key[-1], end
+        prints = [f.view(np.uint64) for f in prints]
+        done = [f[begin:end] for f in prints]
+        labels = family_of(key[begin:end], done)
+        members = np.flatnonzero(np.bincount(labels, minlength=len(labels))[labels] > 1)
+        marks = _mixed(prints[0] + _mixed(prints[1]))
+        if centres:  # the member with the least mark
+            order = members[np.lexsort((marks[begin:end][members], labels[members]))]
+            starts = np.flatnonzero(np.diff(labels[order], prepend=-1))
+            firsts = np.repeat(order[starts], np.diff(np.append(starts, len(order))))
+            found = [[f[order] for f in done] + [f[firsts] for f in done]]
+            if begin:  # rows of values with too many nodes
+                found.append([f[:begin] for f in prints] + [np.full(begin, c) for c in middle])
+            if rest < len(key):
+                middle = [f[rest + marks[rest:].argmin()] for f in prints]
+                found.append([f[rest:] for f in prints] + [np.full(len(key) - rest, c) for c in middle])
+            found = distinct_pairs([np.stack(x, 1) for x in found])
+        else:
+            sums = np.zeros(len(labels), dtype=np.uint64)
+            np.add.at(sums, labels, marks[begin:end])
+            whole = np.concatenate([np.arange(begin), np.arange(rest, len(key))])
+            found = [np.concatenate([sums[labels[members]], _mixed(key[whole].view(np.uint64))])]
+            found += [np.concatenate([d[members], f[whole]]) for d, f in zip(done, prints)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).view(np.int64)) for x in found], names=names)
+        held = [key[end:rest], *(f[end:rest].view(np.int64) for f in prints)]
+    release()
+
+
 def families(table: DataFrame, nodes: DataFrame) -> DataFrame:
     """table(key, f0, f1), nodes(node, n, f0, f1) -> (key, node, n): the members of each family of two or more, under a key
     that is made of the members, so that it comes once whatever number of values they meet under. The table holds no
     nodes, and those with a family's fingerprints are its members."""
+    found = table.repartition("key").sortWithinPartitions("key").mapInArrow(lambda x: read_families(x, False, WIDE), "key long, f0 long, f1 long").distinct()
+    return found.join(nodes.select("node", "n", *PRINTS), PRINTS).select("key", "node", "n")
 
-    def run(batches):
-        held, wide = None, None
-        for last, b in with_last(batches):
-            rows = [b.column(i).to_numpy() for i in range(b.num_columns)]
-            key, *prints = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
-            if not len(key):
-                continue
-            begin = 0 if wide is None else int(np.searchsorted(key, wide, side="right"))
-            end = len(key) if last else max(begin, int(np.searchsorted(key, key[-1])))  # the last key goes on in the next batch
-            rest = len(key)
-            if len(key) - end > WIDE:
-                wide, rest = key[-1], end
-            prints = [f.view(np.uint64) for f in prints]
-            done = [f[begin:end] for f in prints]
-            labels = family_of(key[begin:end], done)
-            members = np.flatnonzero(np.bincount(labels, minlength=len(labels))[labels] > 1)
-            marks = _mixed(done[0] + _mixed(done[1]))
-            sums = np.zeros(len(labels), dtype=np.uint64)
-            np.add.at(sums, labels, marks)
-            whole = np.concatenate([np.arange(begin), np.arange(rest, len(key))])  # rows of values with too many nodes
-            found = [np.concatenate([sums[labels[members]], _mixed(key[whole].view(np.uint64))])]
-            found += [np.concatenate([d[members], f[whole]]) for d, f in zip(done, prints)]
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in found], names=["key", *PRINTS])
-            held = [key[end:rest], *(f[end:rest].view(np.int64) for f in prints)]
-        release()
 
-    found = table.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, f0 long, f1 long").distinct()
-    return found.join(nodes.select("node", "n", *PRINTS), PRINTS).select("key", "node", "n")
+def meeting(table: DataFrame, nodes: DataFrame) -> DataFrame:
+    """table(key, f0, f1), nodes(node, n, f0, f1) -> (a, an, b, bn): nodes a with the centres b of their families, and their
+    sizes. The pairs connect all nodes of a family, and nodes of equal fingerprints."""
+    nodes = nodes.filter(F.col("n") >= OVER).select("node", "n", *PRINTS)
+    firsts = nodes.groupBy(*PRINTS).agg(F.min(F.struct("node", "n")).alias("c")).select(*PRINTS, F.col("c.node").alias("b"), F.col("c.n").alias("bn"))
+    members = nodes.select(F.col("node").alias("a"), F.col("n").alias("an"), *PRINTS)
+    pair = "f0 long, f1 long, c0 long, c1 long"
+    found = table.repartition("key").sortWithinPartitions("key").mapInArrow(lambda x: read_families(x, True, WIDE), pair)
+    found = found.repartition(*PRINTS).sortWithinPartitions(*PRINTS).mapInArrow(read_centres, pair).distinct()
+    pairs = found.join(members, PRINTS).join(firsts.select("b", "bn", *(F.col(f).alias(c) for f, c in zip(PRINTS, CENTRE))), CENTRE)
+    equal = members.join(firsts, PRINTS).filter("a <> b")
+    return pairs.select("a", "an", "b", "bn").unionByName(equal.select("a", "an", "b", "bn"))
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -249,14 +305,14 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def unresolved(buckets: DataFrame, group: DataFrame, name: str, settled: int = 1) -> DataFrame:
     """buckets(key, node, n) -> the rows of keys that hold several groups of group(node, label), with label, outside (not
-    of the key's largest group), and per key the number m of rows and the number others of those outside. Keys with as
-    many members as settled, or fewer, are left out."""
+    of the key's largest group), and per key the number m of rows, the number others of those outside and their shingles.
+    Keys with as many members as settled, or fewer, are left out."""
     held = buckets.join(group, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-    parts = held.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
-    largest = F.max(F.struct("m", "label"))
-    mains = parts.groupBy("key").agg(largest.alias("x"), F.sum("m").alias("m"), F.count(F.lit(1)).alias("groups")).filter(f"groups > 1 and m > {settled}")
-    mains = mains.select("key", F.col("x.label").alias("main"), "m", (F.col("m") - F.col("x.m")).alias("others"))
-    return materialize(held.join(mains, "key").select("key", "node", "n", "label", (F.col("label") != F.col("main")).alias("outside"), "m", "others"), name)
+    parts = held.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"))
+    largest = F.max(F.struct("m", "label", "shingles"))
+    mains = parts.groupBy("key").agg(largest.alias("x"), F.sum("m").alias("m"), F.sum("shingles").alias("shingles"), F.count(F.lit(1)).alias("groups")).filter(f"groups > 1 and m > {settled}")
+    mains = mains.select("key", F.col("x.label").alias("main"), "m", (F.col("m") - F.col("x.m")).alias("others"), (F.col("shingles") - F.col("x.shingles")).alias("shingles"))
+    return materialize(held.join(mains, "key").select("key", "node", "n", "label", (F.col("label") != F.col("main")).alias("outside"), "m", "others", "shingles"), name)
 
 
 class Asking:
@@ -285,24 +341,27 @@ class Asking:
 def compared(mixed: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) that connect whatever similar pairs of different groups under one key connect.
 
-    Every key is one stream of its members after those that ask; one with more than HELD that ask is dealt into as many
-    streams as needed. Only the members that ask are held, and no pair of members is ever a row.
+    The members outside a key's largest group ask. A key with more than HELD that ask, or than BLOCK members, is dealt into
+    parts of those that ask and blocks of members, and each part with each block is a stream: the part, to be held, then the
+    block. Who asks is not in blocks for later parts, where the other one asks. No pair of members is ever a row.
     """
-    parts = F.ceil(F.col("others") / HELD).cast("int")
-    rows = mixed.join(sets, "node").select("key", "node", "label", "outside", "s", parts.alias("parts"))
+    parts = F.ceil(F.greatest(F.col("others") / HELD, F.col("shingles") / HELD_SHINGLES)).cast("int")
+    rows = mixed.join(sets, "node").select("key", "node", "label", "outside", "s", parts.alias("parts"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     own = F.when(F.col("outside"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    dealt = rows.select("key", "node", "label", "s", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    # a member that asks stands first, to be held, and once more among all
-    twice = F.when(F.col("own") == F.col("part"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
-    streams = dealt.select("key", "part", F.explode(twice).alias("turn"), "node", "label", "s")
+    rows = rows.withColumn("own", own).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
+    to = lambda part, block, turn: F.struct(part.alias("part"), block.alias("block"), F.lit(turn).alias("turn"))
+    among = F.transform(F.sequence(F.lit(0), F.coalesce("own", F.col("parts") - 1)), lambda p: to(p, F.col("block"), 1))
+    asks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: to(F.col("own"), b, 0))
+    dealt = F.explode(F.when(F.col("outside"), F.concat(asks, among)).otherwise(among))
+    streams = rows.select("key", dealt.alias("x"), "node", "label", "s").select("key", "x.*", "node", "label", "s")
 
     def run(batches):
         now, held, asking = None, [], None
         for b in sliced(batches, 100):
             found = []
-            for key, part, turn, node, label, s in zip(*(b.column(i).to_pylist() for i in range(5)), (x.values.to_numpy() for x in b.column(5))):
-                if now != (key, part):
-                    now, held, asking = (key, part), [], None
+            for key, part, block, turn, node, label, s in zip(*(b.column(i).to_pylist() for i in range(6)), (x.values.to_numpy() for x in b.column(6))):
+                if now != (key, part, block):
+                    now, held, asking = (key, part, block), [], None
                 if turn == 0:
                     held.append((node, label, s))
                 elif held:
@@ -311,22 +370,36 @@ def compared(mixed: DataFrame, sets: DataFrame) -> DataFrame:
             a, b = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    return streams.repartition("key", "part").sortWithinPartitions("key", "part", "turn").mapInArrow(run, "a binary, b binary")
+    return streams.repartition("key", "part", "block").sortWithinPartitions("key", "part", "block", "turn").mapInArrow(run, "a binary, b binary")
 
 
-def links_of(docs: DataFrame, nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """Edges (a, b) between nodes whose components are those of all pairs that meet and are similar enough."""
-    met = materialize(families(table_of(nodes), nodes), "met")
-    sets = materialize(sets_of(docs, nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "least")), "sets")
-    centres = met.groupBy("key").agg(F.min(F.struct("node", "n")).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n"))
-    pairs = met.join(centres, "key").filter((F.col("node") != F.col("centre")) & _sized("n", "centre_n")).select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    stars = materialize(alike(pairs, sets), "stars")
-    group = materialize(connected(stars).select("node", "label"), "group")
-    mixed = unresolved(met, group, "mixed", settled=2)  # of two members one is the centre
+def by_families(nodes: DataFrame, group: DataFrame, sets: DataFrame, crowd: int) -> DataFrame:
+    """Links (a, b) that connect similar pairs of different groups in the families of nodes."""
+    mixed = unresolved(families(table_of(nodes), nodes), group, "mixed", settled=2)  # of two members one is the centre
     crowded = materialize(mixed.filter(F.col("m") > crowd).select("node", "n").distinct(), "crowded")
     long = materialize(finer(crowded, sets), "long")
     fine = families(table_of(long, FINE_DOUBTFUL), long)
-    return stars.unionByName(compared(mixed.filter(F.col("m") <= crowd), sets)).unionByName(compared(unresolved(fine, group, "fine"), sets))
+    return compared(mixed.filter(F.col("m") <= crowd), sets).unionByName(compared(unresolved(fine, group, "fine"), sets))
+
+
+def links_of(docs: DataFrame, nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Edges (a, b) between nodes whose components are those of all pairs that meet and are similar enough."""
+    met = materialize(meeting(table_of(nodes), nodes), "met")
+    ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("an").alias("n")), F.struct(F.col("b").alias("node"), F.col("bn").alias("n"))))
+    ends = materialize(met.select(ends.alias("x")).select("x.*").distinct(), "ends")
+    sets = materialize(sets_of(docs, nodes.join(ends, "node", "left_semi").select("node", "least")), "sets")
+    stars = materialize(alike(met.filter(_sized("an", "bn")).select("a", "b"), sets), "stars")
+    group = materialize(connected(stars).select("node", "label"), "group")
+    label = lambda x: group.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
+    between = met.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    clusters = connected(between).select(F.col("node").alias("label"), F.col("label").alias("key"))
+    held = ends.join(group, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label")).join(clusters, "label")
+    mixed = unresolved(held.select("key", "node", "n"), group, "mixed", settled=2)
+    whole, large = mixed.filter(F.col("others") <= WHOLE * crowd), mixed.filter(F.col("others") > WHOLE * crowd)
+    links = stars.unionByName(compared(whole, sets))
+    if large.isEmpty():
+        return links
+    return links.unionByName(by_families(materialize(nodes.join(large.select("node"), "node", "left_semi"), "large"), group, sets, crowd))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:

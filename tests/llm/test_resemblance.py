@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from corpus_jobs.llm import resemblance, simhash
 
@@ -86,6 +87,62 @@ def test_work_is_linear_in_a_group(spark, monkeypatch):
     assert made(800) <= 1.5 * made(200)
 
 
+def loose(n, start=0):
+    """A group whose members are alike, but only some of them alike enough."""
+    rng, rows = random.Random(n), []
+    for i in range(n):
+        words = [f"w{k}" for k in range(120)]
+        for j in rng.sample(range(120), rng.choice([1, 4, 6])):
+            words[j] = f"x{rng.randrange(10**6)}"
+        rows.append((start + i, " ".join(words)))
+    return rows
+
+
+def test_nodes_that_meet_have_few_rows(spark, monkeypatch):
+    """However many values the members of a group meet under, about as many pairs as members are written."""
+    written, materialize = {}, resemblance.materialize
+
+    def counting(df, name):
+        out = materialize(df, name)
+        written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(resemblance, "materialize", counting)
+    for n in (200, 600):
+        written.clear()
+        rows = loose(n)
+        found = resemblance.components(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert sorted(tuple(r) for r in found.collect()) == all_pairs(rows)
+        assert 0.9 * n <= written["met"] <= 4 * n and written["mixed"] <= n
+
+
+@pytest.mark.parametrize("held,shingles,block,whole", [(7, 10**6, 5, 10), (500, 900, 1000, 10), (500, 10**6, 1000, 0)])
+def test_clusters_in_parts_are_all_pairs(spark, texts, monkeypatch, held, shingles, block, whole):
+    """Clusters dealt into parts and blocks, parts by shingles, and no cluster as a whole."""
+    for name, value in zip(("HELD", "HELD_SHINGLES", "BLOCK", "WHOLE"), (held, shingles, block, whole)):
+        monkeypatch.setattr(resemblance, name, value)
+    rows = texts + loose(90, 3000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in resemblance.components(docs).collect()) == all_pairs(rows)
+
+
+def test_nodes_of_one_fingerprint_are_compared(spark, texts, monkeypatch):
+    """Different sets may have equal fingerprints."""
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    exact = resemblance.fingerprint
+    monkeypatch.setattr(resemblance, "fingerprint", lambda found, *how: ([7, 7] if len(found) > 3 else [0, 0], exact(found, *how)[1]))
+    assert sorted(tuple(r) for r in resemblance.components(docs).collect()) == all_pairs(texts)
+
+
+def test_shortened_pairs_connect_the_same():
+    rng = np.random.default_rng(6)
+    pairs = np.unique(rng.integers(40, size=(60, 4)) // [1, 40, 1, 40], axis=0)
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in pairs.T], names=[*resemblance.PRINTS, *resemblance.CENTRE])
+    found = np.concatenate([np.stack([c.to_numpy() for c in b.columns], 1) for b in resemblance.read_centres([batch])])
+    assert not (found[:, :2] == found[:, 2:]).all(1).any()
+    assert (resemblance.labelled(40, pairs[:, 0], pairs[:, 2]) == resemblance.labelled(40, found[:, 0], found[:, 2])).all()
+
+
 def test_stage_finds_pairs_that_fingerprints_miss(spark, texts):
     docs = spark.createDataFrame(texts[:200], "doc_id long, text string")
     stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
