@@ -171,7 +171,8 @@ def links_of(nodes: DataFrame, max_distance: int = MAX_DISTANCE, crowd: int = CR
     # (dealt by a hash of their own, since Spark leaves out a second dealing by the same column)
     table = _table(nodes.repartition(shuffle_partitions(nodes.sparkSession), F.xxhash64("fp")))
     full = table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = materialize(table.join(full, "key"), "met")
+    # Spark takes the table for as small as the nodes it is made of, and would broadcast 66 rows of each
+    met = materialize(table.hint("merge").join(full, "key"), "met")
     points = materialize(_points(met.filter(F.col("n") > crowd).select("key", "fp")), "points")
     return _linked(met.filter(F.col("n") <= crowd).select("key", "fp").unionByName(points), max_distance)
 

@@ -3,7 +3,8 @@ import re
 
 import pytest
 from corpus_jobs.llm import decontamination, line_dedup, packing, quality, simhash, token_counts, token_files
-from corpus_jobs.llm.common import new_path
+from corpus_jobs.llm.common import materialize, new_path
+from pyspark.sql import functions as F
 
 from . import brute
 from .conftest import SMALL, as_rows
@@ -68,6 +69,19 @@ def test_simhash_work_is_linear_in_a_group_of_near_copies(spark):
         assert few <= many <= 66
 
 
+def test_simhash_table_is_never_broadcast(spark, monkeypatch):
+    """It has 66 rows a node, which Spark does not count when it sizes a table for a broadcast."""
+    plans = {}
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return materialize(df, name)
+
+    monkeypatch.setattr(simhash, "materialize", noted)
+    simhash.links_of(materialize(spark.range(200).select(F.xxhash64("id").alias("fp")), "nodes"))
+    assert "SortMergeJoin" in plans["met"] and "Broadcast" not in plans["met"]
+
+
 def test_connected_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a long, b long")
     got = {r["node"]: r["label"] for r in simhash.connected(edges).collect()}
